@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, warc
+from . import chat, decontaminate, licenses, mixing, neardup, warc
 from .shared import load
 
 
+def op3_near_dedup(spark, sf_dir):
+    return neardup.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark, sf_dir):
+    found = decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.drop("item_ids")
+
+
 def op5_license_scan(spark, sf_dir):
     return licenses.scan_licenses(load(spark, sf_dir, "documents"))
 
@@ -25,5 +34,5 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.col("copies"))
 
 
-QUERIES = {f.__name__: f for f in (op5_license_scan, op7_warc, op8_chat_rotation, op9_mixing)}
-SQL = {"op8_chat_rotation": chat.ROTATE_SQL}
+QUERIES = {f.__name__: f for f in (op3_near_dedup, op4_decontamination, op5_license_scan, op7_warc, op8_chat_rotation, op9_mixing)}
+SQL = {"op4_decontamination": decontaminate.SQL, "op8_chat_rotation": chat.ROTATE_SQL}
