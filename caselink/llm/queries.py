@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, neardup, warc
+from . import chat, decontaminate, licenses, mixing, neardup, tokens, warc
 from .shared import load
 
 
@@ -21,6 +21,15 @@ def op5_license_scan(spark, sf_dir):
     return licenses.scan_licenses(load(spark, sf_dir, "documents"))
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op6_token_ids(spark, sf_dir):
+    import public_tokenizers
+
+    return tokens.read(tokens.write(load(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+
+
 def op7_warc(spark, sf_dir):
     archives = warc.write(load(spark, sf_dir, "pages"))
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -34,5 +43,5 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.col("copies"))
 
 
-QUERIES = {f.__name__: f for f in (op3_near_dedup, op4_decontamination, op5_license_scan, op7_warc, op8_chat_rotation, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op3_near_dedup, op4_decontamination, op5_license_scan, op6_token_ids, op7_warc, op8_chat_rotation, op9_mixing)}
 SQL = {"op4_decontamination": decontaminate.SQL, "op8_chat_rotation": chat.ROTATE_SQL}

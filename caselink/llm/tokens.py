@@ -24,6 +24,7 @@ no shard and no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,54 +39,69 @@ from . import kernel
 from .shared import cut
 
 SHARD_IDS = 1 << 20
-ROUNDS, PER_ROUND, LEAST = 6, 1024, 16
-CACHE_WORDS = 300_000
+ROUNDS, PER_ROUND, LEAST = 4, 2048, 16
+CACHE_WORDS = 600_000
 MAGIC = b"RPAIR1\0\0"
 
 
+#: Latin letters and then ASCII marks that the tokenizer splits off as one run: no apostrophe, and none of a special token.
+_SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=?@\[-`{}~]*)")
+
+
 class Encoder:
     """Encodes whole texts; words between ASCII blanks are encoded once and remembered.
 
-    The tokenizer's pattern never spans a blank, so the ids of a text are those of
-    its words in order (a test compares whole texts). The cache is emptied when
-    full.
+    The tokenizer's pattern never spans a blank, and it parts a run of letters from
+    the marks behind it, so the ids of a text are those of its parts in order (a
+    test compares whole texts). The cache is emptied when full.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized]
-        self.mark, self.mark_id = max(special, key=lambda x: x[1]) if special else ("", -1)
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.is_word, _ = kernel.class_table(kernel.BLANKS)
         self.same = np.arange(256, dtype=np.uint8)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.cores: dict[str, bytes] = {"": b""}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.bounds = np.zeros(1 << 12, np.int64)
 
+    def _plain(self, cores: list[str]) -> None:
+        """Encodes runs of letters many at a time; each ends with the only token that carries the end-of-word suffix."""
+        for a in range(0, len(cores), 512):
+            part = cores[a : a + 512]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(part):
+                self.cores.update(zip(part, (x.tobytes() for x in np.split(ids, ends[:-1])), strict=True))
+            else:
+                self.cores.update((c, self._whole(c)) for c in part)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _learn(self, new: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in new]
-        plain = [i for i, t in enumerate(texts) if self.mark and "<|" not in t and "|>" not in t]
-        found: list[np.ndarray | None] = [None] * len(new)
-        for a in range(0, len(plain), 4096):
-            part = plain[a : a + 4096]
-            ids = np.array(self.tokenizer.encode(self.mark.join(texts[i] for i in part), add_special_tokens=False).ids, np.uint32)
-            pieces = np.split(ids, np.flatnonzero(ids == self.mark_id))
-            for k, i in enumerate(part):
-                found[i] = pieces[k][1:] if k else pieces[k]
-        for i, f in enumerate(found):
-            if f is None:
-                found[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        split = [_SIMPLE.fullmatch(w) for w in new]
+        parts = [(m[1].decode().lower(), m[2].decode()) if m else None for m in split]
+        self._plain(list({p[0] for p in parts if p and p[0] not in self.cores}))
+        for tail in {p[1] for p in parts if p and p[1] not in self.cores}:
+            self.cores[tail] = self._whole(tail)
+        found = [self.cores[p[0]] + self.cores[p[1]] if p else self._whole(w.decode("utf-8", "replace")) for p, w in zip(parts, new, strict=True)]
         base = len(self.known)
-        ends = self.bounds[base] + np.cumsum([len(f) for f in found])
         while base + len(new) + 1 > len(self.bounds):
             self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
+        ends = self.bounds[base] + np.cumsum([len(f) // 4 for f in found])
         while ends[-1] > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[self.bounds[base] : ends[-1]] = np.concatenate(found)
+        self.ids[self.bounds[base] : ends[-1]] = np.frombuffer(b"".join(found), "<u4")
         self.bounds[base + 1 : base + 1 + len(new)] = ends
         self.known.update(zip(new, range(base, base + len(new)), strict=True))
 
