@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, neardup, tokens, warc
+from . import chat, decontaminate, licenses, mixing, neardup, pii, quality, tokens, warc
 from .shared import load
 
 
+def op1_quality_classifier(spark, sf_dir):
+    return quality.classify(load(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -43,5 +47,9 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.col("copies"))
 
 
-QUERIES = {f.__name__: f for f in (op3_near_dedup, op4_decontamination, op5_license_scan, op6_token_ids, op7_warc, op8_chat_rotation, op9_mixing)}
+def op10_pii_crf(spark, sf_dir):
+    return pii.personal_data(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_near_dedup, op4_decontamination, op5_license_scan, op6_token_ids, op7_warc, op8_chat_rotation, op9_mixing, op10_pii_crf)}
 SQL = {"op4_decontamination": decontaminate.SQL, "op8_chat_rotation": chat.ROTATE_SQL}
