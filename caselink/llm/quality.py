@@ -250,7 +250,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD
         soft = F.broadcast(spark.createDataFrame([(int(p), float(g)) for p, g in zip(patterns, posterior, strict=True)], "pattern long, posterior double"))
         ids = voted.where("n_words > 0 and doc_id is not null").select("doc_id", "pattern", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample)
         train = picked.join(F.broadcast(ids.join(soft, "pattern").select("doc_id", "posterior", "h")), "doc_id")
-        fitted = train.orderBy("h", "doc_id").limit(sample).select("text", "posterior").groupBy(F.lit(0)).applyInArrow(_fit_task, "weights array<double>").collect()
+        fitted = train.orderBy("h", "doc_id").limit(sample).select("text", "posterior", F.lit("sample").alias("of")).groupBy("of").applyInArrow(_fit_task, "weights array<double>").collect()
         if fitted:
             weights = np.array(fitted[0]["weights"])
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, neardup, pii, quality, tokens, warc
+from . import ann, chat, decontaminate, licenses, mixing, neardup, pii, quality, tokens, warc
 from .shared import load
 
 
@@ -12,6 +13,11 @@ def op1_quality_classifier(spark, sf_dir):
     return quality.classify(load(spark, sf_dir, "documents"))
 
 
+def op2_ann_search(spark, sf_dir):
+    vectors = load(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op3_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -51,5 +57,8 @@ def op10_pii_crf(spark, sf_dir):
     return pii.personal_data(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_near_dedup, op4_decontamination, op5_license_scan, op6_token_ids, op7_warc, op8_chat_rotation, op9_mixing, op10_pii_crf)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ann_search, op3_near_dedup, op4_decontamination, op5_license_scan, op6_token_ids, op7_warc, op8_chat_rotation, op9_mixing, op10_pii_crf)}
+QUERIES["pipeline"] = corpus_pipeline.run
 SQL = {"op4_decontamination": decontaminate.SQL, "op8_chat_rotation": chat.ROTATE_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
