@@ -9,8 +9,6 @@ by its longest single document.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
@@ -60,9 +58,15 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1)
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(_BASE, n), _powers(_BASE_INV, n)
+_held: list[np.ndarray] = []
+
+
+def _tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, at least n; they grow with the longest chunk."""
+    if not _held or len(_held[0]) < n:
+        size = max(CHUNK + 1, 1 << (n - 1).bit_length())
+        _held[:] = [_powers(_BASE, size), _powers(_BASE_INV, size)]
+    return _held
 
 
 def chunks(column: pa.Array, limit: int = CHUNK):
@@ -102,7 +106,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lowered: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word; equal words have equal hashes."""
     n = len(data)
-    up, down = _tables(max(CHUNK + 1, n + 1))
+    up, down = _tables(n + 1)
     total = np.zeros(n + 1, _U)
     np.cumsum(_BYTE[lowered[data]] * up[:n], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U))

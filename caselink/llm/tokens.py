@@ -24,7 +24,6 @@ no shard and no rows. Other columns are not read.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,21 +38,74 @@ from . import kernel
 from .shared import cut
 
 SHARD_IDS = 1 << 20
-ROUNDS, PER_ROUND, LEAST = 4, 2048, 16
-CACHE_WORDS = 600_000
+ROUNDS, PER_ROUND, LEAST = 3, 2048, 16
+CACHE_UNITS = 1_000_000
 MAGIC = b"RPAIR1\0\0"
 
 
-#: Latin letters and then ASCII marks that the tokenizer splits off as one run: no apostrophe, and none of a special token.
-_SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=?@\[-`{}~]*)")
+_BLANK, _LETTER, _DIGIT, _PUNCT, _ODD = range(5)
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """(class of each byte, whether a byte behind 0xC3 completes a Latin letter)."""
+    out = np.full(256, _ODD, np.uint8)
+    for c in range(128):
+        ch = chr(c)
+        out[c] = _LETTER if ch.isalpha() else _DIGIT if ch.isdigit() else _PUNCT if ch.isprintable() and ch not in " '<>" else _ODD
+    out[list(kernel.BLANKS)] = _BLANK
+    second = np.zeros(256, bool)
+    second[[*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = True
+    return out, second
+
+
+_CLASS, _SECOND = _classes()
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def units(data: np.ndarray, offsets: np.ndarray):
+    """(bytes to look up, starts, ends, rows, odd): what is encoded on its own, in order.
+
+    A word of ASCII and Latin letters, digits and marks falls into its runs of
+    letters, single digits and runs of marks, lowered: the tokenizer parts it there
+    and lowers it. A word that holds anything else (an apostrophe, `<`, another
+    script) is one odd unit, as it stands.
+    """
+    kind = _CLASS[data]
+    low = _LOWER[data]
+    pair = np.flatnonzero(data[:-1] == 0xC3)
+    pair = pair[_SECOND[data[pair + 1]]]
+    kind[pair] = kind[pair + 1] = _LETTER
+    upper = pair[data[pair + 1] <= 0x9E] + 1
+    low[upper] = data[upper] + 0x20
+    starts, ends, rows = kernel.word_bounds(data, offsets, _IS_WORD)
+    total = np.concatenate(([0], np.cumsum(kind == _ODD)))
+    odd = total[ends] > total[starts]
+    if odd.any():
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[starts[odd]] = 1
+        edge[ends[odd]] -= 1
+        inside = np.cumsum(edge[:-1]).astype(bool)
+        low[inside] = data[inside]
+        kind[inside] = _ODD
+    new = np.zeros(len(data), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    new &= kind != _BLANK
+    new[starts] = True
+    at = np.flatnonzero(new)
+    word = np.searchsorted(starts, at, "right") - 1
+    stop = np.minimum(np.append(at[1:], len(data)), ends[word])
+    return low, at, stop, rows[word], odd[word]
+
+
+_IS_WORD, _ = kernel.class_table(kernel.BLANKS)
 
 
 class Encoder:
-    """Encodes whole texts; words between ASCII blanks are encoded once and remembered.
+    """Encodes whole texts; each unit of a word is encoded once and remembered.
 
-    The tokenizer's pattern never spans a blank, and it parts a run of letters from
-    the marks behind it, so the ids of a text are those of its parts in order (a
-    test compares whole texts). The cache is emptied when full.
+    The tokenizer's pattern never spans a blank, and it parts letters from digits
+    and marks, so the ids of a text are those of its units in order (a test compares
+    whole texts). The cache is emptied when full.
     """
 
     def __init__(self, path: str):
@@ -64,66 +116,64 @@ class Encoder:
         suffix = self.tokenizer.model.end_of_word_suffix
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
-        self.is_word, _ = kernel.class_table(kernel.BLANKS)
         self.same = np.arange(256, dtype=np.uint8)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.cores: dict[str, bytes] = {"": b""}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.bounds = np.zeros(1 << 12, np.int64)
 
-    def _plain(self, cores: list[str]) -> None:
-        """Encodes runs of letters many at a time; each ends with the only token that carries the end-of-word suffix."""
-        for a in range(0, len(cores), 512):
-            part = cores[a : a + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(part):
-                self.cores.update(zip(part, (x.tobytes() for x in np.split(ids, ends[:-1])), strict=True))
-            else:
-                self.cores.update((c, self._whole(c)) for c in part)
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, new: list[bytes]) -> None:
-        split = [_SIMPLE.fullmatch(w) for w in new]
-        parts = [(m[1].decode().lower(), m[2].decode()) if m else None for m in split]
-        self._plain(list({p[0] for p in parts if p and p[0] not in self.cores}))
-        for tail in {p[1] for p in parts if p and p[1] not in self.cores}:
-            self.cores[tail] = self._whole(tail)
-        found = [self.cores[p[0]] + self.cores[p[1]] if p else self._whole(w.decode("utf-8", "replace")) for p, w in zip(parts, new, strict=True)]
+    def _add(self, new: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
         base = len(self.known)
         while base + len(new) + 1 > len(self.bounds):
             self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
-        ends = self.bounds[base] + np.cumsum([len(f) // 4 for f in found])
-        while ends[-1] > len(self.ids):
+        at = self.bounds[base]
+        while at + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[self.bounds[base] : ends[-1]] = np.frombuffer(b"".join(found), "<u4")
-        self.bounds[base + 1 : base + 1 + len(new)] = ends
+        self.ids[at : at + len(ids)] = ids
+        self.bounds[base + 1 : base + 1 + len(new)] = at + ends
         self.known.update(zip(new, range(base, base + len(new)), strict=True))
 
+    def _whole(self, unit: bytes) -> None:
+        ids = np.array(self.tokenizer.encode(unit.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+        self._add([unit], ids, np.array([len(ids)]))
+
+    def _learn(self, plain: list[bytes], odd: list[bytes]) -> None:
+        """Plain units are encoded many at a time: each ends with the only token that carries the end-of-word suffix."""
+        for a in range(0, len(plain), 1024):
+            part = plain[a : a + 1024]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                self._add(part, ids, ends)
+            else:
+                for unit in part:
+                    self._whole(unit)
+        for unit in odd:
+            self._whole(unit)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, one after the other, each with the end id; counts by row)."""
         n = len(offsets) - 1
-        starts, ends, rows = kernel.word_bounds(data, offsets, self.is_word)
-        _, first, back = np.unique(kernel.word_hashes(data, starts, ends, self.same), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if len(self.known) > CACHE_WORDS:
+        low, starts, ends, rows, odd = units(data, offsets)
+        _, first, back = np.unique(kernel.word_hashes(low, starts, ends, self.same), return_index=True, return_inverse=True)
+        raw = low.tobytes()
+        found = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        if len(self.known) > CACHE_UNITS:
             self.clear()
-        if new := list({w for w in words if w not in self.known}):
-            self._learn(new)
-        at = np.array([self.known[w] for w in words], np.int64)[back] if words else np.empty(0, np.int64)
+        known = self.known
+        at = np.array([known.get(u, -1) for u in found], np.int64)
+        if len(missing := np.flatnonzero(at < 0)):
+            strange = odd[first[missing]]
+            self._learn([found[i] for i in missing[~strange]], list(dict.fromkeys(found[i] for i in missing[strange])))
+            at[missing] = [known[found[i]] for i in missing]
+        at = at[back] if len(found) else np.empty(0, np.int64)
         begin, size = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
         counts = np.bincount(rows, weights=size, minlength=n).astype(np.int64) + 1
-        # Each row's end id is a word of its own, from a slot behind the known ids.
-        word_rows = np.concatenate((rows, np.arange(n)))
-        order = np.argsort(word_rows, kind="stable")
-        begin = np.concatenate((begin, np.full(n, -1)))[order]
-        size = np.concatenate((size, np.ones(n, np.int64)))[order]
+        # Each row's end id goes behind the last unit of the row.
+        behind = np.cumsum(np.bincount(rows, minlength=n))
+        begin, size = np.insert(begin, behind, -1), np.insert(size, behind, 1)
         total = int(size.sum())
         out_at = np.cumsum(size) - size
         where = np.repeat(begin - out_at, size) + np.arange(total)
@@ -191,7 +241,9 @@ class Shard:
 
 def repair(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray, base: int) -> Shard:
     """Re-Pair: in each round the most frequent pairs of neighbours become nonterminals; overlapping places go to the left one."""
-    seq = ids.astype(np.int64)
+    wide = base + ROUNDS * PER_ROUND > 1 << 16
+    kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)
+    seq = ids.astype(kind)
     ends = np.cumsum(counts) - 1
     last = np.zeros(len(seq), bool)
     last[ends] = True
@@ -201,27 +253,35 @@ def repair(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray, base:
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        code = (seq[:-1] << 32) | seq[1:]
-        code[last[:-1]] = -1
-        slot = ((code * 0x2545F4914F6CDD1D) >> 44) & 0xFFFFF
-        seen = np.bincount(slot[code >= 0], minlength=1 << 20)
-        floor = max(LEAST, int(np.partition(seen, -PER_ROUND)[-PER_ROUND]))
-        maybe = np.flatnonzero((seen[slot] >= floor) & (code >= 0))
+        code = (seq[:-1] << kind(shift)) | seq[1:]
+        slot = ((code * kind(0x9E3779B1)) >> kind(12 if not wide else 0)).astype(np.int64) & 0xFFFFF
+        slot[last[:-1]] = 1 << 20
+        seen = np.bincount(slot, minlength=(1 << 20) + 1)
+        seen[1 << 20] = 0
+        often = seen[seen >= LEAST]
+        floor = int(np.partition(often, -PER_ROUND)[-PER_ROUND]) if len(often) > PER_ROUND else LEAST
+        maybe = np.flatnonzero((seen >= floor)[slot])
         pairs, n = np.unique(code[maybe], return_counts=True)
         pairs, n = pairs[n >= LEAST], n[n >= LEAST]
         if not len(pairs):
             break
         chosen = np.sort(pairs[np.lexsort((pairs, -n))[:PER_ROUND]])
-        at = np.searchsorted(chosen, code[maybe])
-        hit = chosen[np.minimum(at, len(chosen) - 1)] == code[maybe]
+        # One pair to a slot; another pair of the slot waits for the next round.
+        place = np.full((1 << 20) + 1, -1, np.int64)
+        where_to = ((chosen * kind(0x9E3779B1)) >> kind(12 if not wide else 0)).astype(np.int64) & 0xFFFFF
+        _, one = np.unique(where_to, return_index=True)
+        chosen, where_to = chosen[np.sort(one)], where_to[np.sort(one)]
+        place[where_to] = np.arange(len(chosen))
+        at = place[slot[maybe]]
+        hit = (at >= 0) & (chosen[np.maximum(at, 0)] == code[maybe])
         where, which = maybe[hit], at[hit]
         run = np.flatnonzero(np.concatenate(([True], np.diff(where) != 1)))
         odd = (np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))) & 1
         where, which = where[odd == 0], which[odd == 0]
-        left, right = chosen >> 32, chosen & 0xFFFFFFFF
+        left, right = (chosen >> kind(shift)).astype(np.int64), (chosen & kind((1 << shift) - 1)).astype(np.int64)
         size = lambda s: np.where(s < base, 1, lengths[np.clip(s - base, 0, max(0, len(lengths) - 1))] if len(lengths) else 1)
         more = size(left) + size(right)
-        seq[where] = base + made + which
+        seq[where] = (base + made + which).astype(kind)
         last[where] |= last[where + 1]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
@@ -261,7 +321,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_ids: int = SHA
         waiting = 0
         for batch in batches:
             doc_ids = batch.column("doc_id")
-            for at, data, offsets in kernel.chunks(batch.column("text")):
+            for at, data, offsets in kernel.chunks(batch.column("text"), 2 * kernel.CHUNK):
                 ids, counts = encoder.encode(data, offsets, end_id)
                 names += doc_ids.slice(at, len(counts)).to_pylist()
                 held.append(ids)
