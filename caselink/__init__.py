@@ -1,0 +1 @@
+"""A PySpark-native analytics engine that links case records."""
