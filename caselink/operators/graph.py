@@ -95,6 +95,7 @@ def traverse(edges: DataFrame, nodes: DataFrame, starts: DataFrame, depth: int =
         used = used.where((F.col("rel_type") != "RELATED_TO") | (F.col("weight") >= confidence))
     label = nodes.select(F.col("node_id").alias("far"), F.col("label").alias("far_label"))
     step = both_ways(used).join(label, "far").select("near", "far", "far_label", "edge_id", "rel_type")
+    step = cut(step, "graph-steps") if depth > 1 else step
     first = starts.join(nodes, F.col("start_id") == F.col("node_id")).select("start_id", F.col("start_id").alias("end_id"), F.col("label").alias("end_label"))
     front = first.select("start_id", "end_id", "end_label", F.lit("").alias("path_key"), F.array("start_id").alias("path_nodes"), F.array().cast("array<string>").alias("path_edges"))
     found = []
@@ -104,6 +105,7 @@ def traverse(edges: DataFrame, nodes: DataFrame, starts: DataFrame, depth: int =
             "start_id", F.col("far").alias("end_id"), F.col("far_label").alias("end_label"), F.concat_ws("->", F.nullif("path_key", F.lit("")), piece).alias("path_key"),
             F.array_append("path_nodes", F.col("far")).alias("path_nodes"), F.array_append("path_edges", F.col("edge_id")).alias("path_edges"),
         )
+        front = cut(front, "graph-trails") if depth > 1 else front
         found.append(front.withColumn("hops", F.lit(hop)))
     out = union(*found).dropDuplicates(["start_id", "path_key"])
     if target is not None:

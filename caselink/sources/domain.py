@@ -78,7 +78,7 @@ SQL = {
     "case_vehicles": f"SELECT DISTINCT {_id('C', 'l_orderkey')} AS case_id, {_id('V', 'l_partkey')} AS vehicle_id FROM {{lineitem}}",
     "phones": f"SELECT {_id('T', 's_suppkey')} AS phone_id, {_NUMBER} AS number FROM {{supplier}}",
     "case_phones": f"SELECT DISTINCT {_id('C', 'l_orderkey')} AS case_id, {_id('T', 'l_suppkey')} AS phone_id FROM {{lineitem}}",
-    "locations": f"SELECT {_id('L', 'n_nationkey')} AS location_id, 'Sq ' || CAST(n_nationkey AS STRING) || ', ' || n_name AS locality, r_name AS district, r_name AS state, 20.0 + n_nationkey / 100.0 AS latitude, 85.0 + n_nationkey / 100.0 AS longitude FROM {{nation}} JOIN {{region}} ON n_regionkey = r_regionkey",
+    "locations": f"SELECT {_id('L', 'n_nationkey')} AS location_id, 'Sq ' || CAST(n_nationkey AS STRING) || ', ' || n_name AS locality, r_name AS district, r_name AS state, CAST(20.0 + n_nationkey / 100.0 AS DOUBLE) AS latitude, CAST(85.0 + n_nationkey / 100.0 AS DOUBLE) AS longitude FROM {{nation}} JOIN {{region}} ON n_regionkey = r_regionkey",
     "evidences": f"SELECT DISTINCT {_id('C', 'l_orderkey')} AS case_id, (CASE l_returnflag WHEN 'A' THEN 'CCTV' WHEN 'N' THEN 'MOBILE' ELSE 'DOCUMENT' END) AS evidence_type, {_id('C', 'l_orderkey')} || '-' || l_returnflag AS evidence_id FROM {{lineitem}}",
     "case_sections": f"SELECT DISTINCT {_id('C', 'l_orderkey')} AS case_id, (CASE WHEN l_linestatus = 'O' THEN 'BNS ' ELSE 'ipc_' END) || CAST(100 + l_linenumber AS STRING) AS section FROM {{lineitem}}",
     "investigation_events": f"SELECT {_id('E', 'event_id')} AS event_id, {_id('C', 'user_id')} AS case_id, event_type, ts AS event_date, value FROM {{events}}",
@@ -97,5 +97,6 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 def with_sql(body: str, *names: str, recursive: bool = False) -> str:
     """`body` behind a WITH clause that holds the named views."""
-    parts = [f"{n} AS ({re.sub(r'[{](\w+)[}]', r'\1', SQL[n])})" for n in names]
-    return f"WITH {'RECURSIVE ' * recursive}{', '.join(parts)}{', ' if body.lstrip().startswith('+') else ' '}{body.lstrip().removeprefix('+')}"
+    parts = [f"{n} AS ({re.sub(r'[{](\w+)[}]', r'main.\1', SQL[n])})" for n in names]
+    more = body.lstrip().startswith("+")  # further common tables follow
+    return f"WITH {'RECURSIVE ' * recursive}{', '.join(parts)}{', ' if more else ' '}{body.lstrip().removeprefix('+')}"
