@@ -60,7 +60,7 @@ def time(a: str, b: str, s: Settings = DEFAULT) -> Column:
     days = F.abs(F.datediff(_of(a, "registration_date"), _of(b, "registration_date")))
     near = F.exp(-days / s.time_decay_days)
     score = F.round(F.when(_of(a, "time_bucket") == _of(b, "time_bucket"), F.least(F.lit(1.0), near * 1.15)).otherwise(near), 4)
-    return signal("TEMPORAL", s.sim_time, score, F.when(days.isNull(), "UNAVAILABLE").when(days <= 7, "MATCH").when(days <= 30, "PARTIAL").otherwise("MISMATCH"))
+    return signal("TEMPORAL", s.sim_time, F.when(days.isNotNull(), score), F.when(days.isNull(), "UNAVAILABLE").when(days <= 7, "MATCH").when(days <= 30, "PARTIAL").otherwise("MISMATCH"))
 
 
 def overlap(name: str, field: str, weight: float, a: str, b: str) -> Column:
