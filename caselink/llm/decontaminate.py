@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, free_names
 
 WINDOW = 10
 #: Prefix tables of at most so many windows are broadcast; larger ones are joined by shuffle.
@@ -57,8 +57,8 @@ def prefixes(cuts: DataFrame, counts: DataFrame) -> DataFrame:
     return rare.groupBy(F.col("r.token").alias("token")).agg(F.collect_list(F.struct(F.col("r.off").alias("off"), "words", "items")).alias("wins"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids for every row of docs."""
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text", how: str = "left") -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids for every row of docs; `how` is inner to see rows with candidates only."""
     cuts = cut(windows(items, size), "dec-windows")
     held = F.broadcast if cuts.count() <= BROADCAST_WINDOWS else lambda x: x
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -75,6 +75,13 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: s
         .distinct()
         .groupBy(F.col("doc_id").alias("id"), F.col("h").alias("of")).agg(F.collect_list("cand").alias("cands"))
     )
+    joined = rows.withColumn("h", F.xxhash64("text")).join(near.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("of")), how)
+    # Words are made once per row: Spark would copy their expression into the lambdas below if a projection made them.
+    return _judged(joined.select("doc_id", "cands", F.explode(F.array(tokens(F.col("text")))).alias("t")))
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """Confirms the candidates of each row (doc_id, t: words, cands) word for word."""
     start = lambda c, w: c["pos"] - w["off"]
     fits = lambda c, w: (start(c, w) >= 0) & (F.slice("t", F.greatest(start(c, w), F.lit(0)) + 1, F.size(w["words"])) == w["words"])
     hits = F.flatten(
@@ -84,16 +91,12 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: s
         )
     )
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1))))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"]))))
     return (
-        rows.withColumn("h", F.xxhash64("text"))
-        .join(near.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("of")), "left")
-        .select("doc_id", tokens(F.col("text")).alias("t"), "cands")
-        .select("doc_id", F.size("t").cast("long").alias("n_words"), F.when(F.col("cands").isNotNull(), hits).alias("hits"))
+        rows.select("doc_id", F.size("t").cast("long").alias("n_words"), F.explode(F.array(F.when(F.col("cands").isNotNull(), hits))).alias("hits"))
         .select(
-            "doc_id",
-            "n_words",
-            F.when(F.col("hits").isNotNull(), F.size(covered)).otherwise(0).cast("long").alias("n_hit"),
-            F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"])))), F.array().cast("array<string>")).alias("item_ids"),
+            "doc_id", "n_words", F.when(F.col("hits").isNotNull(), F.size(covered)).otherwise(0).cast("long").alias("n_hit"),
+            F.coalesce(ids, F.array().cast("array<string>")).alias("item_ids"),
         )
         .select(
             "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
@@ -104,10 +107,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: s
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text") -> DataFrame:
     """docs without the rows in which a benchmark window occurs."""
+    (key,) = free_names(docs, "__id")
     bad = cut(
-        contamination(docs, items, size, text).where("contaminated").select(F.col("doc_id").alias("__id")).distinct(), "dec-bad"
+        contamination(docs, items, size, text, "inner").where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "dec-bad"
     )
-    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")
 
 
 SQL = r"""
