@@ -27,12 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
-from .shared import cut
+from .shared import cut, free_names
 
 BLOCK = 4096
 MAX_SOURCES = 100_000
@@ -190,14 +190,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
 def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of docs as often as the mix takes them. Rows that repeat a document share its copies."""
     cols = docs.columns
-    share = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
-    once = docs.join(share.where("__rows = 1 and __copies > 0").hint("shuffle_hash"), on).select(*cols, "__copies")
-    again = docs.join(share.where("__rows > 1 and __copies > 0"), on)
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("__id", "__source").orderBy(*[F.col(c) for c in cols])
-    again = again.withColumn("__n", F.row_number().over(order)).select(
-        *cols, F.expr("__copies div __rows + if(__n <= __copies % __rows, 1, 0)").alias("__copies")
-    )
-    return once.unionByName(again).where("__copies > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*cols)
+    key, of, copies, rows, n = free_names(docs, "__id", "__source", "__copies", "__rows", "__n")
+    share = mixed.groupBy(F.col("doc_id").alias(key), F.col("source").alias(of)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0)
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(of))
+    once = docs.join(share.where(F.col(rows) == 1).hint("shuffle_hash"), on).select(*cols, copies)
+    again = docs.join(share.where(F.col(rows) > 1), on)
+    order = Window.partitionBy(key, of).orderBy(*[F.col(c) for c in cols])
+    own = F.expr(f"{copies} div {rows} + if({n} <= {copies} % {rows}, 1, 0)")
+    again = again.withColumn(n, F.row_number().over(order)).select(*cols, own.alias(copies))
+    return once.unionByName(again).where(F.col(copies) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*cols)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .shared import components, cut
+from .shared import components, cut, free_names
 
 WORDS, SIMILAR = 5, 75
 CHUNKS, PER = 10, 4
@@ -216,10 +216,11 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR, tex
 
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR, text: str = "text") -> DataFrame:
     """docs with one row of each group; a row that repeats a kept doc_id goes as well."""
-    ids = cut(near_duplicates(docs, k, similar, text).where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")), "dup-kept")
-    on = F.col("doc_id").cast("long") == F.col("__id")
-    once = docs.join(ids.where("__n = 1").hint("shuffle_hash"), on, "left_semi").unionByName(docs.where("doc_id is null"))
-    again = ids.where("__n > 1 and __id is not null")
+    key, n = free_names(docs, "__id", "__n")
+    ids = cut(near_duplicates(docs, k, similar, text).where("kept").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(n)), "dup-kept")
+    on = F.col("doc_id").cast("long") == F.col(key)
+    once = docs.join(ids.where(F.col(n) == 1).hint("shuffle_hash"), on, "left_semi").unionByName(docs.where("doc_id is null"))
+    again = ids.where((F.col(n) > 1) & F.col(key).isNotNull())
     if again.isEmpty():
         return once
     return once.unionByName(docs.join(again, on, "left_semi").dropDuplicates(["doc_id"]))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .shared import cut
+from .shared import cut, free_names
 
 SAMPLE = 4000
 TRIGRAMS, EVENTS = 1 << 12, 1 << 8
@@ -272,5 +272,6 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD
 
 def drop_low_quality(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """docs without the rows that the classifier rejects."""
-    bad = cut(classify(docs, sample, threshold, text).where("not keep").select(F.col("doc_id").alias("__id")).distinct(), "quality-bad")
-    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    (key,) = free_names(docs, "__id")
+    bad = cut(classify(docs, sample, threshold, text).where("not keep").select(F.col("doc_id").alias(key)).distinct(), "quality-bad")
+    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")

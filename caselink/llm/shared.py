@@ -71,3 +71,13 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         if labels.where("changed").isEmpty():
             return labels.select("id", "component")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that df does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
