@@ -105,11 +105,23 @@ paid with <card:4012888888881881> last week
 number <card:378282246310005> on file
 number <card:6011 1111 1111 1117> is lost
 the card no. <card:3530 1113 3330 0000> was used
+call <phone:202-555-0143> or <phone:+1 202 555 0143>, then wait
+numbers <phone:415-555-0132> and <phone:415-555-0133> were used
+phone <phone:303.555.0199> or mail <email:ann@mail.example.org>
+from <phone:(202) 555-0171>, <ip:10.1.2.3> and <email:x.y@example.com>
+<ip:10.1.2.3> <card:4111 1111 1111 1111>
+<ip:192.0.2.7>, <card:5500-0000-0000-0004> or <phone:555-010-4477>
+<phone:+1 202 555 0143>, <ip:10.1.2.3> then
+<card:4012 8888 8888 1881>, <phone:202-555-0190>
+the <phone:202-555-0143> line and the <phone:030-555-98761> line
 in 2019 we sold 1200 units for 35 each
 the order 48213 has 12 items
 version 2.0 came after version 1.10.3 in may
 room 12, floor 3, house 221
 on 2020-01-15 at 10:30 we met
+order 12345678 of 2020-01-02 10:30 is late
+from 2019-05-06 08:15 to 2019-05-07 09:45 it rained
+log 2021-12-31 23:59:59 job 77 ended
 pages 12-18 and 40-44 of part 2
 he paid 1,250.75 in 1998
 section 3.2.1 covers 7 cases
@@ -363,7 +375,7 @@ class Decoder:
             for k, (i, words, _) in enumerate(part):
                 out[i] += _spans(texts[i], words, labels[k, : len(words)])
             a = b
-        return out
+        return [sorted(found, key=lambda x: x[1]) for found in out]
 
 
 _MARK = re.compile(r"[0-9@+]")
