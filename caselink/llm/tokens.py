@@ -120,24 +120,25 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.hashes = np.empty(0, np.uint64)  # of the known units, sorted
+        self.slots = np.empty(0, np.int64)  # their places in bounds
+        self.count = 0
         self.ids = np.zeros(1 << 16, np.uint32)
         self.bounds = np.zeros(1 << 12, np.int64)
 
-    def _add(self, new: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
-        base = len(self.known)
-        while base + len(new) + 1 > len(self.bounds):
+    def _add(self, n: int, ids: np.ndarray, ends: np.ndarray) -> None:
+        while self.count + n + 1 > len(self.bounds):
             self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
-        at = self.bounds[base]
+        at = self.bounds[self.count]
         while at + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.ids[at : at + len(ids)] = ids
-        self.bounds[base + 1 : base + 1 + len(new)] = at + ends
-        self.known.update(zip(new, range(base, base + len(new)), strict=True))
+        self.bounds[self.count + 1 : self.count + 1 + n] = at + ends
+        self.count += n
 
     def _whole(self, unit: bytes) -> None:
         ids = np.array(self.tokenizer.encode(unit.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
-        self._add([unit], ids, np.array([len(ids)]))
+        self._add(1, ids, np.array([len(ids)]))
 
     def _learn(self, plain: list[bytes], odd: list[bytes]) -> None:
         """Plain units are encoded many at a time: each ends with the only token that carries the end-of-word suffix."""
@@ -146,7 +147,7 @@ class Encoder:
             ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
-                self._add(part, ids, ends)
+                self._add(len(part), ids, ends)
             else:
                 for unit in part:
                     self._whole(unit)
@@ -157,18 +158,24 @@ class Encoder:
         """(ids of all rows, one after the other, each with the end id; counts by row)."""
         n = len(offsets) - 1
         low, starts, ends, rows, odd = units(data, offsets)
-        _, first, back = np.unique(kernel.word_hashes(low, starts, ends, self.same), return_index=True, return_inverse=True)
-        raw = low.tobytes()
-        found = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if len(self.known) > CACHE_UNITS:
+        hashes, first, back = np.unique(kernel.word_hashes(low, starts, ends, self.same), return_index=True, return_inverse=True)
+        if self.count > CACHE_UNITS:
             self.clear()
-        known = self.known
-        at = np.array([known.get(u, -1) for u in found], np.int64)
+        place = np.searchsorted(self.hashes, hashes)
+        at = np.full(len(hashes), -1, np.int64)
+        inside = np.flatnonzero(place < len(self.hashes))
+        hit = inside[self.hashes[place[inside]] == hashes[inside]]
+        at[hit] = self.slots[place[hit]]
         if len(missing := np.flatnonzero(at < 0)):
             strange = odd[first[missing]]
-            self._learn([found[i] for i in missing[~strange]], list(dict.fromkeys(found[i] for i in missing[strange])))
-            at[missing] = [known[found[i]] for i in missing]
-        at = at[back] if len(found) else np.empty(0, np.int64)
+            order = np.concatenate((missing[~strange], missing[strange]))
+            raw = low.tobytes()
+            new = [raw[a:b] for a, b in zip(starts[first[order]].tolist(), ends[first[order]].tolist(), strict=True)]
+            at[order] = self.count + np.arange(len(order))
+            self._learn(new[: len(new) - int(strange.sum())], new[len(new) - int(strange.sum()) :])
+            self.hashes = np.insert(self.hashes, place[missing], hashes[missing])
+            self.slots = np.insert(self.slots, place[missing], at[missing])
+        at = at[back] if len(hashes) else np.empty(0, np.int64)
         begin, size = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
         counts = np.bincount(rows, weights=size, minlength=n).astype(np.int64) + 1
         # Each row's end id goes behind the last unit of the row.
