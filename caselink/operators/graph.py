@@ -75,6 +75,16 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.groupBy(F.col("label").alias("kind")).agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.col("rel_type").alias("kind")).agg(F.count("*").alias("n")))
 
 
+def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """rule, id of rows that break the graph's constraints: unique ids, known labels and types, both ends, canonical direction."""
+    twice = nodes.groupBy("label", "node_id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("node id is not unique").alias("rule"), F.col("node_id").alias("id"))
+    label = nodes.where(~F.col("label").isin(*LABELS) | F.col("node_id").isNull()).select(F.lit("unknown label or no id").alias("rule"), F.col("node_id").alias("id"))
+    kind = edges.where(~F.col("rel_type").isin(*EDGE_TYPES)).select(F.lit("unknown edge type").alias("rule"), F.col("edge_id").alias("id"))
+    ends = edges.select("edge_id", F.explode(F.array("src", "dst")).alias("node_id")).join(nodes.select("node_id"), "node_id", "left_anti").select(F.lit("edge without an end").alias("rule"), F.col("edge_id").alias("id")).distinct()
+    way = edges.where("rel_type = 'RELATED_TO' and src >= dst").select(F.lit("RELATED_TO is not canonical").alias("rule"), F.col("edge_id").alias("id"))
+    return union(twice, label, kind, ends, way)
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """near, far, and the edge: each edge from both its ends."""
     a = edges.select(F.col("src").alias("near"), F.col("dst").alias("far"), "edge_id", "rel_type", "weight")

@@ -84,6 +84,25 @@ def entity_values(cases: DataFrame, **links: DataFrame) -> DataFrame:
     return out
 
 
+def entity_aliases(cases: DataFrame, **entities: DataFrame) -> DataFrame:
+    """original, alias, kind, shown: case ids, FIR numbers, and entities (kind=(case_id, id, name)) whose id and name share an alias.
+
+    `shown` is what an alias maps back to: the name, where there is one. A name of
+    several entities has the alias of the last one registered.
+    """
+    ids = {kind: e.select("case_id", F.col("id").alias("value")) for kind, e in entities.items()}
+    base = cut(alias_table(entity_values(cases, **ids)), "entity-aliases")
+    out = base.select("original", "alias", "kind", F.col("original").alias("shown"))
+    for kind, e in entities.items():
+        last = e.where("name <> ''").groupBy(F.col("id").cast("string").alias("original")).agg(F.max("case_id").alias("case"), F.max_by("name", "case_id").alias("name"))
+        named = last.join(base.where(F.col("kind") == kind), "original")
+        per = named.groupBy("name").agg(F.max_by("alias", F.struct("case", "original")).alias("alias"))
+        out = out.join(named.select("alias", F.col("name").alias("better")), "alias", "left").withColumn("shown", F.coalesce("better", "shown")).drop("better")
+        names = per.select(F.col("name").alias("original"), "alias", F.lit(kind).alias("kind"), F.col("name").alias("shown")).join(out.select("original"), "original", "left_anti")
+        out = out.select("original", "alias", "kind", "shown").unionByName(names)
+    return out
+
+
 def replaced(text: Column, pairs: Column) -> Column:
     """text with each (original, alias) of pairs replaced, in their order."""
     return F.aggregate(pairs, text, lambda t, p: F.replace(t, p["original"], p["alias"]))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from .patterns import blocked
+from .privacy import backmap
 
 # Patterns of secrets and raw identifiers, terms, sentences and limits.
 SECRETS = (r"(?i)gsk_[A-Za-z0-9_-]{15,}", r"(?i)csk-[A-Za-z0-9_-]{15,}", r"(?i)Bearer\s+[A-Za-z0-9._-]+", r"(?i)postgresql://\S+", r"(?i)neo4j://\S+")
@@ -70,3 +71,14 @@ def summary(rows: DataFrame, status: str = "FALLBACK_USED") -> DataFrame:
     return total.select(
         F.concat(F.lit("reasoning_fb:"), N.content_id(F.lit("reasoning_fb"), F.array(F.lit("llm-privacy-boundary-v1"), F.lit(status)))).alias("report_id"), F.lit(status).alias("status"), "sentences", "by_subject", F.lit(FOLLOW_UP).alias("follow_up"),
     )
+
+
+def empty(spark: SparkSession) -> DataFrame:
+    """The head of a report without cases."""
+    return spark.createDataFrame([("reasoning_fb:empty", "NO_DATA", 0, "", "No cases match the requested scope.")], "report_id string, status string, sentences long, by_subject string, follow_up string")
+
+
+def restored(rows: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Statements with their aliases mapped back (aliases: alias, original)."""
+    back = backmap(rows.select("explanation_id", "statement"), aliases, "explanation_id", "statement")
+    return rows.drop("statement").join(back, "explanation_id").select(*rows.columns)

@@ -93,8 +93,8 @@ def paired(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return pairs.join(left, "id1").join(right, "id2")
 
 
-def compare(pairs: DataFrame, features: DataFrame, persons: DataFrame | None = None, s: Settings = DEFAULT) -> DataFrame:
-    """id1, id2, signals, score, level; `persons` adds the person signal (id1, id2, score, status)."""
+def compare(pairs: DataFrame, features: DataFrame, persons: DataFrame | None = None, methods: DataFrame | None = None, s: Settings = DEFAULT) -> DataFrame:
+    """id1, id2, signals, score, level; `persons` and `methods` (id1, id2, score, status) add the person and method signals."""
     joined = paired(pairs.select("id1", "id2"), features)
     made = [
         category("a", "b", s), legal("a", "b", s), geography("a", "b", s), time("a", "b", s),
@@ -103,6 +103,9 @@ def compare(pairs: DataFrame, features: DataFrame, persons: DataFrame | None = N
     if persons is not None:
         joined = joined.join(persons.select("id1", "id2", F.col("score").alias("ps"), F.col("status").alias("pst")), ["id1", "id2"], "left")
         made.append(signal("PERSON_OVERLAP", s.sim_person, F.col("ps"), F.coalesce("pst", F.lit("UNAVAILABLE"))))
+    if methods is not None:
+        joined = joined.join(methods.select("id1", "id2", F.col("score").alias("ms"), F.col("status").alias("mst")), ["id1", "id2"], "left")
+        made.insert(0, signal("MODUS_OPERANDI", s.sim_mo, F.col("ms"), F.coalesce("mst", F.lit("UNAVAILABLE"))))
     out = joined.withColumn("signals", F.array(*made)).withColumn("r", aggregate(F.col("signals"), F.col("id1") == F.col("id2"), s))
     return out.select("id1", "id2", "signals", "r.score", "r.level")
 

@@ -77,3 +77,20 @@ def tagged_out(nodes: DataFrame, dataset: Column | None = None, labels: list[str
     if labels:
         gone = gone | F.col("label").isin(labels)
     return nodes.where(~gone)
+
+
+def upsert(table: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
+    """table with rows inserted, or put in the place of those with the same key; written with a table swap."""
+    return table.join(rows.select(*key).distinct(), list(key), "left_anti").unionByName(rows.select(*table.columns))
+
+
+def remove(table: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
+    return table.join(rows.select(*key).distinct(), list(key), "left_anti")
+
+
+def tag(nodes: DataFrame, ids: DataFrame, **props: str) -> DataFrame:
+    """nodes with properties set on those of ids (node_id)."""
+    more = F.create_map(*[F.lit(x) for kv in props.items() for x in kv])
+    hit = ids.select("node_id").distinct().withColumn("hit", F.lit(True))
+    keep = F.map_filter("props", lambda k, v: ~k.isin(*props))
+    return nodes.join(hit, "node_id", "left").withColumn("props", F.when(F.col("hit"), F.map_concat(keep, more)).otherwise(F.col("props"))).select(*nodes.columns)
