@@ -189,6 +189,16 @@ class Encoder:
         return out, counts
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a worker process: what one task has learnt serves the next."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 @dataclass
 class Shard:
     doc_ids: list[int | None]
@@ -309,7 +319,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_ids: int = SHA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         base = encoder.tokenizer.get_vocab_size()
         part, seq = TaskContext.get().partitionId(), 0
         names: list[int | None] = []
