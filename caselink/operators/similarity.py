@@ -79,10 +79,13 @@ def method(cosine: Column, jaccard: Column, dedicated: Column, available: Column
 def aggregate(signals: Column, self_pair: Column, s: Settings = DEFAULT) -> Column:
     """struct(score, level): weighted mean over available signals; under a weight of 0.20 the data do not suffice."""
     known = F.filter(signals, lambda x: x["status"] != "UNAVAILABLE")
-    total = lambda f: F.aggregate(known, F.lit(0.0), lambda acc, x: acc + f(x))
-    weight, gained = total(lambda x: x["weight"]), total(lambda x: x["weight"] * x["score"])
-    enough = weight >= 0.20 - 1e-9
-    score = F.when(self_pair, 1.0).when(enough, F.round(F.try_divide(gained, weight), 4)).otherwise(0.0)
+    total = lambda f: F.aggregate(known, F.lit(0).cast("long"), lambda acc, x: acc + f(x))
+    # In whole hundredths and ten-thousandths, so that halves round the same way everywhere.
+    part = lambda x: F.round(x["weight"] * 100).cast("long")
+    weight, gained = total(part), total(lambda x: part(x) * F.round(x["score"] * 10_000).cast("long"))
+    enough = weight >= 20
+    mean = F.floor(F.try_divide(2 * gained + weight, 2 * weight)) / 10_000
+    score = F.when(self_pair, 1.0).when(enough, mean).otherwise(0.0)
     level = F.when(self_pair, "SELF").when(~enough, "INSUFFICIENT_DATA").when(score >= s.sim_high, "HIGH").when(score >= s.sim_moderate, "MODERATE").otherwise("LOW")
     return F.struct(score.alias("score"), level.alias("level"))
 

@@ -197,13 +197,13 @@ _COMPARED = f"""{_FEATURES}, pairs AS (SELECT DISTINCT a.case_id AS id1, b.case_
     CASE WHEN len(list_intersect(a.plates, b.plates)) > 0 THEN 1.0 ELSE 0.0 END AS c5, CASE WHEN len(a.plates) = 0 OR len(b.plates) = 0 THEN 'UNAVAILABLE' WHEN len(list_intersect(a.plates, b.plates)) > 0 THEN 'MATCH' ELSE 'MISMATCH' END AS s5,
     CASE WHEN len(list_intersect(a.numbers, b.numbers)) > 0 THEN 1.0 ELSE 0.0 END AS c6, CASE WHEN len(a.numbers) = 0 OR len(b.numbers) = 0 THEN 'UNAVAILABLE' WHEN len(list_intersect(a.numbers, b.numbers)) > 0 THEN 'MATCH' ELSE 'MISMATCH' END AS s6
     FROM j)"""
-_W = (0.15, 0.10, 0.15, 0.10, 0.05, 0.05)
-_WEIGHT = " + ".join(f"CASE WHEN s{i} <> 'UNAVAILABLE' THEN {w}e0 ELSE 0e0 END" for i, w in enumerate(_W, 1))
-_GAINED = " + ".join(f"CASE WHEN s{i} <> 'UNAVAILABLE' THEN {w}e0 * CAST(c{i} AS DOUBLE) ELSE 0e0 END" for i, w in enumerate(_W, 1))
+_W = (15, 10, 15, 10, 5, 5)
+_WEIGHT = " + ".join(f"CASE WHEN s{i} <> 'UNAVAILABLE' THEN {w} ELSE 0 END" for i, w in enumerate(_W, 1))
+_GAINED = " + ".join(f"CASE WHEN s{i} <> 'UNAVAILABLE' THEN {w} * CAST(round(c{i} * 10000) AS BIGINT) ELSE 0 END" for i, w in enumerate(_W, 1))
 _SHOWN = ", ".join(f"s{i} || ':' || printf('%.4f', c{i}) AS {n}" for i, n in enumerate(("category", "legal", "geography", "time", "vehicles", "phones"), 1))
 _q(
     "case_similarity",
-    f"""+ {_COMPARED}, r AS (SELECT *, round(({_GAINED}) / CAST(({_WEIGHT}) AS DOUBLE), 4) AS score FROM s)
+    f"""+ {_COMPARED}, r AS (SELECT *, ((2 * ({_GAINED}) + ({_WEIGHT})) // (2 * ({_WEIGHT}))) / 10000e0 AS score FROM s)
   SELECT id1, id2, {_SHOWN}, score, CASE WHEN score >= 0.75 THEN 'HIGH' WHEN score >= 0.50 THEN 'MODERATE' ELSE 'LOW' END AS level FROM r""",
     *_VIEWS,
 )
