@@ -1,76 +1,16 @@
-"""Shared folder, lineage cuts, table loading and distributed components."""
+"""Table loading and helpers of the corpus operators, on top of the engine's shared folder."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`; set here only where it is unset in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
+from ..store import components, cut, drop_shared, new_path, shared_dir
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/caselink/{name}-{uuid.uuid4().hex}"
+__all__ = ["components", "cut", "drop_shared", "free_names", "load", "new_path", "shared_dir"]
 
 
-def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_shared(spark: SparkSession) -> None:
-    """Removes all that `cut` has written in this session's shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/caselink")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
-    """(id, component) for every end of `edges` (a long, b long); component is the smallest id reachable.
-
-    Labels spread to neighbours and then jump to the label of their label, so a
-    chain of n links takes about log n rounds. Each round is two joins and a
-    min that is combined before the shuffle; nothing is gathered on the driver.
-    """
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    links = cut(both, f"{name}-links")
-    labels = cut(
-        links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component"), F.lit(True).alias("changed")),
-        f"{name}-labels",
-    )
-    for _ in range(rounds):
-        near = (
-            links.join(labels.select(F.col("id").alias("b"), "component"), "b")
-            .groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        )
-        step = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        step = cut(step, f"{name}-step")
-        jump = step.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        labels = cut(
-            step.join(jump, "component", "left")
-            .select("id", F.coalesce("further", "component").alias("component"), "was")
-            .select("id", "component", (F.col("component") != F.col("was")).alias("changed")),
-            f"{name}-labels",
-        )
-        if labels.where("changed").isEmpty():
-            return labels.select("id", "component")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
