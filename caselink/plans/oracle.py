@@ -457,8 +457,6 @@ _q(
 )
 
 # Privacy and report
-_WHOLE = "coalesce({0}, '')"
-
 
 def _prepared(column: str) -> str:
     out = f"regexp_replace(coalesce({column}, ''), {_text(SECRETS)}, '{SECRET_MARK}', 'g')"
