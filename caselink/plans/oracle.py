@@ -162,7 +162,7 @@ _q("block_locations", f"+ k AS (SELECT 'NORMALIZED_LOCALITY' AS signal, {_PLACE}
 _METHOD_KEYS = f"""{_METHOD}, k AS (SELECT 'CRIME_CATEGORY' AS signal, lower(trim(crime_category)) AS key, CAST(doc_id AS VARCHAR) AS id FROM m
     UNION ALL SELECT DISTINCT 'MO_KEYWORD_TOKEN', w, CAST(doc_id AS VARCHAR) FROM (SELECT doc_id, unnest(t) AS w FROM m) WHERE length(w) >= 4)"""
 _q("block_method_buckets", f"+ {_METHOD_KEYS} {_SIZES}", "narratives")
-_q("block_methods", f"+ {_METHOD_KEYS.replace('k AS (', 'k0 AS (', 1)}, k AS (SELECT signal, key, id FROM (SELECT *, count(*) OVER (PARTITION BY signal, key) AS n FROM k0) WHERE n BETWEEN 2 AND 10) {_PAIRS}", "narratives")
+_q("block_methods", f"+ {_METHOD_KEYS.replace('k AS (', 'k0 AS (', 1)}, k AS (SELECT signal, key, id FROM (SELECT *, count(*) OVER (PARTITION BY signal, key) AS n FROM k0) WHERE n BETWEEN 2 AND 100) {_PAIRS}", "narratives")
 _q("resolve_phones", f"+ {_PHONE_KEYS} SELECT a.id AS id1, b.id AS id2, 1.0e0 AS score, 'HIGH_CONFIDENCE_MATCH' AS decision FROM k a JOIN k b ON a.key = b.key AND a.id < b.id", "phones")
 _q(
     "resolve_vehicles",

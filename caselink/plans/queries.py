@@ -214,7 +214,7 @@ def block_method_buckets(spark, sf):
 
 @query
 def block_methods(spark, sf):
-    return _pairs(blocking.block_methods(_v(spark, sf, "narratives"), "doc_id", most=10))
+    return _pairs(blocking.block_methods(_v(spark, sf, "narratives"), "doc_id"))
 
 
 @query
