@@ -7,7 +7,7 @@ row (part, seq, ids, data) of a Parquet table, whose commit protocol leaves no
 half file behind when an executor is lost.
 
 In a shard, frequent pairs of neighbouring symbols are replaced by nonterminals,
-round after round; a pair never spans two documents, so each document keeps its
+round after round until no pair has LEAST places; a pair never spans two documents, so each document keeps its
 own run of symbols. The file holds the rules, the length that each rule expands
 to, and each document's first symbol and id count: one document, or a range of
 its ids, is decoded without touching the others.
@@ -38,7 +38,7 @@ from . import kernel
 from .shared import cut
 
 SHARD_IDS = 1 << 20
-ROUNDS, PER_ROUND, LEAST = 3, 2048, 16
+PER_ROUND, LEAST = 2048, 16
 CACHE_UNITS = 1_000_000
 MAGIC = b"RPAIR1\0\0"
 
@@ -256,10 +256,16 @@ class Shard:
         return self.expand(run[a:b])[start - before : stop - before] if stop > start else np.empty(0, np.uint32)
 
 
+def _slots(code: np.ndarray) -> np.ndarray:
+    """A slot of each pair, by the high bits of a product of all its bits."""
+    if code.dtype == np.uint32:
+        return ((code * np.uint32(0x9E3779B1)) >> np.uint32(12)).astype(np.int64)
+    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
 def repair(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray, base: int) -> Shard:
-    """Re-Pair: in each round the most frequent pairs of neighbours become nonterminals; overlapping places go to the left one."""
-    wide = base + ROUNDS * PER_ROUND > 1 << 16
-    kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)
+    """Re-Pair: in each round the most frequent pairs of neighbours become nonterminals, until none has LEAST places; overlapping places go to the left one."""
+    kind, shift = (np.uint64, 32) if base > 1 << 16 else (np.uint32, 16)
     seq = ids.astype(kind)
     ends = np.cumsum(counts) - 1
     last = np.zeros(len(seq), bool)
@@ -267,25 +273,27 @@ def repair(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray, base:
     rules: list[np.ndarray] = []
     lengths = np.empty(0, np.int64)
     made = 0
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         code = (seq[:-1] << kind(shift)) | seq[1:]
-        slot = ((code * kind(0x9E3779B1)) >> kind(12 if not wide else 0)).astype(np.int64) & 0xFFFFF
+        slot = _slots(code)
         slot[last[:-1]] = 1 << 20
         seen = np.bincount(slot, minlength=(1 << 20) + 1)
         seen[1 << 20] = 0
         often = seen[seen >= LEAST]
         floor = int(np.partition(often, -PER_ROUND)[-PER_ROUND]) if len(often) > PER_ROUND else LEAST
-        maybe = np.flatnonzero((seen >= floor)[slot])
-        pairs, n = np.unique(code[maybe], return_counts=True)
-        pairs, n = pairs[n >= LEAST], n[n >= LEAST]
+        while True:
+            maybe = np.flatnonzero((seen >= floor)[slot])
+            pairs, n = np.unique(code[maybe], return_counts=True)
+            pairs, n = pairs[n >= LEAST], n[n >= LEAST]
+            if len(pairs) or floor == LEAST:
+                break
+            floor = LEAST  # rare pairs that share a slot hid the frequent ones
         if not len(pairs):
             break
         chosen = np.sort(pairs[np.lexsort((pairs, -n))[:PER_ROUND]])
         # One pair to a slot; another pair of the slot waits for the next round.
         place = np.full((1 << 20) + 1, -1, np.int64)
-        where_to = ((chosen * kind(0x9E3779B1)) >> kind(12 if not wide else 0)).astype(np.int64) & 0xFFFFF
+        where_to = _slots(chosen)
         _, one = np.unique(where_to, return_index=True)
         chosen, where_to = chosen[np.sort(one)], where_to[np.sort(one)]
         place[where_to] = np.arange(len(chosen))
@@ -298,6 +306,9 @@ def repair(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray, base:
         left, right = (chosen >> kind(shift)).astype(np.int64), (chosen & kind((1 << shift) - 1)).astype(np.int64)
         size = lambda s: np.where(s < base, 1, lengths[np.clip(s - base, 0, max(0, len(lengths) - 1))] if len(lengths) else 1)
         more = size(left) + size(right)
+        if kind is np.uint32 and base + made + len(chosen) > 1 << 16:
+            kind, shift = np.uint64, 32
+            seq = seq.astype(kind)
         seq[where] = (base + made + which).astype(kind)
         last[where] |= last[where + 1]
         keep = np.ones(len(seq), bool)

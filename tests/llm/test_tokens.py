@@ -64,6 +64,28 @@ def test_repair_round_trip_and_random_access(base):
         assert (again.document(i, 2, 9) == parts[i][2:9]).all()
 
 
+def often(shard):
+    """The most places that a pair within documents has left."""
+    inside = np.ones(len(shard.symbols), bool)
+    inside[shard.firsts[1:] - 1] = False
+    at = np.flatnonzero(inside)
+    return np.unique(np.stack((shard.symbols[at], shard.symbols[at + 1])), axis=1, return_counts=True)[1].max(initial=0)
+
+
+@pytest.mark.parametrize("base", [300, 49408, 65_500, 70_000])
+def test_no_frequent_pair_is_left(base, monkeypatch):
+    rng = np.random.default_rng(base)
+    passage = rng.integers(0, base, 500)
+    parts = [np.concatenate((rng.integers(0, 20, rng.integers(0, 9)), passage)) for _ in range(40)] + [np.full(900, 7)]
+    ids, counts = np.concatenate(parts).astype(np.uint32), np.array([len(p) for p in parts])
+    for slots in (tokens._slots, lambda code: (code % code.dtype.type(5)).astype(np.int64)):
+        monkeypatch.setattr(tokens, "_slots", slots)
+        shard = tokens.Shard.load(tokens.repair(list(range(len(parts))), ids, counts, base).dump())
+        assert often(shard) < tokens.LEAST and shard.lengths.max() == 500
+        assert (shard.expand(shard.symbols) == ids).all()
+        assert (shard.document(5, 100, 300) == parts[5][100:300]).all()
+
+
 def test_a_broken_shard_is_refused():
     shard = tokens.repair([1], np.array([1, 2, 3], np.uint32), np.array([3]), 10).dump()
     for bad in (b"x" + shard[1:], shard[:-1]):
