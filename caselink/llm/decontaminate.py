@@ -59,6 +59,11 @@ def prefixes(cuts: DataFrame, counts: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text", how: str = "left") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids for every row of docs; `how` is inner to see rows with candidates only."""
+    return _found(docs, items, size, text, how)
+
+
+def _found(docs: DataFrame, items: DataFrame, size: int, text: str, how: str, **more: Column) -> DataFrame:
+    """contamination() with more columns of (doc_id, text: never null)."""
     cuts = cut(windows(items, size), "dec-windows")
     held = F.broadcast if cuts.count() <= BROADCAST_WINDOWS else lambda x: x
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -77,11 +82,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: s
     )
     joined = rows.withColumn("h", F.xxhash64("text")).join(near.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("of")), how)
     # Words are made once per row: Spark would copy their expression into the lambdas below if a projection made them.
-    return _judged(joined.select("doc_id", "cands", F.explode(F.array(tokens(F.col("text")))).alias("t")))
+    return _judged(joined.select("doc_id", "cands", *[c.alias(n) for n, c in more.items()], F.explode(F.array(tokens(F.col("text")))).alias("t")), *more)
 
 
-def _judged(rows: DataFrame) -> DataFrame:
-    """Confirms the candidates of each row (doc_id, t: words, cands) word for word."""
+def _judged(rows: DataFrame, *more: str) -> DataFrame:
+    """Confirms the candidates of each row (doc_id, t: words, cands, and columns to carry along) word for word."""
     start = lambda c, w: c["pos"] - w["off"]
     fits = lambda c, w: (start(c, w) >= 0) & (F.slice("t", F.greatest(start(c, w), F.lit(0)) + 1, F.size(w["words"])) == w["words"])
     hits = F.flatten(
@@ -93,25 +98,25 @@ def _judged(rows: DataFrame) -> DataFrame:
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1))))
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"]))))
     return (
-        rows.select("doc_id", F.size("t").cast("long").alias("n_words"), F.explode(F.array(F.when(F.col("cands").isNotNull(), hits))).alias("hits"))
+        rows.select("doc_id", *more, F.size("t").cast("long").alias("n_words"), F.explode(F.array(F.when(F.col("cands").isNotNull(), hits))).alias("hits"))
         .select(
-            "doc_id", "n_words", F.when(F.col("hits").isNotNull(), F.size(covered)).otherwise(0).cast("long").alias("n_hit"),
+            "doc_id", *more, "n_words", F.when(F.col("hits").isNotNull(), F.size(covered)).otherwise(0).cast("long").alias("n_hit"),
             F.coalesce(ids, F.array().cast("array<string>")).alias("item_ids"),
         )
         .select(
-            "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+            "doc_id", *more, "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
             F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "item_ids",
         )
     )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text") -> DataFrame:
-    """docs without the rows in which a benchmark window occurs."""
-    (key,) = free_names(docs, "__id")
-    bad = cut(
-        contamination(docs, items, size, text, "inner").where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "dec-bad"
-    )
-    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")
+    """docs without the rows in which a benchmark window occurs: the id and a digest of the text name a row."""
+    key, of = free_names(docs, "__id", "__digest")
+    found = _found(docs, items, size, text, "inner", digest=F.md5("text"))
+    bad = cut(found.where("contaminated").select(F.col("doc_id").alias(key), F.col("digest").alias(of)).distinct(), "dec-bad")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col(of))
+    return docs.join(bad.hint("shuffle_hash"), same, "left_anti")
 
 
 SQL = r"""

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .shared import components, cut, free_names
+from .shared import components, cut, free_names, ranked
 
 WORDS, SIMILAR = 5, 75
 CHUNKS, PER = 10, 4
@@ -215,12 +215,21 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR, tex
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR, text: str = "text") -> DataFrame:
-    """docs with one row of each group; a row that repeats a kept doc_id goes as well."""
-    key, n = free_names(docs, "__id", "__n")
-    ids = cut(near_duplicates(docs, k, similar, text).where("kept").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(n)), "dup-kept")
-    on = F.col("doc_id").cast("long") == F.col(key)
-    once = docs.join(ids.where(F.col(n) == 1).hint("shuffle_hash"), on, "left_semi").unionByName(docs.where("doc_id is null"))
-    again = ids.where((F.col(n) > 1) & F.col(key).isNotNull())
-    if again.isEmpty():
-        return once
-    return once.unionByName(docs.join(again, on, "left_semi").dropDuplicates(["doc_id"]))
+    """docs with one row of each group; of rows that repeat a doc_id and its text one stays. Texts that share a doc_id are judged apart."""
+    key, of, n, place = free_names(docs, "__id", "__digest", "__n", "__rank")
+    some, none = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    own = F.col("doc_id").cast("long")
+    if some.groupBy(own.alias(key)).agg(F.count("*").alias(n)).where(F.col(n) > 1).isEmpty():
+        ids = cut(near_duplicates(docs, k, similar, text).where("kept and doc_id is not null").select(F.col("doc_id").alias(key)), "dup-kept")
+        return docs.join(ids.hint("shuffle_hash"), own == F.col(key), "left_semi").unionByName(none)
+    # Each text of an id gets a rank in the order of ids, which stands for the id.
+    digest = F.coalesce(F.md5(F.col(text)), F.lit(""))
+    texts = ranked(some.groupBy(own.alias(key), digest.alias(of)).agg(F.count("*").alias(n)), "dup-texts", key, of, rank=place)
+    texts = cut(texts, "dup-ranks")
+    on = (own == F.col(key)) & (digest == F.col(of))
+    named = cut(some.join(texts.hint("shuffle_hash"), on).select(F.col(place).alias("doc_id"), F.col(text).alias("text")), "dup-named")
+    kept = near_duplicates(named, k, similar).where("kept").select(F.col("doc_id").alias(place)).distinct()
+    kept = cut(texts.join(kept, place).drop(place), "dup-kept")
+    once = some.join(kept.where(F.col(n) == 1).hint("shuffle_hash"), on, "left_semi")
+    again = some.join(kept.where(F.col(n) > 1).hint("shuffle_hash"), on).dropDuplicates([key, of]).select(*docs.columns)
+    return once.unionByName(again).unionByName(none)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .shared import cut, free_names
+from .shared import cut
 
 SAMPLE = 4000
 TRIGRAMS, EVENTS = 1 << 12, 1 << 8
@@ -236,8 +236,8 @@ def _fit_task(table: pa.Table) -> pa.Table:
     return pa.table({"weights": pa.array([w.tolist()], pa.list_(pa.float64()))})
 
 
-def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """doc_id, posterior (of the votes, null without words), score, keep for every row of docs."""
+def _model(docs: DataFrame, sample: int, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vote patterns, their posteriors, weights of the scorer) of docs."""
     spark = docs.sparkSession
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     voted = cut(votes_of(docs, text), "quality-votes")
@@ -253,6 +253,13 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD
         fitted = train.orderBy("h", "doc_id").limit(sample).select("text", "posterior", F.lit("sample").alias("of")).groupBy("of").applyInArrow(_fit_task, "weights array<double>").collect()
         if fitted:
             weights = np.array(fitted[0]["weights"])
+    return patterns, posterior, weights
+
+
+def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """doc_id, posterior (of the votes, null without words), score, keep for every row of docs."""
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    patterns, posterior, weights = _model(docs, sample, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,7 +278,12 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD
 
 
 def drop_low_quality(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """docs without the rows that the classifier rejects."""
-    (key,) = free_names(docs, "__id")
-    bad = cut(classify(docs, sample, threshold, text).where("not keep").select(F.col("doc_id").alias(key)).distinct(), "quality-bad")
-    return docs.join(bad.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")
+    """docs without the rows that the classifier rejects, each by its own text."""
+    _, _, weights = _model(docs, sample, text)
+
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        found = [(statistics(data, offsets)["words"] > 0) & (score(data, offsets, weights) >= threshold) for _, data, offsets in kernel.chunks(texts)]
+        return pa.array(np.concatenate(found) if found else np.empty(0, bool))
+
+    return docs.where(good(F.col(text)))

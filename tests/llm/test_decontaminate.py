@@ -79,6 +79,13 @@ def test_defined_cases(spark, messy, nothing):
     assert decontaminate.drop_contaminated(messy, b).columns == messy.columns
 
 
+def test_rows_that_share_an_id_are_dropped_one_by_one(spark):
+    rows = [(i, t, "en", "s", 0) for i in (None, 5) for t in ("a quick brown fox", "a clean text", "a clean text", None)]
+    b = spark.createDataFrame([(1, "quick brown fox")], "item_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in decontaminate.drop_contaminated(spark.createDataFrame(rows, DOCS), b).collect()]
+    assert sorted(map(str, kept)) == sorted(str(r[:2]) for r in rows if r[1] != "a quick brown fox")
+
+
 def test_no_python_in_the_plan(spark, messy):
     b = spark.createDataFrame([(1, "quick brown fox")], "item_id long, text string")
     plan = decontaminate.contamination(messy, b)._jdf.queryExecution().executedPlan().toString()

@@ -99,6 +99,15 @@ def test_defined_cases(messy, nothing):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "5", "6", "7", "9", "None", "None"]
 
 
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(3, text), (5, text), (5, "another text that stands under the same number"), (6, "first of two texts of six"), (6, "second one of six"), (6, "second one of six"), (6, None), (None, text), (None, text)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    kept = neardup.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(str((r["doc_id"], r["text"])) for r in kept.collect()) == sorted(str(r) for k, r in enumerate(rows) if k not in (1, 5))
+
+
 def test_kernel_words():
     import pyarrow as pa
 

@@ -46,3 +46,15 @@ def test_defined_cases(messy, nothing):
     kept = quality.drop_low_quality(messy)
     assert kept.columns == messy.columns
     assert {3, 4, 5}.isdisjoint({r["doc_id"] for r in kept.collect()})
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
+def test_rows_that_share_an_id_are_dropped_one_by_one(spark):
+    """A third of the rows without an id, a third with the same one."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = docs.selectExpr("case doc_id % 3 when 0 then null when 1 then 1 else doc_id end as doc_id", "text").where("doc_id is null or doc_id % 6 > 0")
+    count = lambda rows: {k: rows.count(k) for k in (None, 1)}
+    rows, kept = [r[0] for r in docs.select("doc_id").collect()], [r[0] for r in quality.drop_low_quality(docs).select("doc_id").collect()]
+    want = [r["doc_id"] for r in quality.classify(docs).where("keep").collect()]
+    assert count(kept) == count(want) and len(kept) == len(want)
+    assert all(0 < count(kept)[k] < count(rows)[k] for k in (None, 1))
