@@ -93,9 +93,10 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """(headers, block, end) of the record at `at` of uncompressed bytes; ValueError names the failed check."""
     if not re.match(rb"WARC/1\.[01]\r\n", raw[at : at + 10]):
         raise ValueError("version line")
-    head, mark, _ = raw[at : at + (1 << 16)].partition(b"\r\n\r\n")
-    if not mark:
+    blank = raw.find(b"\r\n\r\n", at)
+    if blank < 0:
         raise ValueError("header")
+    head = raw[at:blank]
     headers: dict[str, str] = {}
     for line in head.split(b"\r\n")[1:]:
         key, colon, value = line.partition(b":")

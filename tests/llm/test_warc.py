@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import zlib
 
 from caselink.llm import warc
 
@@ -36,6 +37,17 @@ def test_null_and_repeated_ids(spark):
     assert warc.read(warc.write(pages(spark, []))).count() == 0
 
 
+def test_a_url_of_any_length_is_read_back(spark):
+    long = "data:text/plain," + "x" * 100_000
+    rows = [(1, long, "a"), (2, long, "a"), (3, "u", "b")]
+    archives = warc.write(pages(spark, rows))
+    assert sorted((r["page_id"], r["record_type"]) for r in warc.read(archives).collect()) == [(1, "revisit"), (2, "response"), (3, "response")]
+    assert warc.gaps(archives).count() == 0
+    plain = zlib.decompress(warc.member(1, long, b"a", None, False), 31)
+    (record,) = warc.salvage(plain).records
+    assert record.headers["warc-target-uri"] == long and record.payload == b"a"
+
+
 def archive(n=6):
     members = [warc.member(i, f"http://x/{i}", b"payload %d " % i * 40, None, False) for i in range(n)]
     return members, b"".join(members)
