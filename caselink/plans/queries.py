@@ -313,6 +313,12 @@ def quick_links(spark, sf):
     return links.quick_links(*_v(spark, sf, "case_persons", "case_vehicles"))
 
 
+@query
+def quick_links_phones(spark, sf):
+    """Links by person, vehicle or phone; the SQL of quick_links has the first two only."""
+    return links.quick_links(*_v(spark, sf, "case_persons", "case_vehicles", "case_phones"))
+
+
 @query
 def shared_phone_buckets(spark, sf):
     """Cases and pairs behind each valid number: what linking by phone would make, before it is made."""

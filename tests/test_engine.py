@@ -1,6 +1,7 @@
 """Queries against SQL, the whole analysis, lookups, streams, and the entry module."""
 
 import importlib
+import itertools
 import math
 from pathlib import Path
 
@@ -50,6 +51,21 @@ def test_query_equals_sql(spark, db, name):
         assert all(map(same, g, w)), (g, w)
 
 
+def test_phone_links_are_whole(spark):
+    """Every pair of cases that share a person, vehicle or phone, by brute force over the groups."""
+    kinds = {}
+    for kind, name, key in (("P", "case_persons", "person_id"), ("V", "case_vehicles", "vehicle_id"), ("T", "case_phones", "phone_id")):
+        groups = {}
+        for r in views(spark, DATA, name)[0].select("case_id", key).distinct().collect():
+            groups.setdefault(r[1], []).append(r[0])
+        kinds[kind] = {pair for g in groups.values() for pair in itertools.combinations(sorted(g), 2)}
+    p, v, t = kinds["P"], kinds["V"], kinds["T"]
+    found = QUERIES["quick_links_phones"](spark, DATA)
+    got = {r["family"]: r["n"] for r in found.groupBy("family").agg(F.count("*").alias("n")).collect()}
+    assert got == {"PERSON_IDENTITY": len(p), "VEHICLE": len(v - p), "CONTACT": len(t - v - p)}
+    assert found.where("family = 'CONTACT' and confidence = 0.70 and level = 'HIGH'").count() == len(t - v - p) > 0
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(spark, name):
     df = QUERIES[name](spark, DATA)
