@@ -1,8 +1,8 @@
 """Vectorised text kernel on Arrow buffers.
 
 Works on the UTF-8 bytes of whole string columns: words are found with a
-256-entry class table, hashed by prefix sums of a polynomial modulo 2**64, and
-grouped into shingles without creating a Python object per word. A batch is cut
+256-entry class table, hashed in lanes of eight bytes, and grouped into shingles
+without creating a Python object per word. A batch is cut
 into chunks of about CHUNK bytes, so the memory of a task is bounded by that or
 by its longest single document.
 """
@@ -42,33 +42,6 @@ def seeds(n: int, of: int = 1) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + mix(np.array([of], _U)))
 
 
-_BASE = 0x5851F42D4C957F2D
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_BYTE = seeds(256, 7)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out, size = np.ones(n, _U), 1
-    step = base
-    while size < n:
-        more = min(size, n - size)
-        out[size : size + more] = out[:more] * _U(step)
-        step = step * step & (1 << 64) - 1
-        size += more
-    return out
-
-
-_held: list[np.ndarray] = []
-
-
-def _tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, at least n; they grow with the longest chunk."""
-    if not _held or len(_held[0]) < n:
-        size = max(CHUNK + 1, 1 << (n - 1).bit_length())
-        _held[:] = [_powers(_BASE, size), _powers(_BASE_INV, size)]
-    return _held
-
-
 def chunks(column: pa.Array, limit: int = CHUNK):
     """Yields (first row, bytes, offsets) for runs of rows of about `limit` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -103,13 +76,38 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+_LANE = 8
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(_LANE)] + [(1 << 64) - 1], _U)
+_STEP, _FIRST = _U(0x9E3779B97F4A7C15), _U(0x5851F42D4C957F2D)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lowered: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; equal words have equal hashes."""
-    n = len(data)
-    up, down = _tables(n + 1)
-    total = np.zeros(n + 1, _U)
-    np.cumsum(_BYTE[lowered[data]] * up[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U))
+    """A 64-bit hash of each word; equal words have equal hashes.
+
+    A word is read in lanes of eight bytes. Each lane, tied to its place, goes
+    through the finaliser before lanes are added up, so that no algebra between
+    the bytes of a word survives (a polynomial modulo 2**64 gives some long words
+    equal hashes whatever its base).
+    """
+    if not len(starts):
+        return np.empty(0, _U)
+    padded = np.zeros(len(data) + _LANE, np.uint8)
+    padded[: len(data)] = lowered[data]
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = ends - starts
+    many = np.maximum((size + _LANE - 1) // _LANE, 1)
+    first = np.cumsum(many) - many
+    if len(starts) == int(many.sum()):
+        at, left, place = starts, size, _FIRST
+    else:
+        k = np.arange(int(many.sum())) - np.repeat(first, many)
+        at, left = np.repeat(starts, many) + _LANE * k, np.repeat(size, many) - _LANE * k
+        place = mix(k.astype(_U) * _STEP + _FIRST)
+        place[k == 0] = _FIRST
+    mixed = mix((lanes[at] & _KEEP[np.minimum(left, _LANE)]) ^ place)
+    if len(mixed) > len(starts):
+        mixed = np.add.reduceat(mixed, first)
+    return mix(mixed + size.astype(_U) * _STEP)
 
 
 def row_counts(rows: np.ndarray, n: int) -> np.ndarray:
