@@ -5,15 +5,20 @@ b-bit MinHash values. The signature is split into chunks; with at most
 ERRORS = 2 * CHUNKS - 1 differing symbols in all, some chunk has at most one
 (pigeonhole), so enumerating the allowed error of each chunk - one key for each
 left-out symbol - guarantees that every pair within that signature distance
-shares a key. Pairs at the similarity threshold miss all keys with a chance of
-about 1e-6. No distance filter follows: each pair that shares a key is confirmed
-on its full sets.
-
-Equal sets are one node from the start. Keys connect nodes into candidate
-groups through stars (each node with the smallest of its key), so no pairs are
-written out; a group of many nodes is cut into blocks of bounded size, and every
-pair of blocks is confirmed in one task, which returns a spanning forest of its
-links only. Components of these forests are the classes.
+shares a key. Pairs that share a key are then held against the signature
+distance FAR, against their sizes and against a second sketch (one byte for the
+smallest hash of each of BINS ranges), and what is left is confirmed on full
+sets. FAR is wider than ERRORS: pairs at the similarity threshold miss all keys,
+lie beyond FAR, or fail the sketch with a chance of about 1e-6 each.
+
+Equal sets are one node from the start. Only classes are asked for, so a pair
+within one class needs no look. First each node is held against the leads of its
+keys (of a key's nodes the one with the most company), which joins dense classes
+without their pairs. Then the nodes of each key that are still in different
+classes are joined by signature distance. A key of many nodes is cut into blocks
+of bounded size, nodes of one large class into blocks of their own, and blocks of
+the same class are never compared. Pairs are confirmed in cells of two blocks of
+nodes, so that a full set travels once for all its pairs of a cell.
 
 Defined cases: a document with fewer than five words is one shingle; without
 words or text it has none and is linked with nothing. Documents with a null id
@@ -24,6 +29,7 @@ gives no rows. Ties go to the smaller doc_id. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +44,12 @@ WORDS, SIMILAR = 5, 75
 CHUNKS, PER = 10, 4
 SYMBOLS = CHUNKS * PER
 ERRORS = 2 * CHUNKS - 1
-BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
+#: Differing symbols up to which a pair that shares a key is confirmed.
+FAR = 24
+#: Ranges of the second sketch, and the chance that it drops a pair at the threshold.
+BINS, MISS = 128, 1e-6
+#: Nodes of a block of a hot key; sets and shingles of a block of a cell, on average at most.
+BLOCK, CELL_SETS, CELL_SHINGLES = 512, 256, 1 << 20
 
 _IS_WORD, _LOWERED = kernel.class_table(kernel.BLANKS)
 _FACTORS = kernel.seeds(SYMBOLS, 3) | np.uint64(1)
@@ -64,11 +75,33 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, signature array<long>"
+def sketches(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(sets, BINS) bytes: of the smallest hash in each range, 0 for none. Sets are sorted, so these are the first of their runs."""
+    row = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(sets))))
+    slot = row * BINS + (sets >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+    out = np.zeros(len(at) * BINS, np.uint8)
+    out[slot[first]] = kernel.mix(sets[first] + _TWO) % np.uint64(255) + np.uint64(1)
+    return out.reshape(len(at), BINS)
+
+
+def sketch_limits(similar: int) -> np.ndarray:
+    """By the number of ranges in use: the differing bytes that a pair at the threshold exceeds with a chance of MISS at most."""
+    p, out = 1 - similar / 100, [0]
+    for m in range(1, BINS + 1):
+        tail, q = 0.0, m
+        while q > 0 and tail + math.comb(m, q) * p**q * (1 - p) ** (m - q) <= MISS:
+            tail += math.comb(m, q) * p**q * (1 - p) ** (m - q)
+            q -= 1
+        out.append(q)
+    return np.array(out)
+
+
+SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, signature array<long>, sketch binary"
 
 
 def sign(docs: DataFrame, k: int = WORDS, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash of the set, and its signature (null where there are no shingles)."""
+    """doc_id, n_shingles, a 128-bit hash of the set, its signature and its sketch (empty where there are no shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,20 +111,28 @@ def sign(docs: DataFrame, k: int = WORDS, text: str = "text") -> DataFrame:
                 sizes = np.diff(bounds)
                 full = np.flatnonzero(sizes)
                 h = np.zeros((2, n), np.uint64)
-                words = np.zeros((0, CHUNKS), np.uint64)
+                words, marks = np.zeros((0, CHUNKS), np.uint64), np.zeros((0, BINS), np.uint8)
                 if len(full):
                     h[:, full] = set_hashes(sets, bounds[full])
-                    words = signatures(sets, bounds[full])
+                    words, marks = signatures(sets, bounds[full]), sketches(sets, bounds[full])
                 ends = np.concatenate(([0], np.cumsum((sizes > 0) * CHUNKS))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(words.reshape(-1).view(np.int64)))
+                ends = np.concatenate(([0], np.cumsum((sizes > 0) * BINS))).astype(np.int32)
+                bins = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(marks.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, n), pa.array(sizes), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), lists],
-                    ["doc_id", "n_shingles", "h1", "h2", "signature"],
+                    [batch.column("doc_id").slice(at, n), pa.array(sizes), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), lists, bins],
+                    ["doc_id", "n_shingles", "h1", "h2", "signature", "sketch"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SIGNED)
 
 
+def distinct_sets(signed: DataFrame) -> DataFrame:
+    """h1, h2, set_id (the smallest doc_id), docs, n, signature, sketch: one node for each set."""
+    first = [F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")]
+    return signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("docs"), *first).where("set_id is not null")
+
+
 def chunk_keys(signature: Column) -> Column:
     """The keys of a signature: for each chunk, the other symbols for each left-out one."""
     keys = []
@@ -104,102 +145,247 @@ def chunk_keys(signature: Column) -> Column:
     return F.array(*keys)
 
 
-def forest(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similar: int, cross: bool) -> list[tuple[int, int]]:
-    """Spanning stars (smallest, member) of the links between sets; with `cross`, of links between the two sides."""
-    n = len(ids)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    owners = np.repeat(np.arange(n), sizes)
-    values = np.concatenate(sets)
-    order = np.argsort(values, kind="stable")
-    values, owners = values[order], owners[order]
-    new = np.concatenate(([True], values[1:] != values[:-1]))
-    run = np.cumsum(new) - 1
-    shared = np.bincount(run)[run] > 1
-    columns = np.unique(run[shared], return_inverse=True)[1]
-    owners = owners[shared]
-    both = np.zeros((n, n), np.int64)
-    step = 4096
-    for a in range(0, int(columns[-1]) + 1 if len(columns) else 0, step):
-        i, j = np.searchsorted(columns, (a, a + step))
-        x = np.zeros((n, step), np.float32)
-        x[owners[i:j], columns[i:j] - a] = 1
-        both += (x @ x.T).astype(np.int64)
-    link = 100 * both >= similar * (sizes[:, None] + sizes[None, :] - both)
-    if cross:
-        link &= side[:, None] != side[None, :]
-    np.fill_diagonal(link, True)
-    label = np.arange(n)
-    by_id = np.argsort(ids, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[by_id] = label
-    while True:
-        new_rank = np.where(link, rank[None, :], n).min(1)
-        new_rank = np.minimum(new_rank, rank)
-        if (new_rank == rank).all():
-            break
-        rank = new_rank
-    return [(int(ids[by_id[r]]), int(ids[i])) for i, r in enumerate(rank) if ids[by_id[r]] != ids[i]]
-
-
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def distance(a: Column, b: Column) -> Column:
+    """Differing symbols of two signatures (Spark columns)."""
+    differ = F.transform(F.arrays_zip(a.alias("l"), b.alias("r")), lambda w: w["l"].bitwiseXOR(w["r"]))
+    symbol = lambda x, o: F.when(F.shiftrightunsigned(x, 16 * o).bitwiseAND(F.lit(0xFFFF)) != 0, 1).otherwise(0)
+    return F.aggregate(differ, F.lit(0), lambda n, x: n + symbol(x, 0) + symbol(x, 1) + symbol(x, 2) + symbol(x, 3))
 
 
-def _confirm(similar: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table.column("set_id").to_numpy()
-        _, first = np.unique(np.rec.fromarrays([ids, table.column("h1").to_numpy()]), return_index=True)
-        if len(first) < 2:
-            return _EDGES.empty_table()
-        hashes = table.column("hashes").combine_chunks()
-        sets = [np.frombuffer(hashes[int(i)].as_buffer(), np.uint64) for i in first]
-        found = forest(ids[first], table.column("blk").to_numpy()[first], sets, similar, key[1].as_py() != key[2].as_py())
-        return pa.Table.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=_EDGES)
+def near(a: str, b: str, similar: int) -> Column:
+    """Whether two nodes are close enough, by size and signature, to be confirmed on their sets."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    sized = (100 * n >= similar * m) & (100 * m >= similar * n)
+    return sized & (distance(F.col(f"{a}.signature"), F.col(f"{b}.signature")) <= FAR)
+
+
+def buckets(nodes: DataFrame) -> DataFrame:
+    """key, set_id, size of every key that at least two nodes have."""
+    keys = nodes.select("set_id", F.explode(chunk_keys(F.col("signature"))).alias("key"))
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key").select("key", "set_id", "size")
+
+
+def star_pairs(shared: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
+    """(a, b): each node b with the leads a of its keys, if near. A lead has the largest company over all its keys; ties go to the smaller id."""
+    company = shared.groupBy("set_id").agg(F.sum("size").alias("company"))
+    # bitwise_not turns the order of ids without overflow
+    top = F.max(F.struct("company", F.bitwise_not("set_id").alias("turned")))
+    leads = shared.join(company, "set_id").groupBy("key").agg(F.bitwise_not(top["turned"]).alias("a"))
+    stars = shared.join(leads, "key").where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
+    return _near_pairs(stars, nodes, similar)
+
+
+def _near_pairs(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
+    x, y = nodes.select("set_id", "n", "signature").alias("x"), nodes.select("set_id", "n", "signature").alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.set_id")).join(y, F.col("b") == F.col("y.set_id"))
+    return both.where(near("x", "y", similar)).select("a", "b")
+
+
+def open_pairs(shared: DataFrame, nodes: DataFrame, found: DataFrame, similar: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): pairs that share a key, are near, and are not yet in one class of `found` (id, component)."""
+    placed = shared.select("key", "set_id").join(found.withColumnRenamed("id", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("component", "set_id").alias("of"))
+    several = placed.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("key")
+    rows = cut(placed.join(several, "key").join(nodes.select("set_id", "n", "signature", "sketch"), "set_id"), "dup-open")
+    # Nodes of one large class of a key have blocks of their own, the rest are mixed.
+    sizes = rows.groupBy("key", "of").agg(F.count("*").alias("m")).withColumn("big", F.col("m") >= block)
+    small = sizes.where("not big").groupBy("key").agg(F.sum("m").alias("small"))
+    count = F.when(F.col("big"), F.ceil(F.col("m") / block)).otherwise(F.ceil(F.col("small") / block)).cast("long")
+    own = F.when(F.col("big"), F.col("of")).otherwise(0).cast("long")
+    blk = F.xxhash64("big", own, F.pmod(F.xxhash64("set_id"), count))
+    pure = F.when(F.col("big"), F.col("of"))
+    dealt = rows.join(sizes, ["key", "of"]).join(small, "key", "left").select("key", "set_id", "of", "n", "signature", "sketch", blk.alias("blk"), pure.alias("pure"))
+    blocks = dealt.select("key", "blk", "pure").distinct()
+    cells = (
+        blocks.select("key", F.col("blk").alias("p"), F.col("pure").alias("one")).join(blocks.select("key", F.col("blk").alias("q"), F.col("pure").alias("other")), "key")
+        .where((F.col("p") <= F.col("q")) & ~F.coalesce(F.col("one") == F.col("other"), F.lit(False))).select("key", "p", "q")
+    )
+    dealt = dealt.drop("pure")
+    x = dealt.withColumnRenamed("blk", "p").join(cells, ["key", "p"]).withColumn("right", F.lit(False))
+    y = dealt.withColumnRenamed("blk", "q").join(cells.where("p <> q"), ["key", "q"]).withColumn("right", F.lit(True))
+    cols = ["key", "p", "q", "right", "set_id", "of", "n", "signature", "sketch"]
+    dealt = x.select(*cols).unionByName(y.select(*cols)).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "right")
+    return dealt.mapInArrow(_compare(similar), "a long, b long")
+
+
+def first_keys(differ: np.ndarray) -> np.ndarray:
+    """The first key that pairs share, as chunk * PER + left-out symbol, from their differing symbols (pairs, SYMBOLS); SYMBOLS where there is none."""
+    by_chunk = differ.reshape(len(differ), CHUNKS, PER)
+    few = by_chunk.sum(2)
+    ok = few <= 1
+    chunk = ok.argmax(1)
+    rows = np.arange(len(differ))
+    return np.where(ok.any(1), chunk * PER + by_chunk[rows, chunk].argmax(1), SYMBOLS)
+
+
+#: Pairs looked at in one piece, and pairs from which a cell is looked at as a matrix.
+PIECE, MATRIX = 1 << 16, 1 << 12
+
+
+def close_pairs(cell: np.ndarray, right: np.ndarray, left_out: np.ndarray, of: np.ndarray, n: np.ndarray, symbols: np.ndarray, sketch: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): the near pairs of rows of each cell that are of different classes and have `left_out` as their first shared key.
+
+    Rows are sorted by cell, and in it by side; in a cell of one block all rows are on the left and pair with those behind them.
+    """
+    starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    ends = np.append(starts[1:], len(cell))
+    middle = starts + np.add.reduceat((~right).astype(np.int64), starts)
+    one = middle == ends
+    at = np.arange(len(cell))
+    which = np.repeat(np.arange(len(starts)), ends - starts)
+    begin = np.where(one[which], at + 1, middle[which])
+    count = np.where(right, 0, ends[which] - begin)
+    large = np.add.reduceat(count, starts) >= MATRIX
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+
+    limits = sketch_limits(similar)
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        good = first_keys(symbols[i] != symbols[j]) == left_out[i]
+        i, j = i[good], j[good]
+        x, y = sketch[i], sketch[j]
+        good = (x != y).sum(1) <= limits[((x | y) != 0).sum(1)]
+        out.append((i[good], j[good]))
+
+    rows = np.flatnonzero((count > 0) & ~large[which])
+    total = np.cumsum(count[rows])
+    a = 0
+    while a < len(rows):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PIECE, "right")))
+        some = rows[a:b]
+        i = np.repeat(some, count[some])
+        j = np.arange(len(i)) - np.repeat(np.cumsum(count[some]) - count[some], count[some]) + np.repeat(begin[some], count[some])
+        fit = (of[i] != of[j]) & (100 * n[i] >= similar * n[j]) & (100 * n[j] >= similar * n[i])
+        i, j = i[fit], j[fit]
+        fit = (symbols[i] != symbols[j]).sum(1) <= FAR
+        keep(i[fit], j[fit])
+        a = b
+    for c in np.flatnonzero(large).tolist():
+        lo, mid, hi = int(starts[c]), int(middle[c]), int(ends[c])
+        x = slice(lo, mid)
+        y = x if one[c] else slice(mid, hi)
+        apart = np.zeros((mid - lo, y.stop - y.start), np.uint8)
+        for s in range(SYMBOLS):
+            apart += symbols[x, s, None] != symbols[None, y, s]
+        fit = (apart <= FAR) & (of[x, None] != of[None, y]) & (100 * n[x, None] >= similar * n[None, y]) & (100 * n[None, y] >= similar * n[x, None])
+        if one[c]:
+            fit = np.triu(fit, 1)
+        i, j = np.nonzero(fit)
+        for k in range(0, len(i), PIECE):
+            keep(i[k : k + PIECE] + lo, j[k : k + PIECE] + y.start)
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
+
+
+def _compare(similar: int):
+    def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Tables that end with a cell; a cell is bounded, so what is held back is too."""
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            ids = np.stack([table.column(c).to_numpy() for c in ("key", "p", "q")])
+            last = np.flatnonzero((ids != ids[:, -1:]).any(0))
+            at = int(last[-1]) + 1 if len(last) else 0
+            held = table.slice(at)
+            if at:
+                yield table.slice(0, at)
+        if held is not None:
+            yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_cells(b for b in batches if b.num_rows):
+            key, p, q, ids, of, n = (table.column(c).to_numpy() for c in ("key", "p", "q", "set_id", "of", "n"))
+            right = table.column("right").to_numpy()
+            symbols = table.column("signature").combine_chunks().flatten().to_numpy().view(np.uint16).reshape(-1, SYMBOLS)
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+            cell = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))))
+            i, j = close_pairs(cell, right, key.view(np.uint64) >> np.uint64(48), of, n, symbols, sketch, similar)
+            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def full_sets(docs: DataFrame, active: DataFrame, k: int, text: str) -> DataFrame:
-    """active with the full set of each node, hashed again from its document's whole text."""
-    picked = docs.select(F.col("doc_id").cast("long").alias("set_id"), F.col(text).alias("text")).join(active.hint("shuffle_hash"), "set_id")
+def full_sets(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataFrame:
+    """set_id, hashes: the full set of each wanted node (set_id, h1, h2), hashed again from its document's whole text."""
+    picked = docs.select(F.col("doc_id").cast("long").alias("set_id"), F.col(text).alias("text")).join(wanted.hint("shuffle_hash"), "set_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
+            h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
             for at, data, offsets in kernel.chunks(batch.column("text")):
-                n = len(offsets) - 1
                 sets, bounds = shingles(data, offsets, k)
                 full = np.flatnonzero(np.diff(bounds))
                 if not len(full):
                     continue
-                h1, h2 = (h.view(np.int64) for h in set_hashes(sets, bounds[full]))
-                keep = full[(h1 == wanted[0][at + full]) & (h2 == wanted[1][at + full])]
-                rows = batch.select(["set_id", "h1", "cand", "blk", "blocks"]).take(pa.array(at + keep))
+                own = [h.view(np.int64) for h in set_hashes(sets, bounds[full])]
+                keep = full[(own[0] == h1[at + full]) & (own[1] == h2[at + full])]
                 hashes = pa.array([sets[bounds[i] : bounds[i + 1]].tobytes() for i in keep], pa.binary())
-                yield pa.RecordBatch.from_arrays([*rows.columns, hashes], ["set_id", "h1", "cand", "blk", "blocks", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column("set_id").take(pa.array(at + keep)), hashes], ["set_id", "hashes"])
+
+    return picked.select("set_id", "text", "h1", "h2").mapInArrow(run, "set_id long, hashes binary")
 
-    return picked.select("set_id", "text", "h1", "h2", "cand", "blk", "blocks").mapInArrow(run, "set_id long, h1 long, cand long, blk long, blocks long, hashes binary")
+
+def shares(lead: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with others; none is empty."""
+    values = np.concatenate(others)
+    place = np.minimum(np.searchsorted(lead, values), len(lead) - 1)
+    begin = np.cumsum([0, *map(len, others[:-1])])
+    return np.add.reduceat((lead[place] == values).astype(np.int64), begin)
+
+
+def _confirm(similar: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sets = None, {}
+        for batch in batches:
+            p, q, a, b = (batch.column(c).to_numpy() for c in ("p", "q", "a", "b"))
+            is_pair = batch.column("pair").to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (q[1:] != q[:-1]) | (is_pair[1:] != is_pair[:-1]) | (is_pair[1:] & (a[1:] != a[:-1])))))
+            linked = []
+            for i, j in zip(starts.tolist(), np.append(starts[1:], len(a)).tolist(), strict=True):
+                if (p[i], q[i]) != cell:
+                    cell, sets = (p[i], q[i]), {}
+                if not is_pair[i]:
+                    hashes = batch.column("hashes").slice(i, j - i)
+                    sets |= {k: np.frombuffer(hashes[n].as_buffer(), np.uint64) for n, k in enumerate(a[i:j].tolist())}
+                    continue
+                lead, others = sets[int(a[i])], [sets[k] for k in b[i:j].tolist()]
+                both, size = shares(lead, others), np.array([len(x) for x in others])
+                linked.append(i + np.flatnonzero(100 * both >= similar * (len(lead) + size - both)))
+            at = np.concatenate(linked) if linked else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at])], ["a", "b"])
+
+    return run
+
+
+def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, similar: int, text: str) -> DataFrame:
+    """The links among pairs (a, b), on full sets. Nodes are dealt to blocks; a cell holds the pairs of two blocks and their sets, each once."""
+    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(nodes.select("set_id", "n", "h1", "h2"), "set_id")
+    total = wanted.agg(F.count("*").alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
+    blocks = max(1, -(-total["sets"] // CELL_SETS), -(-total["shingles"] // CELL_SHINGLES))
+    sets = cut(full_sets(docs, wanted.drop("n"), k, text).dropDuplicates(["set_id"]), "dup-sets", "lz4")
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    celled = pairs.select(block("a").alias("p"), block("b").alias("q"), "a", "b")
+    sides = celled.select("p", "q", F.col("a").alias("set_id")).unionByName(celled.select("p", "q", F.col("b").alias("set_id"))).distinct()
+    held = sides.join(sets, "set_id").select("p", "q", F.lit(False).alias("pair"), F.col("set_id").alias("a"), F.lit(0).cast("long").alias("b"), "hashes")
+    rows = held.unionByName(celled.select("p", "q", F.lit(True).alias("pair"), "a", "b", F.lit(None).cast("binary").alias("hashes")))
+    dealt = rows.repartition("p", "q").sortWithinPartitions("p", "q", "pair", "a")
+    return dealt.mapInArrow(_confirm(similar), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     signed = cut(sign(docs, k, text), "dup-signed")
-    nodes = cut(
-        signed.where("n_shingles > 0").groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("set_id"), F.count("*").alias("docs"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
-        .where("set_id is not null"),
-        "dup-nodes",
-    )
-    keys = nodes.select("set_id", F.explode(chunk_keys(F.col("signature"))).alias("key"))
-    leads = keys.groupBy("key").agg(F.min("set_id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
-    stars = keys.join(leads, "key").where("lead <> set_id").select(F.col("lead").alias("a"), F.col("set_id").alias("b")).distinct()
-    groups = components(stars, "dup-candidates").withColumnRenamed("id", "set_id").withColumnRenamed("component", "cand")
-    members = cut(groups.join(nodes.select("set_id", "h1", "h2", "n"), "set_id"), "dup-members")
-    per = members.groupBy("cand").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    active = members.join(per, "cand").select("set_id", "h1", "h2", "cand", "blocks", F.pmod(F.xxhash64("set_id"), "blocks").alias("blk"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    pairs = full_sets(docs, active, k, text).select("*", other).select("set_id", "h1", "cand", "blk", "hashes", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"))
-    links = pairs.groupBy("cand", "p", "q").applyInArrow(_confirm(similar), "a long, b long")
-    found = components(links, "dup-links")
+    nodes = cut(distinct_sets(signed), "dup-nodes")
+    shared = cut(buckets(nodes), "dup-buckets")
+    stars = cut(star_pairs(shared, nodes, similar), "dup-stars")
+    links = cut(confirmed(docs, nodes, stars, k, similar, text), "dup-star-links")
+    found = components(links, "dup-classes")
+    rest = cut(open_pairs(shared, nodes, found, similar), "dup-rest")
+    if not rest.isEmpty():
+        more = cut(confirmed(docs, nodes, rest, k, similar, text), "dup-rest-links")
+        found = components(links.unionByName(more), "dup-links")
     classes = (
         nodes.select("h1", "h2", "set_id", "docs").join(found, F.col("set_id") == F.col("id"), "left")
         .select("h1", "h2", "docs", "set_id", F.coalesce("component", "set_id").alias("component"))
@@ -233,3 +419,21 @@ def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR
     once = some.join(kept.where(F.col(n) == 1).hint("shuffle_hash"), on, "left_semi")
     again = some.join(kept.where(F.col(n) > 1).hint("shuffle_hash"), on).dropDuplicates([key, of]).select(*docs.columns)
     return once.unionByName(again).unionByName(none)
+
+
+SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS t
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(t, s + 1, s + 5), ' ') AS w FROM docs, unnest(range(0, greatest(len(t) - 5, 0) + 1)) u(s) WHERE len(t) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+both_in AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM both_in b JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * b.n >= 75 * (p.n + q.n - b.n)),
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, far) AS (SELECT x, x FROM sides UNION SELECT r.doc_id, s.y FROM reach r JOIN sides s ON r.far = s.x),
+least_of AS (SELECT doc_id, min(far) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, d.doc_id = coalesce(component_id, d.doc_id) AS kept
+FROM docs d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN least_of l ON l.doc_id = d.doc_id
+"""

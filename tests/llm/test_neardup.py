@@ -51,7 +51,9 @@ def test_equals_brute_force(spark, seed):
 
 
 def test_large_group_is_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK_SETS", 16)
+    monkeypatch.setattr(neardup.open_pairs, "__defaults__", (16,))
+    monkeypatch.setattr(neardup, "CELL_SETS", 8)
+    monkeypatch.setattr(neardup, "MATRIX", 64)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(150)]
     rows = []
@@ -65,6 +67,106 @@ def test_large_group_is_cut_into_blocks(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_hub_and_spokes(spark):
+    """Copies that are close to one text only, which has the largest id."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(40):
+        t = list(base)
+        for _ in range(4):
+            t[rng.randrange(len(t))] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    rows.append((99, " ".join(base)))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
+    assert got == brute(rows)
+
+
+def boilerplate(n, seed=4):
+    """Texts that share a passage: pairs have a similarity of 0.2 to 0.4, or are copies of one another (one in fifty)."""
+    rng = random.Random(seed)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        if i % 50 == 49:
+            t = rows[-1][1].split()
+            t[-1] = "end"
+            rows.append((i, " ".join(t)))
+            continue
+        rows.append((i, " ".join(common + [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(45, 70))])))
+    return rows
+
+
+def test_shared_passages_do_not_make_groups(spark):
+    rows = boilerplate(1500)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    nodes = neardup.distinct_sets(neardup.sign(df)).persist()
+    shared = neardup.buckets(nodes)
+    stars = neardup.star_pairs(shared, nodes, 75).count()
+    none = spark.createDataFrame([], "id long, component long")
+    pairs = neardup.open_pairs(shared, nodes, none, 75).count()
+    assert stars + pairs < 0.01 * 1500 * 1499 / 2
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    assert got == {i: i - 1 if i % 50 == 49 else i for i, _ in rows}
+
+
+def test_close_pairs_equal_all_pairs():
+    """Every pair of different classes within FAR and the size ratio comes out once, in the cell of its first shared key."""
+    rng = np.random.default_rng(6)
+    n = 300
+    base = rng.integers(0, 1 << 16, (6, neardup.SYMBOLS)).astype(np.uint16)
+    symbols = base[rng.integers(0, 6, n)].copy()
+    for row in symbols:
+        row[rng.choice(neardup.SYMBOLS, rng.integers(0, 22), replace=False)] = rng.integers(0, 1 << 16)
+    sketch = np.zeros((n, neardup.BINS), np.uint8)
+    of, size = rng.integers(0, 40, n), rng.integers(50, 90, n)
+    keys: dict = {}
+    for i, row in enumerate(symbols.reshape(n, neardup.CHUNKS, neardup.PER)):
+        for c in range(neardup.CHUNKS):
+            for o in range(neardup.PER):
+                keys.setdefault((c * neardup.PER + o, tuple(np.delete(row[c], o))), []).append(i)
+    found = []
+    for limit in (1, 1 << 30):
+        neardup_matrix, neardup.MATRIX = neardup.MATRIX, limit
+        rows = [(k[0], r, cell) for cell, (k, members) in enumerate(keys.items()) for r in members]
+        at = np.array([r for _, r, _ in rows])
+        i, j = neardup.close_pairs(np.array([c for _, _, c in rows]), np.zeros(len(rows), bool), np.array([k for k, _, _ in rows], np.uint64), of[at], size[at], symbols[at], sketch[at], 75)
+        found.append(sorted((min(x), max(x)) for x in zip(at[i].tolist(), at[j].tolist())))
+        neardup.MATRIX = neardup_matrix
+    together = {frozenset(p) for members in keys.values() for p in ((x, y) for x in members for y in members if x != y)}
+    want = sorted(
+        (a, b) for a, b in (sorted(p) for p in together)
+        if of[a] != of[b] and (symbols[a] != symbols[b]).sum() <= neardup.FAR and 100 * min(size[a], size[b]) >= 75 * max(size[a], size[b])
+    )
+    assert found[0] == found[1] == want and len(want) > 100
+
+
+def test_sketch_keeps_pairs_at_the_threshold():
+    """Of pairs of sets with similarity 0.75, none fails the sketch; of 0.33 nearly all do."""
+    rng = np.random.default_rng(9)
+    limits = neardup.sketch_limits(75)
+    for shared, own, few in ((600, 100, 0), (60, 10, 0), (300, 300, 5), (6, 1, 0)):
+        missed, kept = 0, 0
+        for _ in range(300):
+            x = rng.integers(0, 1 << 64, shared + 2 * own, dtype=np.uint64)
+            sets = [np.unique(x[: shared + own]), np.unique(np.concatenate((x[:shared], x[shared + own :])))]
+            a, b = neardup.sketches(np.concatenate(sets), np.array([0, len(sets[0])]))
+            ok = (a != b).sum() <= limits[((a | b) != 0).sum()]
+            missed, kept = missed + (not ok), kept + ok
+        assert kept <= few if few else missed == 0
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """A Thue-Morse word and its complement are different texts."""
+    word = "a"
+    while len(word) < 2048:
+        word = "".join({"a": "ab", "b": "ba"}[c] for c in word)
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_pairs_within_the_distance_share_a_key(spark):
     """The guarantee: up to ERRORS differing symbols, wherever they stand, leave a common key."""
     from pyspark.sql import functions as F
