@@ -3,9 +3,13 @@
 Items are cut into windows of 10 consecutive words (a shorter item is one
 window). A window occurs only where all its words do, so its necessary prefix in
 the order of rarity is one token: the rarest by the counts over all documents.
-Document words join with these prefix tokens alone; the position of the token
-and the offsets of its windows bound where a window could lie, and each candidate
-is then confirmed word for word on the document's own words.
+What document words join with is the distinct (token, offset, window length): at
+most as many rows a token as there are places in a window, however many windows
+it stands for. The position of the word then gives the only place where such a
+window could lie, which must be within the document, and the words at that place
+are joined with the windows themselves, word for word.
+
+Documents are cut into words once, in a table that all passes read.
 
 Defined cases: null text has no words; a null item_id is written `null`; items
 without words have no window. Rows that repeat a doc_id are judged by their own
@@ -21,8 +25,8 @@ from pyspark.sql import functions as F
 from .shared import cut, free_names
 
 WINDOW = 10
-#: Prefix tables of at most so many windows are broadcast; larger ones are joined by shuffle.
-BROADCAST_WINDOWS = 100_000
+#: Tables made from the windows are broadcast while their words take at most so many bytes; larger ones are joined by shuffle.
+BROADCAST_BYTES = 8 << 20
 
 #: What separates words.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -48,63 +52,63 @@ def windows(items: DataFrame, size: int = WINDOW, item: str = "item_id", text: s
 
 
 def prefixes(cuts: DataFrame, counts: DataFrame) -> DataFrame:
-    """token, wins: the windows of which the token is the rarest word, with its offset in each."""
+    """token, off, size, distinct: where the rarest word of a window lies in it, and how long the window is."""
     rare = (
-        cuts.select("words", "items", F.posexplode("words").alias("off", "token"))
+        cuts.select("words", F.posexplode("words").alias("off", "token"))
         .join(counts, "token", "left")
-        .groupBy("words", "items").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("token").alias("token"), F.col("off").alias("off"))).alias("r"))
+        .groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("token").alias("token"), F.col("off").alias("off"))).alias("r"))
     )
-    return rare.groupBy(F.col("r.token").alias("token")).agg(F.collect_list(F.struct(F.col("r.off").alias("off"), "words", "items")).alias("wins"))
+    return rare.select("r.token", "r.off", F.size("words").alias("size")).distinct()
+
 
+def row_key(text: Column) -> Column:
+    """A digest of a row's id and text: rows that share it are the same document."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit(""))))
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text", how: str = "left") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids for every row of docs; `how` is inner to see rows with candidates only."""
-    return _found(docs, items, size, text, how)
 
+def cut_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, h (row_key), t (the words of the whole text) of every row; a written table."""
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col(text)).alias("h"), tokens(F.col(text)).alias("t")), "dec-words")
 
-def _found(docs: DataFrame, items: DataFrame, size: int, text: str, how: str, **more: Column) -> DataFrame:
-    """contamination() with more columns of (doc_id, text: never null)."""
+
+def occurrences(rows: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """h, hits of each document of `rows` (from cut_words) in which a window occurs; hits are structs (start, n, items)."""
     cuts = cut(windows(items, size), "dec-windows")
-    held = F.broadcast if cuts.count() <= BROADCAST_WINDOWS else lambda x: x
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    bytes_ = cuts.agg(F.sum(F.octet_length(F.array_join("words", " ")) + 16 * F.size("items"))).first()[0] or 0
+    held = F.broadcast if bytes_ <= BROADCAST_BYTES else lambda x: x
     vocabulary = cuts.select(F.explode("words").alias("token")).distinct()
     counts = cut(
-        rows.select(F.explode(tokens(F.col("text"))).alias("token")).join(held(vocabulary), "token").groupBy("token").agg(F.count("*").alias("n")),
+        rows.select(F.explode("t").alias("token")).join(held(vocabulary), "token").groupBy("token").agg(F.count("*").alias("n")),
         "dec-counts",
     )
     pre = cut(prefixes(cuts, counts), "dec-prefix")
-    near = (
-        rows.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
+    at = F.col("pos") - F.col("off")
+    places = (
+        rows.select("h", F.size("t").alias("len"), F.posexplode("t").alias("pos", "token"))
         .join(held(pre), "token")
-        .select("doc_id", "h", F.struct("pos", "wins").alias("cand"))
-        .distinct()
-        .groupBy(F.col("doc_id").alias("id"), F.col("h").alias("of")).agg(F.collect_list("cand").alias("cands"))
+        .where((at >= 0) & (at + F.col("size") <= F.col("len")))
+        .groupBy("h").agg(F.collect_set(F.struct(at.alias("start"), "size")).alias("places"))
     )
-    joined = rows.withColumn("h", F.xxhash64("text")).join(near.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("of")), how)
-    # Words are made once per row: Spark would copy their expression into the lambdas below if a projection made them.
-    return _judged(joined.select("doc_id", "cands", *[c.alias(n) for n, c in more.items()], F.explode(F.array(tokens(F.col("text")))).alias("t")), *more)
-
-
-def _judged(rows: DataFrame, *more: str) -> DataFrame:
-    """Confirms the candidates of each row (doc_id, t: words, cands, and columns to carry along) word for word."""
-    start = lambda c, w: c["pos"] - w["off"]
-    fits = lambda c, w: (start(c, w) >= 0) & (F.slice("t", F.greatest(start(c, w), F.lit(0)) + 1, F.size(w["words"])) == w["words"])
-    hits = F.flatten(
-        F.transform(
-            "cands",
-            lambda c: F.transform(F.filter(c["wins"], lambda w: fits(c, w)), lambda w: F.struct(start(c, w).alias("start"), F.size(w["words"]).alias("n"), w["items"].alias("items"))),
-        )
+    read = F.transform("places", lambda p: F.struct(p["start"].alias("start"), F.slice("t", p["start"] + 1, p["size"]).alias("words")))
+    found = (
+        rows.select("h", "t").join(places.hint("shuffle_hash"), "h")
+        .select("h", F.explode(read).alias("p")).select("h", "p.start", "p.words")
+        .join(held(cuts), "words")
     )
+    return found.groupBy("h").agg(F.collect_set(F.struct("start", F.size("words").alias("n"), "items")).alias("hits"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text") -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids for every row of docs."""
+    rows = cut_words(docs, text)
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1))))
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"]))))
+    found = cut(occurrences(rows, items, size).select("h", F.size(covered).alias("hit"), ids.alias("ids")), "dec-found")
     return (
-        rows.select("doc_id", *more, F.size("t").cast("long").alias("n_words"), F.explode(F.array(F.when(F.col("cands").isNotNull(), hits))).alias("hits"))
-        .select(
-            "doc_id", *more, "n_words", F.when(F.col("hits").isNotNull(), F.size(covered)).otherwise(0).cast("long").alias("n_hit"),
-            F.coalesce(ids, F.array().cast("array<string>")).alias("item_ids"),
-        )
+        rows.select("doc_id", "h", F.size("t").cast("long").alias("n_words")).join(found, "h", "left")
+        .select("doc_id", "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("ids", F.array().cast("array<string>")).alias("item_ids"))
         .select(
-            "doc_id", *more, "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+            "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
             F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "item_ids",
         )
     )
@@ -112,11 +116,9 @@ def _judged(rows: DataFrame, *more: str) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, text: str = "text") -> DataFrame:
     """docs without the rows in which a benchmark window occurs: the id and a digest of the text name a row."""
-    key, of = free_names(docs, "__id", "__digest")
-    found = _found(docs, items, size, text, "inner", digest=F.md5("text"))
-    bad = cut(found.where("contaminated").select(F.col("doc_id").alias(key), F.col("digest").alias(of)).distinct(), "dec-bad")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col(of))
-    return docs.join(bad.hint("shuffle_hash"), same, "left_anti")
+    (of,) = free_names(docs, "__digest")
+    bad = cut(occurrences(cut_words(docs, text), items, size).select(F.col("h").alias(of)), "dec-bad")
+    return docs.join(bad.hint("shuffle_hash"), row_key(F.col(text)) == F.col(of), "left_anti")
 
 
 SQL = r"""

@@ -61,7 +61,22 @@ def test_shuffle_path_gives_the_same(spark, monkeypatch):
     docs, items = fixture()
     d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], DOCS)
     b = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.contamination(d, b).collect()}
+    assert got == brute(docs, items)
+
+
+def test_prefix_rows_are_bounded(spark):
+    """Many windows around one common word: the word joins with its places in a window, not with the windows."""
+    rng = random.Random(2)
+    items = [(i, " ".join(["the"] * 9 + [f"r{rng.randrange(5)}"])) for i in range(200)] + [(i, " ".join(rng.sample([f"c{j}" for j in range(12)], 10))) for i in range(200, 500)]
+    docs = [(d, " ".join(rng.choice(["the", "r1", *[f"c{j}" for j in range(12)]]) for _ in range(400))) for d in range(10)]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], DOCS)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    cuts = decontaminate.windows(b)
+    counts = decontaminate.cut_words(d).selectExpr("explode(t) as token").groupBy("token").count().withColumnRenamed("count", "n")
+    per = [r["count"] for r in decontaminate.prefixes(cuts, counts).groupBy("token").count().collect()]
+    assert cuts.count() > 250 and max(per) <= decontaminate.WINDOW
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.contamination(d, b).collect()}
     assert got == brute(docs, items)
 
