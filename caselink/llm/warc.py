@@ -6,7 +6,8 @@ archive behind when an executor is lost; `data` is the archive file byte for
 byte.
 
 The reader checks every member (gzip CRC), version line, header and content
-length, and the payload digest. After a failed check it searches for the next
+length, the payload's digest and length, and that ids are whole numbers; a field
+that cannot be read is a failed check like any other. After a failed check it searches for the next
 member or version line from which a whole valid record can be read, goes on from
 there, and logs the bytes between as a quarantined gap. No later record is lost
 to an earlier fault.
@@ -103,17 +104,39 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
         if not colon:
             raise ValueError("header")
         headers[key.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    if not headers.get("content-length", "").isdecimal():
+    if not re.fullmatch(r"[0-9]{1,15}", headers.get("content-length", "")):
         raise ValueError("content length")
     start = at + len(head) + 4
     end = start + int(headers["content-length"])
     if raw[end : end + 4] != b"\r\n\r\n":
         raise ValueError("content length")
     block = raw[start:end]
+    check(headers, block)
+    return headers, block, end + 4
+
+
+def check(headers: dict[str, str], block: bytes) -> None:
+    """ValueError where a field cannot be read, or says something else than the record holds."""
+    response = headers.get("warc-type") == "response"
+    payload = block.partition(b"\r\n\r\n")[2]
     wanted = headers.get("warc-payload-digest", "")
-    if headers.get("warc-type") == "response" and wanted.startswith("sha1:") and base32_sha1(block.partition(b"\r\n\r\n")[2]) != wanted[5:]:
+    if response and wanted.startswith("sha1:") and base32_sha1(payload) != wanted[5:]:
         raise ValueError("payload digest")
-    return headers, block, end + 4
+    length = headers.get("warc-payload-length")
+    if length is not None and (not re.fullmatch("[0-9]{1,18}", length) or response and int(length) != len(payload)):
+        raise ValueError("payload length")
+    for name in ("warc-record-id", "warc-refers-to"):
+        page = _PAGE.fullmatch(headers.get(name, ""))
+        if page and not _whole(page[1]):
+            raise ValueError(name)
+
+
+_PAGE = re.compile(r"<urn:page:(.*)>", re.S)
+
+
+def _whole(text: str) -> bool:
+    """Whether a text is null or a whole number of 64 bits, in ASCII digits."""
+    return text == "null" or bool(re.fullmatch(r"-?[0-9]{1,19}", text)) and -(1 << 63) <= int(text) < 1 << 63
 
 
 def _one(data: bytes, at: int) -> Record:
@@ -165,8 +188,8 @@ def salvage(data: bytes) -> Salvage:
 
 
 def _id(text: str | None) -> int | None:
-    m = re.fullmatch(r"<urn:page:(-?\d+)>", text or "")
-    return int(m[1]) if m else None
+    page = _PAGE.fullmatch(text or "")
+    return int(page[1]) if page and page[1] != "null" else None
 
 
 def plan(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -243,7 +266,7 @@ def _record_rows(name: str, found: Salvage) -> list[dict]:
     return [
         {
             "page_id": _id(r.headers.get("warc-record-id")),
-            "payload_bytes": int(r.headers.get("warc-payload-length", len(r.payload))),
+            "payload_bytes": len(r.payload) if r.headers.get("warc-type") != "revisit" else int(r.headers.get("warc-payload-length", 0)),
             "payload_digest": r.headers.get("warc-payload-digest", "").removeprefix("sha1:"),
             "record_type": r.headers.get("warc-type"),
             "refers_to": _id(r.headers.get("warc-refers-to")),
@@ -263,3 +286,16 @@ def read(archives: DataFrame) -> DataFrame:
 def gaps(archives: DataFrame) -> DataFrame:
     """The quarantine log: byte ranges of no valid record, and why."""
     return _read(archives, GAPS, lambda name, found: [{"archive": name, "start": a, "end": b, "reason": why} for a, b, why in found.gaps])
+
+
+SQL = """
+WITH sized AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS digest FROM pages),
+firsts AS (SELECT digest, max(page_id) AS first_id, count(*) AS n FROM sized GROUP BY digest),
+letters AS (
+  SELECT digest, list_transform(range(8), lambda i: CAST('0x' || substr(digest, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS five FROM firsts),
+named AS (
+  SELECT digest, array_to_string(list_transform(five, lambda v: array_to_string(list_transform([32768, 1024, 32, 1], lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v // d) % 32 + 1 AS BIGINT), 1)), '')), '') AS payload_digest FROM letters)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN n > 1 AND page_id < first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n > 1 AND page_id < first_id THEN first_id END AS refers_to
+FROM sized JOIN firsts USING (digest) JOIN named USING (digest)
+"""

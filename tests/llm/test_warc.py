@@ -94,3 +94,31 @@ def test_gap_log(spark):
     assert [r["page_id"] for r in warc.read(df).orderBy("page_id").collect()] == [0, 2]
     (gap,) = warc.gaps(df).collect()
     assert (gap["archive"], gap["start"], gap["end"]) == ("a.warc.gz", len(members[0]), len(members[0]) + len(members[1]) - 3)
+
+
+def test_unreadable_fields_are_gaps():
+    """Fields that cannot be read, or say something else than the record, fail it; the records around it stay."""
+    good = [zlib.decompress(warc.member(i, f"http://x/{i}", b"payload", None, False), 31) for i in range(3)]
+    again = zlib.decompress(warc.member(1, "http://x/1", b"payload", 2, True), 31)
+    for old, new in (
+        (b"Payload-Length: 7", b"Payload-Length: x"), (b"Payload-Length: 7", b"Payload-Length: 9"), (b"Payload-Length: 7", "Payload-Length: ٧".encode()),
+        (b"<urn:page:1>", b"<urn:page:99999999999999999999>"), (b"<urn:page:1>", b"<urn:page:one>"), (b"Content-Length: ", b"Content-Length: -"), (b"Content-Length: ", b"Content-Length: " + b"9" * 40),
+    ):
+        bad = good[1].replace(old, new)
+        assert bad != good[1]
+        found = warc.salvage(good[0] + bad + good[2])
+        assert ids(found) == [0, 2] and found.gaps[0][:2] == (len(good[0]), len(good[0]) + len(bad))
+        assert len(warc._record_rows("a", found)) == 2
+    assert ids(warc.salvage(again)) == [1]
+    assert not warc.salvage(again.replace(b"<urn:page:2>", b"<urn:page:2x>")).records
+
+
+def test_long_pages_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    long = "é<p>" * 1_000_000
+    df = pages(spark, [(1, "u", long), (2, None, long), (3, "v", None), (None, None, None)])
+    for c in ("digest", "size", "sha", "refers_to", "revisit", "pid", "first_id", "n", "name", "data"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read(warc.write(df)).collect()}
+    assert got == {1: (len(long.encode()), "revisit", 2), 2: (len(long.encode()), "response", None), 3: (0, "response", None), None: (0, "revisit", 3)}
