@@ -59,6 +59,6 @@ def op10_pii_crf(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ann_search, op3_near_dedup, op4_decontamination, op5_license_scan, op6_token_ids, op7_warc, op8_chat_rotation, op9_mixing, op10_pii_crf)}
 QUERIES["pipeline"] = corpus_pipeline.run
-SQL = {"op3_near_dedup": neardup.SQL, "op4_decontamination": decontaminate.SQL, "op8_chat_rotation": chat.ROTATE_SQL}
+SQL = {"op3_near_dedup": neardup.SQL, "op4_decontamination": decontaminate.SQL, "op7_warc": warc.SQL, "op8_chat_rotation": chat.ROTATE_SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
