@@ -40,8 +40,14 @@ def eta_of(dimension: int, threshold: float = THRESHOLD) -> float:
     return max(1.0, (dimension - 1) * threshold**2 / (1 - threshold**2))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component to between 0.5 and 1: exact, and squares neither vanish nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def pairs(x: np.ndarray) -> np.ndarray:
     """(n, pairs, 2) of unit vectors, padded to an even number of pairs."""
+    x = scaled(x)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     pad = -x.shape[1] % 4
     return np.pad(x, ((0, 0), (0, pad))).reshape(len(x), -1, 2)
@@ -143,7 +149,7 @@ def _search(books: np.ndarray, dimension: int, k: int, rerank: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         if not rows.num_rows or not queries.num_rows:
             return _FOUND.empty_table()
-        v, q = _matrix(rows.column("v"), dimension), _matrix(queries.column("v"), dimension)
+        v, q = scaled(_matrix(rows.column("v"), dimension)), scaled(_matrix(queries.column("v"), dimension))
         packed = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(v), -1)
         ids, asked = rows.column("ids").to_pylist(), queries.column("query_id").to_numpy()
         norm = np.sqrt((v * v).sum(1))

@@ -80,3 +80,20 @@ def test_tables_equal_sums_over_codewords():
     codes = ann.assign(p, books, 2.0)
     plain = np.einsum("qjd,njd->qn", ann.pairs(q), np.stack([books[j][codes[:, j]] for j in range(p.shape[1])], 1))
     assert np.allclose(ann.scan(ann.pack(codes), books, q), plain, atol=1e-5)
+
+
+def test_tiny_and_huge_vectors(spark):
+    """Vectors whose squares vanish or overflow have the cosine of their scaled copies."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(120, 6))
+    factor = np.array([1e-200, 1.0, 1e200])[np.arange(120) % 3]
+    schema = "vec_id long, embedding array<double>"
+    plain = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], schema)
+    odd = spark.createDataFrame([(i, (v * f).tolist()) for i, (v, f) in enumerate(zip(x, factor))], schema)
+    for c in ("v", "ids", "block", "part", "score", "rank"):
+        odd = odd.withColumn(c, F.lit("clash"))
+    rows = [[(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in ann.nearest(d, d.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()] for d in (plain, odd)]
+    assert rows[0] == rows[1] and len(rows[0]) == 15
+    assert all(np.isfinite(r[3]) for r in rows[1])
