@@ -11,8 +11,8 @@ of a source is left, whose last few are landed by trying every rounding.
 
 Defined cases: null text has size 0; a null source is a source of its own, last
 in order; sources without words have target 0 and nothing of them is taken.
-Repeated rows are sampled one by one. Equal hashes are ordered by doc_id and
-size. An empty table gives no rows. Reruns agree: blocks, order and random draws
+Repeated rows are sampled one by one; only rows alike in id and text share a
+hash, and so a block. Equal hashes are ordered by doc_id and size. An empty table gives no rows. Reruns agree: blocks, order and random draws
 depend on the seed and the documents alone.
 """
 
@@ -38,8 +38,8 @@ BLOCK = 4096
 MAX_SOURCES = 100_000
 
 
-def word_counts(docs: DataFrame, separators: bytes = kernel.BLANKS, text: str = "text") -> DataFrame:
-    """doc_id, source, size: words of the whole text, counted on Arrow buffers."""
+def word_counts(docs: DataFrame, separators: bytes = kernel.BLANKS, text: str = "text", seed: int = 7) -> DataFrame:
+    """doc_id, source, size, h: words of the whole text, counted on Arrow buffers, and a hash of id and text."""
     is_word, _ = kernel.class_table(separators)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,10 +48,10 @@ def word_counts(docs: DataFrame, separators: bytes = kernel.BLANKS, text: str =
             for at, data, offsets in kernel.chunks(batch.column("text")):
                 _, _, rows = kernel.word_bounds(data, offsets, is_word)
                 sizes[at : at + len(offsets) - 1] = kernel.row_counts(rows, len(offsets) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(sizes)], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(sizes), batch.column("h")], ["doc_id", "source", "size", "h"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col(text).alias("text"))
-    return picked.mapInArrow(count, "doc_id long, source string, size long")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col(text).alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.col(text), F.lit(seed)).alias("h"))
+    return picked.mapInArrow(count, "doc_id long, source string, size long, h long")
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:
@@ -130,9 +130,7 @@ FLOWN = "doc_id long, source string, size long, h long, p double"
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: int = 7, text: str = "text") -> DataFrame:
     """doc_id, size, source, source_size, target, copies, taken for every row of docs."""
     spark = docs.sparkSession
-    rows = cut(
-        word_counts(docs, text=text).withColumn("h", F.xxhash64("doc_id", F.lit(seed))), "mix-sizes",
-    )
+    rows = cut(word_counts(docs, text=text, seed=seed), "mix-sizes")
     per = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(per) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: mix by a coarser column")
