@@ -5,8 +5,9 @@ votes of all documents are counted by pattern (at most 3 ** labellers rows reach
 the driver), and expectation-maximisation estimates the class prior and, for each labeller, how
 often its votes are right. The posterior of a pattern is the soft label of its documents. A logistic scorer over hashed features (byte
 trigrams, and word events such as a repeat of the previous word) is fitted to the
-soft labels of a bounded sample (`sample` documents with the smallest hashes) and
-then scores the whole text of every document.
+soft labels of a bounded sample (`sample` documents with the smallest hashes of id
+and text, as vectors of fixed size) and then scores the whole text of every
+document.
 
 Defined cases: null and empty text, and text without words, score 0 and are
 rejected. Documents that the labellers abstain on get the scorer's verdict.
@@ -17,6 +18,7 @@ Only doc_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,8 @@ def _table(chars: str) -> np.ndarray:
 _SYMBOL, _BAR, _MARK = _table("#$%&*<>{}[]^~\\="), _table("|"), _table("!?")
 _UPPER = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _LOWER = _table("abcdefghijklmnopqrstuvwxyz")
+#: First bytes of characters beyond Latin-1: of other scripts, nearly always.
+_OTHER = np.array([0] * 0xC4 + [1] * 60, np.int64)
 
 
 def _hashes_of(text: str) -> np.ndarray:
@@ -61,11 +65,28 @@ def _hashes_of(text: str) -> np.ndarray:
 _STOP = np.unique(_hashes_of(STOP_WORDS))
 
 
-def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+class Words(NamedTuple):
+    """The words of a chunk of documents: bounds, document, hash, and whether each repeats the one before."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    rows: np.ndarray
+    hashes: np.ndarray
+    again: np.ndarray
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
+    starts, ends, rows = kernel.word_bounds(data, offsets, _IS_WORD)
+    hashes = kernel.word_hashes(data, starts, ends, _LOWERED)
+    again = np.zeros(len(hashes), bool)
+    again[1:] = (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])
+    return Words(starts, ends, rows, hashes, again)
+
+
+def statistics(data: np.ndarray, offsets: np.ndarray, found: Words) -> dict[str, np.ndarray]:
     """Per document: words and the shares that the labellers look at."""
     n = len(offsets) - 1
-    starts, ends, rows = kernel.word_bounds(data, offsets, _IS_WORD)
-    words = kernel.word_hashes(data, starts, ends, _LOWERED)
+    starts, ends, rows, words, again = found
     count = kernel.row_counts(rows, n)
     some = np.maximum(count, 1)
 
@@ -73,13 +94,12 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         total = np.concatenate(([0], np.cumsum(table[data])))
         return total[offsets[1:]] - total[offsets[:-1]]
 
-    again = np.zeros(len(words), bool)
-    again[1:] = (words[1:] == words[:-1]) & (rows[1:] == rows[:-1])
     stop = _STOP[np.minimum(np.searchsorted(_STOP, words), len(_STOP) - 1)] == words
     first = np.concatenate(([0], np.cumsum(count)))
     distinct = np.array([len(np.unique(words[first[i] : first[i + 1]])) for i in range(n)], np.int64)
-    upper, lower = of_bytes(_UPPER), of_bytes(_LOWER)
+    upper, lower, other = of_bytes(_UPPER), of_bytes(_LOWER), of_bytes(_OTHER)
     return {
+        "foreign": other / np.maximum(1, upper + lower + other),
         "words": count,
         "symbol": of_bytes(_SYMBOL) / some,
         "bar": of_bytes(_BAR) / some,
@@ -103,14 +123,18 @@ LABELLERS = {
     "stop_words": ("stop", 20, ("<", 0.1), (">", 0.15)),
     "word_length": ("length", 20, (">", 6.8), None),
 }
+#: These judge by Latin words: they abstain where more than this share of letters is of other scripts.
+LATIN_ONLY, FOREIGN = ("stop_words", "word_length"), 0.3
 ABSTAIN, LOW, HIGH = 0, 1, 2
 
 
 def vote(found: dict[str, np.ndarray]) -> np.ndarray:
     """(documents, labellers) of ABSTAIN, LOW or HIGH."""
     out = np.zeros((len(found["words"]), len(LABELLERS)), np.int64)
-    for j, (name, least, low, high) in enumerate(LABELLERS.values()):
+    for j, (labeller, (name, least, low, high)) in enumerate(LABELLERS.items()):
         x, enough = found[name], found["words"] >= least
+        if labeller in LATIN_ONLY:
+            enough = enough & (found["foreign"] <= FOREIGN)
         for verdict, rule in ((HIGH, high), (LOW, low)):
             if rule is None:
                 continue
@@ -131,7 +155,7 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> t
 
     A labeller is right with its accuracy whenever it votes; abstaining says
     nothing. Accuracies start at 0.8 and are kept from 0.55 to 0.99, so the classes
-    cannot change places.
+    cannot change places; the prior may be anything.
     """
     votes = unpack(patterns)
     right, prior = np.full(votes.shape[1], 0.8), 0.7
@@ -140,7 +164,7 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> t
         lean = np.log(right / (1 - right))
         good = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + high @ lean - low @ lean, -500, 500)))
         was = np.append(right, prior)
-        prior = float(np.clip((good * counts).sum() / max(1, counts.sum()), 0.5, 0.99))
+        prior = float(np.clip((good * counts).sum() / max(1, counts.sum()), 0.001, 0.999))
         agree = ((high * good[:, None] + low * (1 - good)[:, None]) * counts[:, None]).sum(0) + 4
         right = np.clip(agree / (((high | low) * counts[:, None]).sum(0) + 5), 0.55, 0.99)
         if np.abs(np.append(right, prior) - was).max() < 1e-9:
@@ -148,20 +172,17 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> t
     return good, prior, right
 
 
-def features(data: np.ndarray, offsets: np.ndarray):
+def features(data: np.ndarray, offsets: np.ndarray, found: Words):
     """Feature ids and their rows: ((trigram buckets, rows), (word events, rows))."""
     low = data.astype(np.uint32)
     code = (low[:-2] << 16 | low[1:-1] << 8 | low[2:]) if len(low) > 2 else np.empty(0, np.uint32)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     inside = row[:-2] == row[2:] if len(low) > 2 else np.empty(0, bool)
     bucket = ((code * np.uint32(2654435761)) >> np.uint32(32 - 12)).astype(np.int64)
-    starts, ends, rows = kernel.word_bounds(data, offsets, _IS_WORD)
-    words = kernel.word_hashes(data, starts, ends, _LOWERED)
-    again = np.zeros(len(words), np.int64)
-    again[1:] = (words[1:] == words[:-1]) & (rows[1:] == rows[:-1])
+    starts, ends, rows, _, again = found
     head, tail = _KIND[data[starts]], _KIND[data[ends - 1]]
     size = np.minimum((ends - starts) // 4, 3)
-    return (bucket[inside], row[:-2][inside]) if len(low) > 2 else (bucket, row[:0]), (again * 128 + head * 32 + tail * 4 + size, rows)
+    return (bucket[inside], row[:-2][inside]) if len(low) > 2 else (bucket, row[:0]), (again.astype(np.int64) * 128 + head * 32 + tail * 4 + size, rows)
 
 
 def _kinds() -> np.ndarray:
@@ -180,7 +201,7 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Dense hashed features (relative frequencies) of a few documents, for training."""
     n, size = len(offsets) - 1, TRIGRAMS + EVENTS * 2
     out = np.zeros((n, size), np.float32)
-    for base, (ids, rows) in zip((0, TRIGRAMS), features(data, offsets), strict=True):
+    for base, (ids, rows) in zip((0, TRIGRAMS), features(data, offsets, words_of(data, offsets)), strict=True):
         np.add.at(out, (rows, base + ids), 1)
     for a, b in ((0, TRIGRAMS), (TRIGRAMS, size)):
         out[:, a:b] /= np.maximum(1, out[:, a:b].sum(1, keepdims=True))
@@ -204,53 +225,76 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 2
     return np.append(w * scale / np.sqrt(x.shape[1]), b)
 
 
-def score(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def score(data: np.ndarray, offsets: np.ndarray, found: Words, weights: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     total = np.full(n, weights[-1])
-    for base, (ids, rows) in zip((0, TRIGRAMS), features(data, offsets), strict=True):
+    for base, (ids, rows) in zip((0, TRIGRAMS), features(data, offsets, found), strict=True):
         count = np.maximum(1, np.bincount(rows, minlength=n))
         total += np.bincount(rows, weights=weights[base + ids], minlength=n) / count
     return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
 def votes_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, pattern (the votes as one number), n_words for every row of docs."""
+    """doc_id, h (a hash of id and text), pattern (the votes as one number), n_words for every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in kernel.chunks(batch.column("text")):
-                found = statistics(data, offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(offsets) - 1), pa.array(vote(found) @ _POWERS), pa.array(found["words"].astype(np.int64))], ["doc_id", "pattern", "n_words"]
-                )
+                found = statistics(data, offsets, words_of(data, offsets))
+                own = [batch.column(c).slice(at, len(offsets) - 1) for c in ("doc_id", "h")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(vote(found) @ _POWERS), pa.array(found["words"].astype(np.int64))], ["doc_id", "h", "pattern", "n_words"])
+
+    return _picked(docs, text).mapInArrow(run, "doc_id long, h long, pattern long, n_words long")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, pattern long, n_words long")
+
+def _picked(docs: DataFrame, text: str) -> DataFrame:
+    own = F.col("doc_id").cast("long")
+    return docs.select(own.alias("doc_id"), F.col(text).alias("text"), F.xxhash64(own, F.col(text)).alias("h"))
+
+
+def posterior_of(pattern: np.ndarray, patterns: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+    """Posteriors of vote patterns, by the sorted ones that EM has seen."""
+    near = np.minimum(np.searchsorted(patterns, pattern), max(0, len(patterns) - 1))
+    return posterior[near] if len(patterns) else np.zeros(len(pattern))
+
+
+def _sample_vectors(docs: DataFrame, text: str, least: int, patterns: np.ndarray, posterior: np.ndarray) -> DataFrame:
+    """h, posterior, x (float32 bytes) of the documents with words whose hash is at most `least`, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data, offsets in kernel.chunks(batch.column("text"), 1 << 18):
+                found = statistics(data, offsets, words_of(data, offsets))
+                some = np.flatnonzero(found["words"])
+                soft = posterior_of(vote(found) @ _POWERS, patterns, posterior)[some]
+                x = vectors(data, offsets)[some]
+                yield pa.RecordBatch.from_arrays([batch.column("h").take(pa.array(at + some)), pa.array(soft), pa.array([v.tobytes() for v in x], pa.binary())], ["h", "posterior", "x"])
+
+    rows = _picked(docs, text).where(F.col("h") <= least).mapInArrow(run, "h long, posterior double, x binary")
+    return rows.groupBy("h").agg(F.first("posterior").alias("posterior"), F.first("x").alias("x"))
 
 
 def _fit_task(table: pa.Table) -> pa.Table:
-    """The weights, from the bounded sample in one task."""
-    rows, y = [], table.column("posterior").to_numpy()
-    for _, data, offsets in kernel.chunks(table.column("text")):
-        rows.append(vectors(data, offsets))
-    w = fit_scorer(np.concatenate(rows), y, (np.abs(y - 0.5) + 0.05) * np.where(y < 0.5, 4, 1))
+    """The weights, from the bounded sample in one task: rows of fixed size."""
+    table = table.sort_by("h")
+    y = table.column("posterior").to_numpy()
+    x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(len(y), -1)
+    w = fit_scorer(x, y, (np.abs(y - 0.5) + 0.05) * np.where(y < 0.5, 4, 1))
     return pa.table({"weights": pa.array([w.tolist()], pa.list_(pa.float64()))})
 
 
 def _model(docs: DataFrame, sample: int, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(vote patterns, their posteriors, weights of the scorer) of docs."""
-    spark = docs.sparkSession
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    voted = cut(votes_of(docs, text), "quality-votes")
-    seen = voted.where("n_words > 0").groupBy("pattern").agg(F.count("*").alias("n")).collect()
+    voted = cut(votes_of(docs, text), "quality-votes").where("n_words > 0")
+    seen = voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()
     patterns = np.array(sorted(r["pattern"] for r in seen), np.int64)
     count_of = {r["pattern"]: r["n"] for r in seen}
     weights, posterior = np.zeros(TRIGRAMS + EVENTS * 2 + 1), np.empty(0)
     if len(patterns):
         posterior, _, _ = fit_labels(patterns, np.array([count_of[p] for p in patterns], float))
-        soft = F.broadcast(spark.createDataFrame([(int(p), float(g)) for p, g in zip(patterns, posterior, strict=True)], "pattern long, posterior double"))
-        ids = voted.where("n_words > 0 and doc_id is not null").select("doc_id", "pattern", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample)
-        train = picked.join(F.broadcast(ids.join(soft, "pattern").select("doc_id", "posterior", "h")), "doc_id")
-        fitted = train.orderBy("h", "doc_id").limit(sample).select("text", "posterior", F.lit("sample").alias("of")).groupBy("of").applyInArrow(_fit_task, "weights array<double>").collect()
+        least = voted.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+        rows = _sample_vectors(docs, text, least, patterns, posterior)
+        fitted = rows.withColumn("of", F.lit("sample")).groupBy("of").applyInArrow(_fit_task, "weights array<double>").collect()
         if fitted:
             weights = np.array(fitted[0]["weights"])
     return patterns, posterior, weights
@@ -264,12 +308,11 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in kernel.chunks(batch.column("text")):
-                found = statistics(data, offsets)
+                words = words_of(data, offsets)
+                found = statistics(data, offsets, words)
                 some = found["words"] > 0
-                pattern = vote(found) @ _POWERS
-                near = np.minimum(np.searchsorted(patterns, pattern), max(0, len(patterns) - 1))
-                post = posterior[near] if len(patterns) else np.zeros(len(pattern))
-                good = np.where(some, score(data, offsets, weights), 0.0)
+                post = posterior_of(vote(found) @ _POWERS, patterns, posterior)
+                good = np.where(some, score(data, offsets, words, weights), 0.0)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(at, len(good)), pa.array(post, mask=~some), pa.array(good), pa.array(some & (good >= threshold))], ["doc_id", "posterior", "score", "keep"]
                 )
@@ -283,7 +326,11 @@ def drop_low_quality(docs: DataFrame, sample: int = SAMPLE, threshold: float = T
 
     @F.arrow_udf("boolean")
     def good(texts: pa.Array) -> pa.Array:
-        found = [(statistics(data, offsets)["words"] > 0) & (score(data, offsets, weights) >= threshold) for _, data, offsets in kernel.chunks(texts)]
+        found = []
+        for _, data, offsets in kernel.chunks(texts):
+            words = words_of(data, offsets)
+            some = kernel.row_counts(words.rows, len(offsets) - 1) > 0
+            found.append(some & (score(data, offsets, words, weights) >= threshold))
         return pa.array(np.concatenate(found) if found else np.empty(0, bool))
 
     return docs.where(good(F.col(text)))
