@@ -6,6 +6,9 @@ unless a function says otherwise.
 
 from __future__ import annotations
 
+import json
+import re
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -51,22 +54,34 @@ SENSITIVE_PROPERTIES = ("date_of_birth", "address", "password", "token", "secret
 
 
 @lru_cache(maxsize=1)
-def _folds() -> tuple[str, str]:
-    """Characters whose compatibility decomposition leaves one ASCII character, and that character."""
-    one, to = [], []
-    for code in range(0x80, 0x10000):
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """(characters whose compatibility decomposition leaves one ASCII character, those characters, and the rest with what they leave)."""
+    one, to, more = [], [], {}
+    for code in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= code <= 0xDFFF:
+            continue
         left = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
-        if len(left) == 1 and not 0xD800 <= code <= 0xDFFF:
+        if len(left) == 1:
             one.append(chr(code))
             to.append(left)
-    return "".join(one), "".join(to)
+        elif left:
+            more[chr(code)] = left
+    return "".join(one), "".join(to), more
+
+
+def _spelled(body: Column) -> Column:
+    """Characters that leave several ASCII characters (ligatures, fractions, units) written out; only texts that hold one are taken apart."""
+    more = _folds()[2]
+    table = F.from_json(F.lit(json.dumps(more)), "map<string,string>")
+    each = F.transform(F.split(body, ""), lambda c: F.when(F.octet_length(c) == 1, c).otherwise(F.coalesce(F.try_element_at(table, c), c)))
+    return F.when(body.rlike("[" + "".join(more) + "]"), F.array_join(each, "")).otherwise(body)
 
 
 def fold(text: Column) -> Column:
-    """NFKD and then ASCII only, for characters that leave at most one ASCII character (others, as ligatures, are dropped)."""
-    one, to = _folds()
+    """NFKD and then ASCII only."""
+    one, to, _ = _folds()
     body = F.coalesce(text, F.lit(""))
-    return F.when(F.length(body) == F.octet_length(body), body).otherwise(F.regexp_replace(F.translate(body, one, to), r"[^\x00-\x7F]", ""))
+    return F.when(F.length(body) == F.octet_length(body), body).otherwise(F.regexp_replace(F.translate(_spelled(body), one, to), r"[^\x00-\x7F]", ""))
 
 
 def squeeze(text: Column) -> Column:
@@ -164,6 +179,21 @@ def moment(ts: Column) -> Column:
     )
 
 
+def day(value: Column) -> Column:
+    """ISO text of a date."""
+    return F.date_format(value.cast("date"), "yyyy-MM-dd")
+
+
+def clock(value: Column) -> Column:
+    """struct(iso, hour, tokens) of a time of day given as text (`H:MM` or `HH:MM:SS`); other texts are trimmed and have neither hour nor tokens."""
+    shape = r"^([01]?[0-9]|2[0-3]):([0-5][0-9])(?::([0-5][0-9]))?$"
+    text = F.trim(value)
+    part = lambda i: F.lpad(F.coalesce(F.nullif(F.regexp_extract(text, shape, i), F.lit("")), F.lit("0")), 2, "0")
+    known = text.rlike(shape)
+    hour = F.when(known, part(1))
+    return F.struct(F.when(known, F.concat_ws(":", part(1), part(2), part(3))).otherwise(text).alias("iso"), hour.cast("int").alias("hour"), F.when(known, F.array(F.concat(hour, F.lit(":00")))).alias("tokens"))
+
+
 def time_bucket(hour: Column) -> Column:
     return F.when(hour.between(6, 11), "MORNING").when(hour.between(12, 16), "AFTERNOON").when(hour.between(17, 20), "EVENING").when(hour.between(0, 23), "NIGHT")
 
@@ -227,6 +257,18 @@ def bounded(score: Column, digits: int = 4) -> Column:
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), digits)
 
 
+def shown(score: Column) -> Column:
+    """A score of four decimals as text, without an exponent: 0.0002, 0.5, 1.0."""
+    return F.regexp_replace(F.format_string("%.4f", score), r"(\.[0-9]+?)0+$", "$1")
+
+
+def said(template: str, **values: Column) -> Column:
+    """A text template with its {names} filled by columns; null is written `None`."""
+    parts = re.split(r"\{(\w+)\}", template)
+    made = [F.coalesce(values[x].cast("string"), F.lit("None")) if i % 2 else F.lit(x) for i, x in enumerate(parts)]
+    return F.concat(*made)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets given as arrays; 0 where both are empty."""
     union = F.size(F.array_union(a, b))

@@ -8,7 +8,7 @@ operator is defined so. Null ids are dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
@@ -38,13 +38,24 @@ def buckets(entries: DataFrame) -> DataFrame:
 def pairs(entries: DataFrame, least: int | None = None, most: int | None = None) -> DataFrame:
     """id1, id2, signals."""
     if least or most:
-        size = F.count("*").over(Window.partitionBy("signal", "key"))
-        entries = entries.withColumn("n", size).where(F.col("n").between(least or 0, most or 1 << 62)).drop("n")
+        sizes = entries.groupBy("signal", "key").agg(F.count("*").alias("n")).where(F.col("n").between(least or 0, most or 1 << 62))
+        entries = entries.join(sizes.select("signal", "key"), ["signal", "key"])
     a, b = entries.alias("a"), entries.alias("b")
     joined = a.join(b, (F.col("a.signal") == F.col("b.signal")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
     return joined.groupBy(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).agg(F.array_sort(F.collect_set("a.signal")).alias("signals"))
 
 
+def classes(entries: DataFrame) -> DataFrame:
+    """signal, key, id, first_id, ids: each id with the smallest one of its bucket and the bucket's size.
+
+    What `pairs` says with a row for every pair of a bucket, in one row for every
+    id: two ids of a bucket share its first_id. It grows with the ids alone, so it
+    is the form for buckets of common names.
+    """
+    per = entries.groupBy("signal", "key").agg(F.min("id").alias("first_id"), F.count("*").alias("ids")).where("ids > 1")
+    return entries.join(per, ["signal", "key"]).select("signal", "key", "id", "first_id", "ids")
+
+
 def person_keys(persons: DataFrame) -> DataFrame:
     p = persons.withColumn("p", N.person(F.col("name")))
     last = F.element_at("p.tokens", -1)

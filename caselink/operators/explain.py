@@ -35,6 +35,27 @@ LIMITS = {
         "Network centrality does not imply leadership, criminal responsibility, or operational intent.",
     ),
 }
+#: Output texts as (title, observation, explanation), and parts of them.
+TEXTS = {
+    "pattern": ("Explanation for {title}", "Pattern observation '{title}' was detected with structural strength {strength} across {n} occurrences.", "The analytical pattern was derived because {description} Supporting signals include: {signals}."),
+    "relationship": (
+        "Explanation for Relationship Link ({level})", "Relationship link between Case {id1} and Case {id2} evaluated with {level} confidence (score: {score}).",
+        "Step 5B Confidence Assessment: {level} confidence based on {counts} across {families} evidence categories. Relationship Confidence: {level} (Score: {rounded}). Contributing Evidence Categories ({families}): {names}.",
+    ),
+    "community": (
+        "Explanation for Graph Community ({id})", "Graph structural community '{id}' identified with {n} member nodes and density {density}.",
+        "Community cluster derived from graph structural modularity. Spans multiple police stations: {spans}. Total station count: {stations}.",
+    ),
+    "connector": (
+        "Explanation for Network Connector Node ({label}:{id})", "Network node '{id}' ({label}) identified as high-centrality connector node connecting {cases} cases.",
+        "High structural centrality detected with total degree {degree} and betweenness centrality {between}. Role summary: {role}.",
+    ),
+}
+PARTS = {
+    "high": "{n} high-confidence/exact signal(s)", "possible": "{n} possible/pattern signal(s)", "weak": "{n} weak signal(s)", "family": "Contributing Signal Family: {name}", "density": "Community Structural Density: {density}",
+    "between": "Betweenness Centrality: {between}", "role": "Bridge Node", "cautious": "Person identity relies on name-only match without supporting DOB/phone evidence.",
+    "context": "Only contextual similarity signals present; no direct entity or attribute overlaps.",
+}
 COLUMNS = ("explanation_id", "subject_id", "subject_type", "title", "observation", "explanation", "case_ids", "entity_ids", "signals", "weight", "limitations")
 
 
@@ -42,68 +63,53 @@ def _texts(*values: str) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _concat(*parts) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
 def _none() -> Column:
     return F.array().cast("array<string>")
 
 
+def _told(kind: str, key: Column, subject: Column, subject_type: Column, values: dict[str, Column], cases: Column, entities: Column, signals: Column, weight: Column, limits: Column) -> list[Column]:
+    """The columns of an explanation whose texts are those of its kind."""
+    title, observation, explanation = (N.said(t, **values) for t in TEXTS[kind])
+    made = F.concat(F.lit(f"exp:{kind}:"), N.content_id(F.lit(f"exp:{kind}"), key))
+    parts = (made, subject, subject_type, title, observation, explanation, cases, entities, signals, weight, limits)
+    return [c.alias(n) for c, n in zip(parts, COLUMNS, strict=True)]
+
+
 def of_patterns(patterns: DataFrame) -> DataFrame:
     c = F.col
     subject = F.coalesce("entity_id", "first_case", "pattern_id")
     kind = F.coalesce("entity_type", F.when(c("first_case").isNotNull(), "Case"), F.lit("Pattern"))
     limits = F.when(c("pattern_type") == "MODUS_OPERANDI", _texts(*LIMITS["pattern"], *LIMITS["method"])).otherwise(_texts(*LIMITS["pattern"]))
-    return patterns.select(
-        _concat("exp:pattern:", N.content_id(F.lit("exp:pattern"), F.array(c("pattern_id"), subject))).alias("explanation_id"), subject.alias("subject_id"), kind.alias("subject_type"),
-        _concat("Explanation for ", c("title")).alias("title"),
-        _concat("Pattern observation '", c("title"), "' was detected with structural strength ", c("strength"), " across ", c("occurrence_count"), " occurrences.").alias("observation"),
-        _concat("The analytical pattern was derived because ", c("description"), " Supporting signals include: ", F.array_join("signals", ", "), ".").alias("explanation"),
-        "case_ids", F.when(c("entity_id").isNotNull(), F.array("entity_id")).otherwise(_none()).alias("entity_ids"), "signals", c("strength").alias("weight"), limits.alias("limitations"),
-    )
+    values = {"title": c("title"), "strength": N.shown(c("strength")), "n": c("occurrence_count"), "description": c("description"), "signals": F.array_join("signals", ", ")}
+    entities = F.when(c("entity_id").isNotNull(), F.array("entity_id")).otherwise(_none())
+    return patterns.select(*_told("pattern", F.array(c("pattern_id"), subject), subject, kind, values, c("case_ids"), entities, c("signals"), c("strength"), limits))
 
 
 def of_links(confidence: DataFrame) -> DataFrame:
     c = F.col
-    summary = _concat(c("level"), " confidence based on ", F.array_join(F.array_compact(F.array(
-        F.when(c("high") > 0, _concat(c("high"), " high-confidence/exact signal(s)")), F.when(c("possible") > 0, _concat(c("possible"), " possible/pattern signal(s)")), F.when(c("weak") > 0, _concat(c("weak"), " weak signal(s)")),
-    )), ", "), " across ", F.size("families"), " evidence categories.")
-    notes = F.array_sort(F.array_compact(F.array(
-        F.when(c("cautious"), F.lit("Person identity relies on name-only match without supporting DOB/phone evidence.")), F.when(~c("direct"), F.lit("Only contextual similarity signals present; no direct entity or attribute overlaps.")),
-    )))
-    return confidence.select(
-        _concat("exp:relationship:", N.content_id(F.lit("exp:relationship"), F.array("pair_key"))).alias("explanation_id"), c("pair_key").alias("subject_id"), F.lit("CasePair").alias("subject_type"),
-        _concat("Explanation for Relationship Link (", c("level"), ")").alias("title"),
-        _concat("Relationship link between Case ", c("id1"), " and Case ", c("id2"), " evaluated with ", c("level"), " confidence (score: ", c("score"), ").").alias("observation"),
-        _concat("Step 5B Confidence Assessment: ", summary, " Relationship Confidence: ", c("level"), " (Score: ", F.format_number("score", 2), "). Contributing Evidence Categories (", F.size("families"), "): ", F.array_join("families", ", "), ".").alias("explanation"),
-        F.array("id1", "id2").alias("case_ids"), _none().alias("entity_ids"), F.transform("families", lambda f: F.concat(F.lit("Contributing Signal Family: "), f)).alias("signals"), c("score").alias("weight"),
-        F.concat(_texts(*LIMITS["relationship"]), notes).alias("limitations"),
-    )
+    some = lambda name: F.when(c(name) > 0, N.said(PARTS[name], n=c(name)))
+    counted = F.array_join(F.array_compact(F.array(some("high"), some("possible"), some("weak"))), ", ")
+    notes = F.array_sort(F.array_compact(F.array(F.when(c("cautious"), F.lit(PARTS["cautious"])), F.when(~c("direct"), F.lit(PARTS["context"])))))
+    values = {
+        "level": c("level"), "id1": c("id1"), "id2": c("id2"), "score": N.shown(c("score")), "counts": counted, "families": F.size("families"), "rounded": F.format_number("score", 2), "names": F.array_join("families", ", "),
+    }
+    signals = F.transform("families", lambda f: N.said(PARTS["family"], name=f))
+    return confidence.select(*_told("relationship", F.array("pair_key"), c("pair_key"), F.lit("CasePair"), values, F.array("id1", "id2"), _none(), signals, c("score"), F.concat(_texts(*LIMITS["relationship"]), notes)))
 
 
 def of_communities(communities: DataFrame) -> DataFrame:
     c = F.col
-    yes = F.when(c("spans_cross_station"), "True").otherwise("False")
-    return communities.select(
-        _concat("exp:community:", N.content_id(F.lit("exp:community"), F.array("community_id"))).alias("explanation_id"), c("community_id").alias("subject_id"), F.lit("Community").alias("subject_type"),
-        _concat("Explanation for Graph Community (", c("community_id"), ")").alias("title"),
-        _concat("Graph structural community '", c("community_id"), "' identified with ", c("member_count"), " member nodes and density ", c("density"), ".").alias("observation"),
-        _concat("Community cluster derived from graph structural modularity. Spans multiple police stations: ", yes, ". Total station count: ", c("station_count"), ".").alias("explanation"),
-        _none().alias("case_ids"), _none().alias("entity_ids"), F.array(_concat("Community Structural Density: ", c("density"))).alias("signals"), F.round("density", 4).alias("weight"), _texts(*LIMITS["community"]).alias("limitations"),
-    )
+    values = {"id": c("community_id"), "n": c("member_count"), "density": N.shown(c("density")), "spans": F.when(c("spans_cross_station"), "True").otherwise("False"), "stations": c("station_count")}
+    signals = F.array(N.said(PARTS["density"], density=values["density"]))
+    return communities.select(*_told("community", F.array("community_id"), c("community_id"), F.lit("Community"), values, _none(), _none(), signals, F.round("density", 4), _texts(*LIMITS["community"])))
 
 
 def of_connectors(metrics: DataFrame) -> DataFrame:
     c = F.col
     between = F.format_number("betweenness", 4)
-    return metrics.where("is_connector").select(
-        _concat("exp:connector:", N.content_id(F.lit("exp:connector"), F.array("node_id"))).alias("explanation_id"), c("node_id").alias("subject_id"), c("label").alias("subject_type"),
-        _concat("Explanation for Network Connector Node (", c("label"), ":", c("node_id"), ")").alias("title"),
-        _concat("Network node '", c("node_id"), "' (", c("label"), ") identified as high-centrality connector node connecting ", c("cases"), " cases.").alias("observation"),
-        _concat("High structural centrality detected with total degree ", c("total_degree"), " and betweenness centrality ", between, ". Role summary: ", F.coalesce("role", F.lit("Bridge Node")), ".").alias("explanation"),
-        _none().alias("case_ids"), F.array("node_id").alias("entity_ids"), F.array(_concat("Betweenness Centrality: ", between)).alias("signals"), F.round("betweenness", 4).alias("weight"), _texts(*LIMITS["connector"]).alias("limitations"),
-    )
+    values = {"label": c("label"), "id": c("node_id"), "cases": c("cases"), "degree": c("total_degree"), "between": between, "role": F.coalesce("role", F.lit(PARTS["role"]))}
+    signals = F.array(N.said(PARTS["between"], between=between))
+    return metrics.where("is_connector").select(*_told("connector", F.array("node_id"), c("node_id"), c("label"), values, _none(), F.array("node_id"), signals, F.round("betweenness", 4), _texts(*LIMITS["connector"])))
 
 
 def union(*parts: DataFrame, subject: str | None = None) -> DataFrame:

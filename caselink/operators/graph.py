@@ -45,19 +45,27 @@ def node_rows(df: DataFrame, key: str, label: str, station: str | None = None, *
     made = N.redact(F.create_map(*pairs)) if pairs else F.create_map().cast("map<string,string>")
     station_id = F.col(station) if station else F.lit(None).cast("string")
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("node_id"), F.lit(label).alias("label"), station_id.alias("station_id"), made.alias("props"))
-    return rows.dropDuplicates(["label", "node_id"])
+    # Rows of one id collapse to the one with the greatest station and properties, so that reruns agree.
+    order = F.struct("station_id", F.array_sort(F.map_entries("props")).alias("props"))
+    kept = rows.groupBy("label", "node_id").agg(F.max(order).alias("m"))
+    return kept.select("node_id", "label", "m.station_id", F.map_from_entries("m.props").alias("props"))
 
 
-def edge_rows(links: DataFrame, src: str, dst: str, rel_type: str, nodes: DataFrame, weight: str | None = None) -> DataFrame:
-    """Edges of one type with both ends in nodes; repeats of a pair collapse."""
-    known = nodes.select("node_id")
+def edge_rows(links: DataFrame, src: str, dst: str, rel_type: str, nodes: DataFrame | None = None, weight: str | None = None) -> DataFrame:
+    """Edges of one type; repeats of a pair collapse. With `nodes`, those with both ends in it (or see `known_ends`, once for all types)."""
     w = F.max(weight) if weight else F.lit(1.0)
     rows = links.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).groupBy(F.col(src).cast("string").alias("src"), F.col(dst).cast("string").alias("dst")).agg(w.cast("double").alias("weight"))
-    kept = rows.join(known, rows["src"] == known["node_id"], "left_semi").join(known, rows["dst"] == known["node_id"], "left_semi")
-    return kept.select(F.concat_ws(":", "src", F.lit(rel_type), "dst").alias("edge_id"), "src", "dst", F.lit(rel_type).alias("rel_type"), "weight")
+    made = rows.select(F.concat_ws(":", "src", F.lit(rel_type), "dst").alias("edge_id"), "src", "dst", F.lit(rel_type).alias("rel_type"), "weight")
+    return made if nodes is None else known_ends(made, nodes)
+
+
+def known_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges with both ends in nodes: one semi-join for each end, whatever the number of edge types."""
+    known = nodes.select("node_id")
+    return edges.join(known, edges["src"] == known["node_id"], "left_semi").join(known, edges["dst"] == known["node_id"], "left_semi")
 
 
-def related_rows(pairs: DataFrame, nodes: DataFrame, confidence: str = "confidence") -> DataFrame:
+def related_rows(pairs: DataFrame, nodes: DataFrame | None = None, confidence: str = "confidence") -> DataFrame:
     """RELATED_TO edges from case pairs, in canonical direction; a case is not related to itself."""
     p = pairs.select(F.least("id1", "id2").alias("s"), F.greatest("id1", "id2").alias("d"), F.col(confidence).alias("w")).where("s <> d")
     return edge_rows(p, "s", "d", "RELATED_TO", nodes, "w").withColumn("edge_id", F.concat_ws(":", "src", "dst", F.lit("RELATED_TO")))
@@ -93,10 +101,11 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def traverse(edges: DataFrame, nodes: DataFrame, starts: DataFrame, depth: int = 3, edge_types: list[str] | None = None, target: str | None = None, confidence: float | None = None) -> DataFrame:
-    """start_id, end_id, hops, path_key, path_nodes, path_edges: all trails of 1 to depth edges from the starts (start_id).
+    """start_id, end_id, hops, path_key, path_nodes, path_edges, path_weights: all trails of 1 to depth edges from the starts (start_id).
 
     An edge may not repeat on a trail, a node may. `confidence` bounds RELATED_TO
-    only. One join per hop, each on the last node of the trail.
+    only. One join per hop of the trails so far with the edges, and one with the
+    nodes that they reach; neither edges nor nodes are written or doubled.
     """
     depth = max(1, min(5, depth))
     check(depth, edge_types, confidence=confidence)
@@ -104,23 +113,39 @@ def traverse(edges: DataFrame, nodes: DataFrame, starts: DataFrame, depth: int =
     if confidence is not None:
         used = used.where((F.col("rel_type") != "RELATED_TO") | (F.col("weight") >= confidence))
     label = nodes.select(F.col("node_id").alias("far"), F.col("label").alias("far_label"))
-    step = both_ways(used).join(label, "far").select("near", "far", "far_label", "edge_id", "rel_type")
-    step = cut(step, "graph-steps") if depth > 1 else step
+    step = both_ways(used)
     first = starts.join(nodes, F.col("start_id") == F.col("node_id")).select("start_id", F.col("start_id").alias("end_id"), F.col("label").alias("end_label"))
-    front = first.select("start_id", "end_id", "end_label", F.lit("").alias("path_key"), F.array("start_id").alias("path_nodes"), F.array().cast("array<string>").alias("path_edges"))
+    front = first.select("start_id", "end_id", "end_label", F.lit("").alias("path_key"), F.array("start_id").alias("path_nodes"), F.array().cast("array<string>").alias("path_edges"), F.array().cast("array<double>").alias("path_weights"))
     found = []
     for hop in range(1, depth + 1):
         piece = F.concat(F.lit("("), "end_label", F.lit(":"), "end_id", F.lit(")-["), "rel_type", F.lit("]->("), "far_label", F.lit(":"), "far", F.lit(")"))
-        front = front.join(step, front["end_id"] == step["near"]).where(~F.array_contains("path_edges", F.col("edge_id"))).select(
+        ahead = front.join(step, front["end_id"] == step["near"]).where(~F.array_contains("path_edges", F.col("edge_id")))
+        front = cut(ahead, "graph-reached").join(label, "far").select(
             "start_id", F.col("far").alias("end_id"), F.col("far_label").alias("end_label"), F.concat_ws("->", F.nullif("path_key", F.lit("")), piece).alias("path_key"),
-            F.array_append("path_nodes", F.col("far")).alias("path_nodes"), F.array_append("path_edges", F.col("edge_id")).alias("path_edges"),
+            F.array_append("path_nodes", F.col("far")).alias("path_nodes"), F.array_append("path_edges", F.col("edge_id")).alias("path_edges"), F.array_append("path_weights", F.col("weight")).alias("path_weights"),
         )
         front = cut(front, "graph-trails") if depth > 1 else front
         found.append(front.withColumn("hops", F.lit(hop)))
     out = union(*found).dropDuplicates(["start_id", "path_key"])
     if target is not None:
         out = out.where(F.col("end_id") == target)
-    return out.select("start_id", "end_id", "end_label", "hops", "path_key", "path_nodes", "path_edges")
+    return out.select("start_id", "end_id", "end_label", "hops", "path_key", "path_nodes", "path_edges", "path_weights")
+
+
+def path_details(paths: DataFrame, nodes: DataFrame, metadata: bool = True) -> DataFrame:
+    """start_id, path_key, nodes, edges: the nodes of each trail as structs (node_id, label, station_id, props) and its edges as structs (edge_id, weight), in order.
+
+    Sensitive properties are left out. Without `metadata` an edge has no weight;
+    nodes keep their properties.
+    """
+    at = paths.select("start_id", "path_key", F.posexplode("path_nodes").alias("at", "node_id"))
+    known = nodes.select("node_id", "label", "station_id", N.redact(F.col("props")).alias("props"))
+    shown = F.array_sort(F.collect_list(F.struct("at", "node_id", "label", "station_id", F.map_entries("props").alias("props"))))
+    per = at.join(known, "node_id").groupBy("start_id", "path_key").agg(shown.alias("found"))
+    line = F.transform("found", lambda x: F.struct(x["node_id"].alias("node_id"), x["label"].alias("label"), x["station_id"].alias("station_id"), F.map_from_entries(x["props"]).alias("props")))
+    weight = (lambda w: w) if metadata else (lambda w: F.lit(None).cast("double"))
+    edges = F.zip_with("path_edges", "path_weights", lambda e, w: F.struct(e.alias("edge_id"), weight(w).alias("weight")))
+    return paths.select("start_id", "path_key", edges.alias("edges")).join(per, ["start_id", "path_key"]).select("start_id", "path_key", line.alias("nodes"), "edges")
 
 
 def first_paths(paths: DataFrame, n: int = 5, confidence: float = 0.9) -> DataFrame:
@@ -134,7 +159,7 @@ def first_paths(paths: DataFrame, n: int = 5, confidence: float = 0.9) -> DataFr
 def neighbourhood(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """node_id, distance: nodes within depth of the starts (start_id), by frontier joins."""
     check(depth)
-    step = both_ways(edges).select("near", "far").distinct()
+    step = both_ways(edges).select("near", "far")
     seen = starts.select(F.col("start_id").alias("node_id"), F.lit(0).alias("distance")).distinct()
     front = seen
     for d in range(1, depth + 1):
@@ -261,6 +286,15 @@ def centrality(placed: DataFrame, edges: DataFrame, sources_per_task: int = 256,
     return per.select("node_id", F.round(close, 4).alias("closeness"), F.round(between, 4).alias("betweenness"))
 
 
+def communities_in_order(found: DataFrame) -> DataFrame:
+    """Large ones first, then dense ones, then by id."""
+    return found.orderBy(F.desc("member_count"), F.desc("density"), "community_id")
+
+
+def metrics_in_order(found: DataFrame) -> DataFrame:
+    return found.orderBy("label", "node_id")
+
+
 def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per node: degrees, reach, centralities, component, connector flag and role."""
     placed = cut(with_components(nodes, edges), "graph-placed")

@@ -41,24 +41,28 @@ def shared(links: DataFrame, value: str) -> DataFrame:
     return joined.select(F.col("a.case_id").alias("id1"), F.col("b.case_id").alias("id2"), F.col("a.value").alias("value"))
 
 
-def phone_signals(pairs: DataFrame) -> DataFrame:
-    """One row per shared valid number."""
-    return _rows(pairs, "SHARED_PHONE", F.lit(1.0), "EXACT_ATTRIBUTE_MATCH")
+def _each_shared(paired: DataFrame, field: str) -> DataFrame:
+    return paired.select("id1", "id2", F.explode(F.array_intersect(F.col(f"a.{field}"), F.col(f"b.{field}"))))
 
 
-def vehicle_signals(pairs: DataFrame) -> DataFrame:
-    """One row per shared registration, valid or not."""
-    return _rows(pairs, "SHARED_VEHICLE", F.lit(1.0), "EXACT_ATTRIBUTE_MATCH")
+def phone_signals(paired: DataFrame) -> DataFrame:
+    """One row per valid number that both cases of a pair have."""
+    return _rows(_each_shared(paired, "numbers"), "SHARED_PHONE", F.lit(1.0), "EXACT_ATTRIBUTE_MATCH")
+
+
+def vehicle_signals(paired: DataFrame) -> DataFrame:
+    """One row per registration, valid or not, that both cases of a pair have."""
+    return _rows(_each_shared(paired, "plates"), "SHARED_VEHICLE", F.lit(1.0), "EXACT_ATTRIBUTE_MATCH")
 
 
 def location_signals(paired: DataFrame) -> DataFrame:
-    """Near coordinates (up to 15 km), or where either side lacks them, overlapping place words."""
+    """Near coordinates (up to 15 km), or where either side lacks them, overlapping words of places that have a locality or an address."""
     c = lambda side, f: F.col(f"{side}.{f}")
     points = N.valid_point(c("a", "latitude"), c("a", "longitude")) & N.valid_point(c("b", "latitude"), c("b", "longitude"))
     km = N.haversine_km(c("a", "latitude"), c("a", "longitude"), c("b", "latitude"), c("b", "longitude"))
     words = N.jaccard(F.array_distinct(N.words(c("a", "place"))), F.array_distinct(N.words(c("b", "place"))))
-    score = F.when(points, F.when(km <= 1.0, 1.0).when(km <= 15.0, F.round(1 - km / 15.0 * 0.5, 4))).when(words >= 0.70, 0.75)
-    return _rows(paired.withColumn("s", score).where("s is not null"), "SHARED_LOCATION", F.col("s"), "EXACT_ATTRIBUTE_MATCH")
+    score = F.when(points, F.when(km <= 1.0, 1.0).when(km <= 15.0, F.round(1 - km / 15.0 * 0.5, 4))).when(c("a", "has_place") & c("b", "has_place") & (words >= 0.70), 0.75)
+    return _rows(paired.withColumn("s", score).where("s is not null"), "SHARED_LOCATION", F.col("s"), "CORRELATIONAL")
 
 
 def trait_signals(compared: DataFrame) -> DataFrame:
@@ -85,6 +89,22 @@ def person_signals(pairs: DataFrame) -> DataFrame:
     )
 
 
+def analyze_pairs(pairs: DataFrame, features: DataFrame, people: DataFrame, methods: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """All signals of case pairs (id1, id2) as one long table; a case has none with itself.
+
+    people: one row for each pair of persons of two cases, as in `person_signals`;
+    methods: id1, id2, score, status of the method signal.
+    """
+    from .similarity import compare, paired
+
+    each = pairs.where("id1 <> id2").select("id1", "id2")
+    both = paired(each, features)
+    rows = person_signals(people.join(each, ["id1", "id2"], "left_semi"))
+    for more in (phone_signals(both), vehicle_signals(both), location_signals(both), trait_signals(compare(each, features, methods=methods, s=s))):
+        rows = rows.unionByName(more)
+    return rows
+
+
 def _map(table: dict, column: str, default):
     return F.coalesce(*[F.when(F.col(column) == k, F.lit(v)) for k, v in table.items()], F.lit(default))
 
@@ -95,13 +115,16 @@ def confidence(signals: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     Within a family the strongest signal counts in full and each other one a
     quarter; then 0.70 of the best family and 0.30 of the rest, a bonus for
     independent families, a penalty for a name without other evidence, and a cap
-    where only context speaks.
+    where only context speaks. Sums are of whole numbers - weights in hundredths,
+    scores in ten-thousandths, quarters and hundredths of their product - so that
+    halves round up whatever the order of rows.
     """
-    rows = signals.withColumn("family", _map(FAMILIES, "rel_type", "OTHER")).withColumn("worth", _map(s.link_weights, "rel_type", s.link_default) * F.col("score"))
+    weight = _map({k: round(100 * w) for k, w in s.link_weights.items()}, "rel_type", round(100 * s.link_default))
+    rows = signals.withColumn("family", _map(FAMILIES, "rel_type", "OTHER")).withColumn("worth", weight.cast("long") * F.round(F.col("score") * 10_000).cast("long"))
     place = F.row_number().over(Window.partitionBy("id1", "id2", "family").orderBy(F.desc("worth"), "rel_type"))
     families = (
         rows.withColumn("n", place).groupBy("id1", "id2", "family").agg(
-            F.sum(F.when(F.col("n") == 1, F.col("worth")).otherwise(F.col("worth") * 0.25)).alias("worth"),
+            F.sum(F.col("worth") * F.when(F.col("n") == 1, 4).otherwise(1)).alias("worth"),
             F.count("*").alias("signals"),
             F.bool_or(F.col("rel_type") == "SHARED_HIGH_CONFIDENCE_PERSON").alias("sure"),
             F.bool_or("unverified").alias("unverified"),
@@ -114,9 +137,13 @@ def confidence(signals: DataFrame, s: Settings = DEFAULT) -> DataFrame:
         F.bool_or(F.col("family").isin(*DIRECT)).alias("direct"), F.array_sort(F.collect_set("family")).alias("families"), F.sum("high").alias("high"), F.sum("possible").alias("possible"),
     )
     n = F.col("n")
-    bonus = F.when(n >= 2, 0.15).otherwise(0.0) + F.when(n >= 3, 0.10).otherwise(0.0) + F.when(n >= 4, (n - 3) * 0.05).otherwise(0.0)
-    raw = 0.70 * F.col("top") + 0.30 * (F.col("all") - F.col("top")) + bonus - F.when(F.col("unverified") & ~F.col("sure"), 0.10).otherwise(0.0)
-    score = N.bounded(F.when(F.col("direct"), raw).otherwise(F.least(F.lit(0.45), raw)))
+    one = 400_000_000  # a score of 1: 100 (weight) x 10 000 (score) x 4 (quarters) x 100 (0.70 and 0.30)
+    part = lambda x: F.lit(round(one * x)).cast("long")
+    bonus = F.when(n >= 2, part(0.15)).otherwise(0) + F.when(n >= 3, part(0.10)).otherwise(0) + F.when(n >= 4, (n - 3) * part(0.05)).otherwise(0)
+    raw = 70 * F.col("top") + 30 * (F.col("all") - F.col("top")) + bonus - F.when(F.col("unverified") & ~F.col("sure"), part(0.10)).otherwise(0)
+    held = F.least(part(1.0), F.greatest(part(0.0), F.when(F.col("direct"), raw).otherwise(F.least(part(0.45), raw))))
+    step = one // 10_000
+    score = F.floor((held + step // 2) / step) / 10_000
     level = F.when(F.col("score") >= s.link_very_high, "VERY_HIGH").when(F.col("score") >= s.link_high, "HIGH").when(F.col("score") >= s.link_moderate, "MODERATE").when(F.col("score") >= s.link_low, "LOW").otherwise("INSUFFICIENT_DATA")
     return per.withColumn("score", score).withColumn("level", level).select(
         "id1", "id2", N.pair_key(F.col("id1"), F.col("id2")).alias("pair_key"), "score", "level", "families", "signals", "high", "possible", (F.col("signals") - F.col("high") - F.col("possible")).alias("weak"), "direct",

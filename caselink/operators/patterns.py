@@ -9,6 +9,8 @@ and signals, and `members_of` gives the cases as rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,24 @@ from ..store import ranked
 
 #: Words that no observation may hold.
 FORBIDDEN = ("criminal network", "mastermind", "accomplice", "gang", "conspiracy", "offender", "culprit", "guilty", "perpetrator")
+#: Output texts of each detector as (title, description), and of signals.
+TEXTS = {
+    "method": ("Recurring Operational Characteristics Pattern: {crime_type}", "Identified {n} cases exhibiting matching crime category '{crime_category}' and operational crime type '{crime_type}'. Indicates shared operational characteristics across cases."),
+    "Person": ("Recurring Person Entity Pattern across {n} Cases", "Person entity '{name}' is associated with {n} distinct cases across {stations} police station(s)."),
+    "Location": ("Recurring Location Pattern across {n} Cases", "Location '{name}' is associated with {n} distinct cases across {stations} police station(s)."),
+    "Vehicle": ("Recurring Vehicle Entity Pattern: {name}", "Vehicle entity '{name}' is associated with {n} distinct cases."),
+    "Phone": ("Recurring Phone Entity Pattern: {name}", "Phone entity '{name}' is associated with {n} distinct cases."),
+    "stations": ("Cross-Station Structural Pattern across {stations} Stations", "Identified structural case activity spanning {stations} police stations ({names})."),
+    "characteristics": ("Structured Case Characteristic Combination: {crime_type} in {district}", "Identified {n} cases sharing matching crime category '{crime_category}', crime type '{crime_type}', and district '{district}'."),
+    "temporal": ("Temporal Recurrence Cluster: {n} Cases in {window} Days", "Identified {n} cases registered within a {window}-day temporal window between {first} and {last}."),
+    "community": ("Graph Structural Pattern: Community Cluster ({e})", "Identified dense graph community cluster '{e}' with {n} member nodes and structural density {density}."),
+    "connector": ("Graph Structural Pattern: Network Connector ({label}:{e})", "Identified high-centrality network connector node '{e}' ({label}) connecting {cases} cases."),
+}
+SIGNALS = {
+    "category": "Crime Category: {crime_category}", "type": "Crime Type: {crime_type}", "evidence": "Evidence Type: {kind}", "entity": "Shared {kind} Entity: {name} ({entity})", "stations": "Cross-Station Activity: {stations} Police Stations",
+    "group": "Category: {crime_category}", "district": "District: {district}", "window": "Temporal Window: {window} Days", "span": "Span: {first} to {last}", "density": "Community Density: {density}", "members": "Member Count: {n}",
+    "spans": "Spans Multiple Stations", "role": "Connector Role: {role}",
+}
 COLUMNS = ("pattern_id", "pattern_type", "title", "description", "case_ids", "first_case", "entity_id", "entity_type", "stations", "signals", "occurrence_count", "strength", "is_blocked")
 
 
@@ -53,8 +73,15 @@ def _finish(groups: DataFrame, kind: str, title: Column, description: Column, si
     )
 
 
-def _s(c: str) -> Column:
-    return F.coalesce(F.col(c).cast("string"), F.lit("None"))
+def _said(template: str, **more: Column) -> Column:
+    """A template filled by the columns of its names, or by `more`."""
+    names = set(re.findall(r"\{(\w+)\}", template))
+    return N.said(template, **{n: more.get(n, F.col(n)) for n in names - set(more)}, **{n: more[n] for n in names & set(more)})
+
+
+def _texts(key: str, **more: Column) -> tuple[Column, Column]:
+    title, text = TEXTS[key]
+    return _said(title, **more), _said(text, **more)
 
 
 def modus_operandi(cases: DataFrame, evidences: DataFrame, recurrence: int = 2, members: bool = False) -> DataFrame:
@@ -62,10 +89,9 @@ def modus_operandi(cases: DataFrame, evidences: DataFrame, recurrence: int = 2,
     groups = cases.groupBy("crime_category", "crime_type").agg(*_aggregates(members)).where(F.col("n") >= recurrence)
     kinds = cases.select("case_id", "crime_category", "crime_type").join(evidences.select("case_id", "evidence_type"), "case_id").groupBy(F.col("crime_category").alias("c"), F.col("crime_type").alias("t")).agg(F.array_sort(F.collect_set("evidence_type")).alias("kinds"))
     joined = groups.join(kinds, F.col("crime_category").eqNullSafe(F.col("c")) & F.col("crime_type").eqNullSafe(F.col("t")), "left")
-    named = F.transform(F.coalesce("kinds", F.array().cast("array<string>")), lambda k: F.concat(F.lit("Evidence Type: "), k))
-    signals = F.concat(F.array(F.concat(F.lit("Crime Category: "), _s("crime_category")), F.concat(F.lit("Crime Type: "), _s("crime_type"))), named)
-    title = F.concat(F.lit("Recurring Operational Characteristics Pattern: "), _s("crime_type"))
-    text = F.concat(F.lit("Identified "), _s("n"), F.lit(" cases exhibiting matching crime category '"), _s("crime_category"), F.lit("' and operational crime type '"), _s("crime_type"), F.lit("'. Indicates shared operational characteristics across cases."))
+    named = F.transform(F.coalesce("kinds", F.array().cast("array<string>")), lambda k: _said(SIGNALS["evidence"], kind=k))
+    signals = F.concat(F.array(_said(SIGNALS["category"]), _said(SIGNALS["type"])), named)
+    title, text = _texts("method")
     return _finish(joined, "MODUS_OPERANDI", title, text, signals, F.col("n") / 5.0, members=members)
 
 
@@ -77,13 +103,8 @@ def recurring(cases: DataFrame, links: DataFrame, entity: str, kind: str, name:
     """An entity on several cases. links: case_id, the entity's id, and its shown name (the smallest case tells it)."""
     bridge = links.where(F.col(entity).isNotNull()).select("case_id", F.col(entity).alias("entity"), F.col(name).cast("string").alias("name")).distinct()
     groups = bridge.join(cases.select("case_id", "station_id"), "case_id").groupBy("entity").agg(*_aggregates(members), F.min_by("name", "case_id").alias("name")).where(F.col("n") >= recurrence)
-    signals = F.array(F.concat(F.lit(f"Shared {kind} Entity: "), _s("name"), F.lit(" ("), F.col("entity"), F.lit(")")))
-    if kind in ("Vehicle", "Phone"):
-        title = F.concat(F.lit(f"Recurring {kind} Entity Pattern: "), _s("name"))
-        text = F.concat(F.lit(f"{kind} entity '"), _s("name"), F.lit("' is associated with "), _s("n"), F.lit(" distinct cases."))
-    else:
-        title = F.concat(F.lit("Recurring Person Entity Pattern across " if kind == "Person" else "Recurring Location Pattern across "), _s("n"), F.lit(" Cases"))
-        text = F.concat(F.lit("Person entity '" if kind == "Person" else "Location '"), _s("name"), F.lit("' is associated with "), _s("n"), F.lit(" distinct cases across "), _s("stations"), F.lit(" police station(s)."))
+    signals = F.array(_said(SIGNALS["entity"], kind=F.lit(kind)))
+    title, text = _texts(kind)
     return _finish(groups, _ENTITIES[kind], title, text, signals, F.col("n") / 4.0, F.col("entity"), kind, members)
 
 
@@ -91,18 +112,16 @@ def cross_station(cases: DataFrame, recurrence: int = 2, members: bool = False)
     """One row for the whole input, if it spans two stations at least."""
     names = cases.where("station_id is not null and station_id <> ''").select("station_id").distinct().groupBy().agg(F.array_join(F.array_sort(F.collect_list("station_id")), ", ").alias("names"))
     whole = cases.groupBy().agg(*_aggregates(members)).where((F.col("stations") >= 2) & (F.col("n") >= recurrence)).join(names)
-    signals = F.array(F.concat(F.lit("Cross-Station Activity: "), _s("stations"), F.lit(" Police Stations")))
-    title = F.concat(F.lit("Cross-Station Structural Pattern across "), _s("stations"), F.lit(" Stations"))
-    text = F.concat(F.lit("Identified structural case activity spanning "), _s("stations"), F.lit(" police stations ("), F.col("names"), F.lit(")."))
+    signals = F.array(_said(SIGNALS["stations"]))
+    title, text = _texts("stations")
     return _finish(whole, "GEOGRAPHIC_CROSS_STATION", title, text, signals, F.col("stations") / 4.0, members=members)
 
 
 def characteristics(cases: DataFrame, recurrence: int = 2, members: bool = False) -> DataFrame:
     """Cases of one category, type and district."""
     groups = cases.groupBy("crime_category", "crime_type", "district").agg(*_aggregates(members)).where(F.col("n") >= recurrence)
-    signals = F.array(F.concat(F.lit("Category: "), _s("crime_category")), F.concat(F.lit("Crime Type: "), _s("crime_type")), F.concat(F.lit("District: "), _s("district")))
-    title = F.concat(F.lit("Structured Case Characteristic Combination: "), _s("crime_type"), F.lit(" in "), _s("district"))
-    text = F.concat(F.lit("Identified "), _s("n"), F.lit(" cases sharing matching crime category '"), _s("crime_category"), F.lit("', crime type '"), _s("crime_type"), F.lit("', and district '"), _s("district"), F.lit("'."))
+    signals = F.array(_said(SIGNALS["group"]), _said(SIGNALS["type"]), _said(SIGNALS["district"]))
+    title, text = _texts("characteristics")
     return _finish(groups, "CASE_CHARACTERISTIC", title, text, signals, F.col("n") / 5.0, members=members)
 
 
@@ -137,10 +156,9 @@ def temporal(cases: DataFrame, window_days: int = 30, recurrence: int = 2, membe
     else:
         groups = temporal_sizes(cases, window_days).select("n", F.array().cast("array<string>").alias("case_ids"), F.col("case_id").alias("opens"), "day", "end_day", F.lit(None).cast("long").alias("stations"), F.col("case_id").alias("first_case"))
     groups = groups.where(F.col("n") >= recurrence)
-    span = F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(" to "), F.date_format("end_day", "yyyy-MM-dd"))
-    signals = F.array(F.lit(f"Temporal Window: {window_days} Days"), F.concat(F.lit("Span: "), span))
-    title = F.concat(F.lit("Temporal Recurrence Cluster: "), _s("n"), F.lit(f" Cases in {window_days} Days"))
-    text = F.concat(F.lit("Identified "), _s("n"), F.lit(f" cases registered within a {window_days}-day temporal window between "), F.date_format("day", "yyyy-MM-dd"), F.lit(" and "), F.date_format("end_day", "yyyy-MM-dd"), F.lit("."))
+    ends = {"first": F.date_format("day", "yyyy-MM-dd"), "last": F.date_format("end_day", "yyyy-MM-dd"), "window": F.lit(window_days)}
+    signals = F.array(_said(SIGNALS["window"], **ends), _said(SIGNALS["span"], **ends))
+    title, text = _texts("temporal", **ends)
     entity = None if members else F.col("opens")
     out = _finish(groups, "TEMPORAL_CLUSTER", title, text, signals, F.col("n") / 5.0, entity, None, members)
     return out if members else out.withColumn("entity_id", F.lit(None).cast("string"))
@@ -149,17 +167,14 @@ def temporal(cases: DataFrame, window_days: int = 30, recurrence: int = 2, membe
 def structural(communities: DataFrame, metrics: DataFrame) -> DataFrame:
     """Communities that span stations or are dense, and connector nodes."""
     none, null = F.array().cast("array<string>"), F.lit(None).cast("string")
-    c = communities.where("spans_cross_station or density >= 0.2").select(
-        F.col("community_id").alias("e"), F.col("member_count").alias("n"), none.alias("case_ids"), null.alias("first_case"), F.col("station_count").alias("stations"), "density",
-        F.array_compact(F.array(F.concat(F.lit("Community Density: "), F.col("density").cast("string")), F.concat(F.lit("Member Count: "), F.col("member_count").cast("string")), F.when(F.col("spans_cross_station"), F.lit("Spans Multiple Stations")))).alias("sg"),
-    )
-    title = F.concat(F.lit("Graph Structural Pattern: Community Cluster ("), "e", F.lit(")"))
-    text = F.concat(F.lit("Identified dense graph community cluster '"), "e", F.lit("' with "), _s("n"), F.lit(" member nodes and structural density "), F.col("density").cast("string"), F.lit("."))
+    density = N.shown(F.col("density"))
+    c = communities.where("spans_cross_station or density >= 0.2").select(F.col("community_id").alias("e"), F.col("member_count").alias("n"), none.alias("case_ids"), null.alias("first_case"), F.col("station_count").alias("stations"), "density", "spans_cross_station")
+    c = c.withColumn("sg", F.array_compact(F.array(_said(SIGNALS["density"], density=density), _said(SIGNALS["members"]), F.when(F.col("spans_cross_station"), F.lit(SIGNALS["spans"])))))
+    title, text = _texts("community", density=density)
     one = _finish(c, "GRAPH_STRUCTURAL", title, text, F.col("sg"), F.col("density"), F.col("e"), "Community")
-    m = metrics.where("is_connector").select(F.col("node_id").alias("e"), "label", F.col("total_degree").cast("long").alias("n"), none.alias("case_ids"), null.alias("first_case"), F.col("stations"), "betweenness", "cases", F.array(F.concat(F.lit("Connector Role: "), "role")).alias("sg"))
-    title = F.concat(F.lit("Graph Structural Pattern: Network Connector ("), "label", F.lit(":"), "e", F.lit(")"))
-    text = F.concat(F.lit("Identified high-centrality network connector node '"), "e", F.lit("' ("), "label", F.lit(") connecting "), F.col("cases").cast("string"), F.lit(" cases."))
-    two = _finish(m.withColumn("kind", F.col("label")), "GRAPH_STRUCTURAL", title, text, F.col("sg"), F.col("betweenness"), F.col("e"), "Connector")
+    m = metrics.where("is_connector").select(F.col("node_id").alias("e"), "label", F.col("total_degree").cast("long").alias("n"), none.alias("case_ids"), null.alias("first_case"), F.col("stations"), "betweenness", "cases", "role")
+    title, text = _texts("connector")
+    two = _finish(m, "GRAPH_STRUCTURAL", title, text, F.array(_said(SIGNALS["role"])), F.col("betweenness"), F.col("e"), "Connector")
     return one.unionByName(two)
 
 

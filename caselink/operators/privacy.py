@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import normalize as N
 from ..store import cut, ranked
@@ -32,6 +33,7 @@ KINDS = {
     "ID": r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}\b|\b[A-Z]{5}[0-9]{4}[A-Z]{1}\b",
     "Entity": r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b",
 }
+ALIAS = r"(?:Person|Phone|Vehicle|Email|ID|Case|Entity)-[A-Z]+"
 SECRET_MARK, DIRECTIVE_MARK = "[REDACTED_SECRET]", "[NEUTRALIZED_DIRECTIVE]"
 
 
@@ -108,21 +110,29 @@ def replaced(text: Column, pairs: Column) -> Column:
     return F.aggregate(pairs, text, lambda t, p: F.replace(t, p["original"], p["alias"]))
 
 
-def mask(texts: DataFrame, key: str = "id", text: str = "text", kinds: tuple[str, ...] = tuple(KINDS)) -> tuple[DataFrame, DataFrame]:
+def mask(texts: DataFrame, key: str = "id", text: str = "text", kinds: tuple[str, ...] = tuple(KINDS), known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(key and the masked text, aliases). Each kind is taken from the text as the stages before have left it.
 
-    Per kind: extract all, number the new values, and replace them in the texts
-    that hold them; only those values travel, joined by value.
+    Secrets and directives first, then the originals of `known` aliases (original,
+    alias, kind, number), longest first, then each kind: extract all, number the
+    new values behind the known ones, and replace them in the texts that hold
+    them; only those values travel, joined by value.
     """
     current = cut(texts.select(F.col(key).alias("id"), prepared(F.col(text)).alias("text")), "mask-text")
     tables: list[DataFrame] = []
+    if known is not None:
+        known = known.select("original", "alias", "kind", "number")
+        tables.append(known)
+        per = held_pairs(current, known)
+        current = cut(current.join(per, "id", "left").select("id", F.when(F.col("pairs").isNotNull(), replaced(F.col("text"), F.col("pairs"))).otherwise(F.col("text")).alias("text")), "mask-text")
     for kind in kinds:
-        hits = current.select("id", F.posexplode(found(F.col("text"), kind)).alias("n", "value")).where(~F.col("value").startswith(f"{kind}-"))
+        hits = current.select("id", F.posexplode(found(F.col("text"), kind)).alias("n", "value")).where(~F.col("value").rlike(ALIAS))
         hits = cut(hits, "mask-hits")
-        table = cut(alias_table(hits.select("value", F.lit(kind).alias("kind"), F.struct(F.col("id").cast("string").alias("id"), "n").alias("position")), f"mask-{kind}"), "mask-aliases")
+        table = cut(alias_table(hits.select("value", F.lit(kind).alias("kind"), F.struct(F.col("id").cast("string").alias("id"), "n").alias("position")), f"mask-{kind}", known), "mask-aliases")
         tables.append(table)
         longest = F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("l"), F.col("value").alias("original"), "alias")))
-        per = hits.select("id", "value").distinct().join(table, F.trim("value") == F.col("original")).groupBy("id").agg(longest.alias("pairs"))
+        named = table if known is None else table.unionByName(known)
+        per = hits.select("id", "value").distinct().join(named, F.trim("value") == F.col("original")).groupBy("id").agg(longest.alias("pairs"))
         joined = current.join(per, "id", "left").select("id", F.when(F.col("pairs").isNotNull(), replaced(F.col("text"), F.col("pairs"))).otherwise(F.col("text")).alias("text"))
         current = cut(joined, "mask-text")
     aliases = tables[0]
@@ -133,7 +143,7 @@ def mask(texts: DataFrame, key: str = "id", text: str = "text", kinds: tuple[str
 
 def backmap(texts: DataFrame, aliases: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """key, text with known aliases as whole words replaced by their originals; unknown aliases stay."""
-    shape = r"\b(?:Person|Phone|Vehicle|Email|ID|Case|Entity)-[A-Z]+\b"
+    shape = rf"\b{ALIAS}\b"
     held = texts.select(F.col(key).alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(shape), F.lit(0)))).alias("alias"))
     pairs = F.array_sort(F.collect_list(F.struct((-F.length("alias")).alias("l"), "alias", "original")))
     per = held.join(aliases.select("alias", "original"), "alias").groupBy("id").agg(pairs.alias("pairs"))
@@ -142,26 +152,66 @@ def backmap(texts: DataFrame, aliases: DataFrame, key: str = "id", text: str = "
     return texts.join(per, texts[key] == per["id"], "left").select(texts[key], F.when(F.col("pairs").isNotNull(), back).otherwise(F.col(text)).alias(text))
 
 
-def mask_subject(value: Column, kind: Column, alias: Column) -> Column:
-    """The alias where there is one, else what a subject's kind says: `` for kinds that are not masked by value."""
-    low = F.lower(kind)
-    by_kind = F.when(low.contains("person"), "Person").when(low.contains("vehicle"), "Vehicle").when(low.contains("phone"), "Phone").when(low.contains("email"), "Email").when(low.contains("case"), "Case").when(value.rlike(KINDS["Entity"]), "Entity")
-    return F.coalesce(alias, F.concat(by_kind, F.lit("-?")), prepared(value))
+def subject_kind(value: Column, kind: Column) -> Column:
+    """The prefix of a subject's alias by the words of its type, else by its shape; null for subjects that are masked as texts."""
+    low = F.lower(F.coalesce(kind, F.lit("")))
+    named = F.when(F.lit(False), F.lit(""))
+    for word, prefix in (("person", "Person"), ("vehicle", "Vehicle"), ("phone", "Phone"), ("email", "Email"), ("case", "Case")):
+        named = named.when(low.contains(word), prefix)
+    return named.when(value.rlike(f"^(?:{KINDS['Entity']})"), "Entity")
+
+
+def with_subjects(subjects: DataFrame, aliases: DataFrame, value: str = "subject_id", kind: str = "subject_type", name: str = "subjects") -> DataFrame:
+    """aliases (original, alias, kind, number), extended by subjects that are not in it and whose kind has a prefix; numbers go on."""
+    made = subjects.select(F.col(value).alias("value"), subject_kind(F.col(value), F.col(kind)).alias("kind")).where("kind is not null and trim(value) <> ''").distinct()
+    new = alias_table(made.select("value", "kind", F.col("value").alias("position")), name, known=aliases)
+    return aliases.select("original", "alias", "kind", "number").unionByName(new)
+
+
+#: Runs of letters and digits, by which texts and the values they may hold are joined.
+RUNS = r"[\p{L}\p{N}]+"
 
 
-def _masked(value: Column) -> Column:
-    return replaced(prepared(value), F.col("pairs"))
+def _runs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(RUNS), F.lit(0))
+
+
+def held_pairs(texts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """id, pairs: the (original, alias) whose original stands in the text of `texts` (id, text), longest first.
+
+    Rows meet by the longest run of letters and digits of an original; those
+    without any (marks only) are left out. Nothing is broadcast, so the number of
+    aliases does not matter.
+    """
+    longest = F.array_max(F.transform(_runs(F.col("original")), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
+    keyed = aliases.select("original", "alias", longest.alias("run")).where("run is not null")
+    seen = texts.select("id", F.explode(F.array_distinct(_runs(F.col("text")))).alias("run"), "text")
+    found = seen.join(keyed, "run").where(F.contains("text", F.col("original")))
+    order = F.array_sort(F.collect_set(F.struct((-F.length("original")).alias("l"), "original", "alias")))
+    return found.groupBy("id").agg(order.alias("pairs"))
 
 
-def masked_rows(rows: DataFrame, columns: list[str], aliases: DataFrame, key: str) -> DataFrame:
-    """rows with every alias original in the string (or array of string) columns replaced, longest first.
+def masked_rows(rows: DataFrame, columns: list[str], aliases: DataFrame, key: str, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """rows with secrets and directives marked and every alias original replaced in the columns, longest first; `key` tells rows apart.
 
-    `aliases` is that of a bounded scope; it travels as one array.
+    Columns may be strings, arrays, maps and structs of strings in any depth.
     """
-    table = aliases.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.length("original")).alias("l"), "original", "alias"))).alias("pairs"))
-    joined = rows.join(F.broadcast(table))
-    out = {}
-    for c in columns:
-        kind = rows.schema[c].dataType.typeName()
-        out[c] = F.transform(c, _masked) if kind == "array" else _masked(F.col(c))
-    return joined.withColumns(out).drop("pairs")
+    flat = F.concat_ws("\n", *[F.col(c) if rows.schema[c].dataType.typeName() == "string" else F.to_json(c) for c in columns])
+    per = held_pairs(rows.select(F.col(key).alias("id"), flat.alias("text")), aliases)
+    joined = rows.join(per, rows[key].eqNullSafe(per["id"]), "left").withColumn("pairs", F.coalesce("pairs", F.array().cast(per.schema["pairs"].dataType)))
+    out = {c: deep(F.col(c), rows.schema[c].dataType, lambda v: F.when(v.isNotNull(), replaced(prepared(v), F.col("pairs")))) for c in columns}
+    return joined.withColumns(out).select(*rows.columns)
+
+
+def deep(value: Column, kind: T.DataType, f) -> Column:
+    """f on every string inside a nested value: elements of arrays, keys and values of maps, fields of structs."""
+    if isinstance(kind, T.StringType):
+        return f(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: deep(x, kind.elementType, f))
+    if isinstance(kind, T.MapType):
+        keys, values = deep(F.map_keys(value), T.ArrayType(kind.keyType), f), deep(F.map_values(value), T.ArrayType(kind.valueType), f)
+        return F.map_from_arrays(keys, values)
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[deep(value[x.name], x.dataType, f).alias(x.name) for x in kind.fields]))
+    return value

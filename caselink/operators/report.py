@@ -21,6 +21,8 @@ RAW = {
 COERCIVE = ("arrest", "detain", "prosecute", "convict", "charge person", "jail", "punish", "handcuff", "execute warrant")
 FOLLOW_UP = "Verify empirical findings and supporting evidence in underlying case files."
 MOST_INPUT, MOST_OUTPUT = 500_000, 100_000
+HEAD = ("Structured Explanation (", ":", "): ")
+EMPTY = ("reasoning_fb:empty", "NO_DATA", 0, "", "No cases match the requested scope.")
 
 
 def scan(text: Column) -> Column:
@@ -57,11 +59,22 @@ def ground(statements: DataFrame, known: DataFrame) -> DataFrame:
     return out.withColumn("is_grounded", F.size("grounded") > 0)
 
 
-def statements(explanations: DataFrame, words: tuple[str, ...]) -> DataFrame:
-    """One observation sentence per explanation; sentences with coercive terms are dropped."""
-    text = F.concat(F.lit("Structured Explanation ("), "subject_type", F.lit(":"), "subject_id", F.lit("): "), "observation")
+def _sentences(explanations: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """One observation sentence per explanation, and why it may not be said (null where it may)."""
+    text = F.concat(F.lit(HEAD[0]), "subject_type", F.lit(HEAD[1]), "subject_id", F.lit(HEAD[2]), "observation")
     rows = explanations.select("explanation_id", "subject_type", text.alias("statement"), F.size("case_ids").alias("case_count"), F.size("entity_ids").alias("entity_count"))
-    return rows.where(allowed(F.col("statement"), words) & within(F.col("statement"), MOST_INPUT))
+    said = F.col("statement")
+    return rows.withColumn("refusal", F.when(~within(said, MOST_INPUT), "TOO_LONG").when(~allowed(said, words), "FORBIDDEN_TERM"))
+
+
+def statements(explanations: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """One observation sentence per explanation; what is left out is in `refused`."""
+    return _sentences(explanations, words).where("refusal is null").drop("refusal")
+
+
+def refused(explanations: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """explanation_id, subject_type, refusal, length of the sentences that `statements` leaves out: too long, or with a forbidden or coercive term."""
+    return _sentences(explanations, words).where("refusal is not null").select("explanation_id", "subject_type", "refusal", F.length("statement").cast("long").alias("length"))
 
 
 def summary(rows: DataFrame, status: str = "FALLBACK_USED") -> DataFrame:
@@ -75,7 +88,7 @@ def summary(rows: DataFrame, status: str = "FALLBACK_USED") -> DataFrame:
 
 def empty(spark: SparkSession) -> DataFrame:
     """The head of a report without cases."""
-    return spark.createDataFrame([("reasoning_fb:empty", "NO_DATA", 0, "", "No cases match the requested scope.")], "report_id string, status string, sentences long, by_subject string, follow_up string")
+    return spark.createDataFrame([EMPTY], "report_id string, status string, sentences long, by_subject string, follow_up string")
 
 
 def restored(rows: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -38,11 +38,11 @@ def legal(a: str, b: str, s: Settings = DEFAULT) -> Column:
 
 
 def geography(a: str, b: str, s: Settings = DEFAULT) -> Column:
-    """Coordinates where both are valid, else place words, else districts."""
+    """Coordinates where both are valid, else the words of places that have a locality or an address, else districts."""
     points = N.valid_point(_of(a, "latitude"), _of(a, "longitude")) & N.valid_point(_of(b, "latitude"), _of(b, "longitude"))
     km = N.haversine_km(_of(a, "latitude"), _of(a, "longitude"), _of(b, "latitude"), _of(b, "longitude"))
-    texts = (_of(a, "place") != "") & (_of(b, "place") != "")
-    overlap = N.jaccard(F.array_distinct(N.words(_of(a, "place"))), F.array_distinct(N.words(_of(b, "place"))))
+    texts = _of(a, "has_place") & _of(b, "has_place") & (_of(a, "place") != "") & (_of(b, "place") != "")
+    overlap = F.round(N.jaccard(F.array_distinct(N.words(_of(a, "place"))), F.array_distinct(N.words(_of(b, "place")))), 4)
     low = lambda side: F.nullif(F.lower(F.trim(_of(side, "district"))), F.lit(""))
     districts, same = low(a).isNotNull() & low(b).isNotNull(), low(a) == low(b)
     score = (
@@ -69,9 +69,15 @@ def overlap(name: str, field: str, weight: float, a: str, b: str) -> Column:
     return signal(name, weight, F.when(known & shared, 1.0), F.when(~known, "UNAVAILABLE").when(shared, "MATCH").otherwise("MISMATCH"))
 
 
-def method(cosine: Column, jaccard: Column, dedicated: Column, available: Column, s: Settings = DEFAULT) -> Column:
-    """dedicated: how many of the two texts are dedicated method texts."""
-    score = N.bounded((0.60 * cosine + 0.40 * jaccard) * F.when(dedicated == 2, 1.0).when(dedicated == 1, 0.95).otherwise(0.90))
+def method(cosine: Column, both: Column, either: Column, dedicated: Column, available: Column, s: Settings = DEFAULT) -> Column:
+    """both, either: words that both texts have, and that either has; dedicated: how many of the two are dedicated method texts.
+
+    0.60 of the cosine and 0.40 of both / either, times 1.00, 0.95 or 0.90: as a
+    fraction of whole numbers, so that halves round up everywhere.
+    """
+    factor = F.when(dedicated == 2, 100).when(dedicated == 1, 95).otherwise(90)
+    top, bottom = (6 * F.round(cosine * 10_000).cast("long") * either + 40_000 * both) * factor, 1000 * either
+    score = F.least(F.lit(1.0), F.floor(F.try_divide(2 * top + bottom, 2 * bottom)) / 10_000)
     status = F.when(~available, "UNAVAILABLE").when(score >= 0.70, "MATCH").when(score >= 0.25, "PARTIAL").otherwise("MISMATCH")
     return signal("MODUS_OPERANDI", s.sim_mo, F.when(available, score), status)
 
@@ -136,17 +142,24 @@ def cosine(pairs: DataFrame, texts: DataFrame, key: str = "case_id", text: str =
     """id1, id2, cosine: TF-IDF of the two texts as their own corpus.
 
     With two documents the smoothed weight of a term is 1 where both have it and
-    1 + ln 1.5 where one has; the join is on (pair, term), the norms are sums by pair.
+    w = 1 + ln 1.5 where one has. So only the terms that both have are joined, by
+    text and term; a norm is w^2 times the text's own sum of squares, less what the
+    shared terms weigh less. All sums are of whole numbers.
     """
     from math import log
 
     counts = texts.select(F.col(key).alias("id"), F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)(\w+)"), 1)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     each = pairs.select("id1", "id2").distinct()
-    long = each.select("id1", "id2", F.col("id1").alias("id"), F.lit(1).alias("side")).unionByName(each.select("id1", "id2", F.col("id2").alias("id"), F.lit(2).alias("side")))
-    terms = long.join(counts, "id").groupBy("id1", "id2", "term").agg(F.sum(F.when(F.col("side") == 1, F.col("tf"))).alias("ta"), F.sum(F.when(F.col("side") == 2, F.col("tf"))).alias("tb"))
-    w = F.when(F.col("ta").isNotNull() & F.col("tb").isNotNull(), 1.0).otherwise(1 + log(1.5))
-    sums = terms.groupBy("id1", "id2").agg(F.sum(F.col("ta") * F.col("tb") * w * w).alias("dot"), F.sum(F.pow(F.col("ta") * w, 2)).alias("na"), F.sum(F.pow(F.col("tb") * w, 2)).alias("nb"))
-    return each.join(sums, ["id1", "id2"], "left").select("id1", "id2", F.coalesce(F.round(F.try_divide(F.col("dot"), F.sqrt("na") * F.sqrt("nb")), 4), F.lit(0.0)).alias("cosine"))
+    squares = counts.groupBy("id").agg(F.sum(F.col("tf") * F.col("tf")).alias("sq"))
+    left = each.join(counts.select(F.col("id").alias("id1"), "term", F.col("tf").alias("ta")), "id1")
+    shared = left.join(counts.select(F.col("id").alias("id2"), "term", F.col("tf").alias("tb")), ["id2", "term"])
+    product = lambda a, b: F.sum(F.col(a) * F.col(b))
+    sums = shared.groupBy("id1", "id2").agg(product("ta", "tb").alias("dot"), product("ta", "ta").alias("sa"), product("tb", "tb").alias("sb"))
+    sided = sums.join(squares.select(F.col("id").alias("id1"), F.col("sq").alias("qa")), "id1").join(squares.select(F.col("id").alias("id2"), F.col("sq").alias("qb")), "id2")
+    w2 = (1 + log(1.5)) ** 2
+    norm = lambda q, s: F.sqrt(F.col(s) + (F.col(q) - F.col(s)) * w2)
+    found = sided.select("id1", "id2", F.round(F.col("dot") / (norm("qa", "sa") * norm("qb", "sb")), 4).alias("cosine"))
+    return each.join(found, ["id1", "id2"], "left").select("id1", "id2", F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
 
 
 def method_similarity(pairs: DataFrame, texts: DataFrame, key: str = "case_id", text: str = "description", source: str | None = None, s: Settings = DEFAULT) -> DataFrame:
@@ -154,5 +167,5 @@ def method_similarity(pairs: DataFrame, texts: DataFrame, key: str = "case_id",
     own = F.when(F.col(source) == "DEDICATED_MO", 1).otherwise(0) if source else F.lit(0)
     ready = texts.select(F.col(key).alias("id"), F.array_distinct(N.method_tokens(F.col(text))).alias("t"), own.alias("own"))
     joined = cosine(pairs, texts, key, text).join(ready.select(F.col("id").alias("id1"), F.col("t").alias("ta"), F.col("own").alias("oa")), "id1").join(ready.select(F.col("id").alias("id2"), F.col("t").alias("tb"), F.col("own").alias("ob")), "id2")
-    made = method(F.col("cosine"), N.jaccard(F.col("ta"), F.col("tb")), F.col("oa") + F.col("ob"), (F.size("ta") > 0) & (F.size("tb") > 0), s)
+    made = method(F.col("cosine"), F.size(F.array_intersect("ta", "tb")).cast("long"), F.size(F.array_union("ta", "tb")).cast("long"), F.col("oa") + F.col("ob"), (F.size("ta") > 0) & (F.size("tb") > 0), s)
     return joined.select("id1", "id2", made.alias("m")).select("id1", "id2", "m.score", "m.status")

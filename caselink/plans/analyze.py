@@ -40,6 +40,7 @@ class Analysis:
     aliases: DataFrame
     masked: DataFrame
     report: DataFrame
+    refused: DataFrame
 
 
 def analyze(cases: DataFrame, persons: DataFrame, case_persons: DataFrame, vehicles: DataFrame, case_vehicles: DataFrame, evidences: DataFrame, scope: Scope | None = None, phones: DataFrame | None = None, case_phones: DataFrame | None = None) -> Analysis:
@@ -70,8 +71,10 @@ def analyze(cases: DataFrame, persons: DataFrame, case_persons: DataFrame, vehic
     communities = cut(graph.communities(graph.with_components(nodes, edges), edges), "analysis-communities")
     person_names = cp.join(persons.select("person_id", "name"), "person_id")
     plates = cv.join(vehicles.select("vehicle_id", "registration_number"), "vehicle_id")
+    numbers = ct.join(phones, "phone_id") if ct is not None else None
     found = patterns.modus_operandi(chosen, ev, members=members)
     for part in (
+        *([patterns.recurring(chosen, numbers, "phone_id", "Phone", "number", members=members)] if numbers is not None else []),
         patterns.recurring(chosen, person_names, "person_id", "Person", "name", members=members),
         patterns.recurring(chosen, plates, "vehicle_id", "Vehicle", "registration_number", members=members),
         patterns.temporal(chosen, scope.window_days, members=members),
@@ -86,9 +89,11 @@ def analyze(cases: DataFrame, persons: DataFrame, case_persons: DataFrame, vehic
         F.lit(True).alias("direct"), F.lit(False).alias("cautious"),
     )
     explained = cut(explain.union(explain.of_patterns(found), explain.of_links(assessed), explain.of_communities(communities), explain.of_connectors(metrics)), "analysis-explanations")
-    values = privacy.entity_values(
-        chosen, Person=person_names.select("case_id", F.col("name").alias("value")), Vehicle=plates.select("case_id", F.col("registration_number").alias("value"))
-    )
-    aliases = cut(privacy.alias_table(values, "analysis-values"), "analysis-aliases")
-    masked = privacy.masked_rows(explained, ["subject_id", "title", "observation", "explanation", "case_ids", "entity_ids", "signals"], aliases, "explanation_id") if members else explained
-    return Analysis(chosen, quick, nodes, edges, metrics, communities, found, explained, aliases, masked, report.statements(masked, explain.FORBIDDEN))
+    value = lambda df, c: df.select("case_id", F.col(c).alias("value"))
+    named = {"Person": value(person_names, "name").unionByName(value(cp, "person_id")), "Vehicle": value(plates, "registration_number").unionByName(value(cv, "vehicle_id"))}
+    if numbers is not None:
+        named["Phone"] = value(numbers, "number").unionByName(value(numbers, "phone_id"))
+    known = privacy.alias_table(privacy.entity_values(chosen, **named), "analysis-values")
+    aliases = cut(privacy.with_subjects(explained, cut(known, "analysis-known")), "analysis-aliases")
+    masked = cut(privacy.masked_rows(explained, ["subject_id", "title", "observation", "explanation", "case_ids", "entity_ids", "signals"], aliases, "explanation_id"), "analysis-masked")
+    return Analysis(chosen, quick, nodes, edges, metrics, communities, found, explained, aliases, masked, report.statements(masked, explain.FORBIDDEN), report.refused(masked, explain.FORBIDDEN))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from math import log
 
+from ..config import DEFAULT
 from ..functions.normalize import METHOD_STOP_WORDS, METHOD_WORDS, PLACE_WORDS, TITLES
 from ..operators.explain import FORBIDDEN as EXPLAIN_WORDS
+from ..operators.links import FAMILIES
 from ..operators.patterns import FORBIDDEN as PATTERN_WORDS
 from ..operators.privacy import DIRECTIVE_MARK, DIRECTIVES, SECRET_MARK, SECRETS
 from ..operators.report import COERCIVE, FOLLOW_UP, RAW
@@ -102,9 +104,11 @@ _q("table_counts", " UNION ALL ".join([f"SELECT '{n}' AS name, count(*) AS n FRO
 _q(
     "case_children",
     """+ p AS (SELECT case_id, string_agg(person_id || '/' || role, ',' ORDER BY person_id, role) AS persons FROM case_persons GROUP BY case_id),
-  e AS (SELECT case_id, string_agg(evidence_type, ',' ORDER BY evidence_type) AS evidences FROM evidences GROUP BY case_id)
-  SELECT case_id, coalesce(persons, '') AS persons, coalesce(evidences, '') AS evidences FROM cases LEFT JOIN p USING (case_id) LEFT JOIN e USING (case_id)""",
-    "cases", "case_persons", "evidences",
+  e AS (SELECT case_id, string_agg(evidence_type, ',' ORDER BY evidence_type) AS evidences FROM evidences GROUP BY case_id),
+  i AS (SELECT case_id, string_agg(event_id, ',' ORDER BY event_id) AS events FROM investigation_events GROUP BY case_id),
+  l AS (SELECT case_id, string_agg(section, ',' ORDER BY section) AS sections FROM case_sections GROUP BY case_id)
+  SELECT case_id, coalesce(persons, '') AS persons, coalesce(evidences, '') AS evidences, coalesce(events, '') AS events, coalesce(sections, '') AS sections FROM cases LEFT JOIN p USING (case_id) LEFT JOIN e USING (case_id) LEFT JOIN i USING (case_id) LEFT JOIN l USING (case_id)""",
+    "cases", "case_persons", "evidences", "investigation_events", "case_sections",
 )
 
 # Normalization
@@ -138,7 +142,7 @@ _q(
 )
 _q(
     "geo_distance",
-    f"SELECT a.location_id, b.location_id AS other, round({km('a', 'b')}, 4) AS km, round(exp(-{km('a', 'b')} / 10.0), 4) AS nearness, a.latitude BETWEEN -90 AND 90 AND a.longitude BETWEEN -180 AND 180 AS is_valid FROM locations a JOIN locations b ON CAST(substr(b.location_id, 2) AS BIGINT) - 3 = CAST(substr(a.location_id, 2) AS BIGINT)",
+    f"SELECT a.location_id, b.location_id AS other, round({km('a', 'b')}, 4) AS km, round(exp(-{km('a', 'b')} / 10.0), 4) AS nearness, coalesce(a.latitude BETWEEN -90 AND 90 AND a.longitude BETWEEN -180 AND 180, FALSE) AS is_valid FROM locations a JOIN locations b ON CAST(substr(b.location_id, 2) AS BIGINT) - 3 = CAST(substr(a.location_id, 2) AS BIGINT)",
     "locations",
 )
 _q("legal_codes", f"SELECT DISTINCT section, {section('section')} AS code FROM case_sections", "case_sections")
@@ -152,13 +156,18 @@ _PERSON_KEYS = f"""{_PERSON},
     UNION ALL SELECT 'SURNAME', CASE WHEN len(tokens) >= 2 AND length(tokens[-1]) >= 3 THEN tokens[-1] END, person_id FROM np UNION ALL SELECT 'DOB_YEAR', substr(date_of_birth, 1, 4), person_id FROM np) WHERE key <> '')"""
 _q("block_persons", f"+ {_PERSON_KEYS} {_PAIRS}", "persons")
 _q("block_person_buckets", f"+ {_PERSON_KEYS} {_SIZES}", "persons")
+_q(
+    "block_persons_skewed",
+    f"+ {_PERSON_KEYS}, pb AS (SELECT signal, key, min(id) AS first_id, count(*) AS ids FROM k GROUP BY signal, key HAVING count(*) > 1) SELECT k.signal, k.key, id, first_id, ids FROM k JOIN pb USING (signal, key)".replace("FROM persons)", "FROM persons_skewed)"),
+    "persons_skewed",
+)
 _PHONE_KEYS = "k AS (SELECT 'NORMALIZED_PHONE' AS signal, {} AS key, phone_id AS id FROM phones WHERE {})".format(*phone("number"))
 _q("block_phones", f"+ {_PHONE_KEYS} {_PAIRS}", "phones")
 _VEHICLE_KEYS = f"""v AS (SELECT vehicle_id AS id, {plate('registration_number')} AS c FROM vehicles),
   k AS (SELECT 'NORMALIZED_VEHICLE' AS signal, c AS key, id FROM v UNION ALL SELECT 'RTO_SERIES', substr(c, 1, 2) || '_' || substr(c, 1, 4) || '_' || substr(c, 5, length(c) - 8), id FROM v WHERE {_VALID.format('c')})"""
 _q("block_vehicles", f"+ {_VEHICLE_KEYS} {_PAIRS}", "vehicles")
 _PLACE = f"array_to_string(list_transform({plain('locality')}, lambda w: {_map(PLACE_WORDS, 'w')}), ' ')"
-_q("block_locations", f"+ k AS (SELECT 'NORMALIZED_LOCALITY' AS signal, {_PLACE} AS key, location_id AS id FROM locations UNION ALL SELECT 'DISTRICT', lower(trim(district)), location_id FROM locations) {_PAIRS}", "locations")
+_q("block_locations", f"+ k AS (SELECT 'NORMALIZED_LOCALITY' AS signal, {_PLACE} AS key, location_id AS id FROM locations WHERE locality IS NOT NULL UNION ALL SELECT 'DISTRICT', lower(trim(district)), location_id FROM locations WHERE locality IS NOT NULL) {_PAIRS}", "locations")
 _METHOD_KEYS = f"""{_METHOD}, k AS (SELECT 'CRIME_CATEGORY' AS signal, lower(trim(crime_category)) AS key, CAST(doc_id AS VARCHAR) AS id FROM m
     UNION ALL SELECT DISTINCT 'MO_KEYWORD_TOKEN', w, CAST(doc_id AS VARCHAR) FROM (SELECT doc_id, unnest(t) AS w FROM m) WHERE length(w) >= 4)"""
 _q("block_method_buckets", f"+ {_METHOD_KEYS} {_SIZES}", "narratives")
@@ -172,54 +181,98 @@ _q(
 )
 
 # Features and similarity
-_VIEWS = ("cases", "case_persons", "vehicles", "case_vehicles", "phones", "case_phones", "case_sections", "locations")
+_VIEWS = ("cases", "case_persons", "persons", "vehicles", "case_vehicles", "phones", "case_phones", "case_sections", "locations", "evidences", "case_texts")
 _NUMBER, _NUMBER_OK = phone("number")
+
+
+def _terms(text: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')"
+
+
+def _method_words(text: str) -> str:
+    return f"list_transform(list_filter({plain(fold(text))}, lambda w: w NOT IN {_in(METHOD_STOP_WORDS)}), lambda w: {_map(METHOD_WORDS, 'w')})"
+
+
 _FEATURES = f"""fp AS (SELECT case_id, list_sort(list(DISTINCT person_id)) AS persons FROM case_persons GROUP BY case_id),
   fv AS (SELECT case_id, list_sort(list(DISTINCT {plate('registration_number')})) AS plates FROM case_vehicles JOIN vehicles USING (vehicle_id) GROUP BY case_id),
   ft AS (SELECT case_id, list_sort(list(DISTINCT {_NUMBER})) AS numbers FROM case_phones JOIN phones USING (phone_id) WHERE {_NUMBER_OK} GROUP BY case_id),
   fs AS (SELECT case_id, list_sort(list(DISTINCT {section('section')})) AS sections FROM case_sections GROUP BY case_id),
+  fe AS (SELECT case_id, list_sort(list(DISTINCT evidence_type)) AS evidence FROM evidences GROUP BY case_id),
+  fm AS (SELECT case_id, nullif(trim(method), '') AS own, nullif(trim(description), '') AS other FROM case_texts),
   f AS (SELECT c.case_id, fir_number, crime_type, crime_category, c.district, registration_date, {bucket('incident_hour')} AS time_bucket, CAST(isodow(registration_date) - 1 AS INT) AS weekday,
-     array_to_string(list_transform({plain("l.locality || ' ' || c.district")}, lambda w: {_map(PLACE_WORDS, 'w')}), ' ') AS place, latitude, longitude,
-     coalesce(persons, []) AS persons, coalesce(plates, []) AS plates, coalesce(numbers, []) AS numbers, coalesce(sections, []) AS sections
-     FROM cases c LEFT JOIN locations l USING (location_id) LEFT JOIN fp USING (case_id) LEFT JOIN fv USING (case_id) LEFT JOIN ft USING (case_id) LEFT JOIN fs USING (case_id))"""
+     array_to_string(list_transform({plain("concat_ws(' ', l.locality, l.address, c.district)")}, lambda w: {_map(PLACE_WORDS, 'w')}), ' ') AS place, coalesce(l.locality, l.address) IS NOT NULL AS has_place, latitude, longitude,
+     coalesce(own, other) AS method, CASE WHEN own IS NOT NULL THEN 'DEDICATED_MO' WHEN other IS NOT NULL THEN 'DESCRIPTION_DERIVED' ELSE 'UNAVAILABLE' END AS method_source,
+     coalesce(persons, []) AS persons, coalesce(plates, []) AS plates, coalesce(numbers, []) AS numbers, coalesce(sections, []) AS sections, coalesce(evidence, []) AS evidence
+     FROM cases c LEFT JOIN locations l USING (location_id) LEFT JOIN fp USING (case_id) LEFT JOIN fv USING (case_id) LEFT JOIN ft USING (case_id) LEFT JOIN fs USING (case_id) LEFT JOIN fe USING (case_id) LEFT JOIN fm USING (case_id))"""
 _q(
     "case_features",
-    f"+ {_FEATURES} SELECT case_id, fir_number, time_bucket, weekday, place, round(latitude, 4) AS latitude, array_to_string(persons, ',') AS persons, array_to_string(plates, ',') AS plates, array_to_string(numbers, ',') AS numbers, array_to_string(sections, ',') AS sections FROM f",
+    f"""+ {_FEATURES} SELECT case_id, fir_number, time_bucket, weekday, place, has_place, round(latitude, 4) AS latitude, md5(coalesce(method, '')) AS method, method_source, array_to_string(persons, ',') AS persons,
+    array_to_string(plates, ',') AS plates, array_to_string(numbers, ',') AS numbers, array_to_string(sections, ',') AS sections, array_to_string(evidence, ',') AS evidence FROM f""",
     *_VIEWS,
 )
-_COMPARED = f"""{_FEATURES}, pairs AS (SELECT DISTINCT a.case_id AS id1, b.case_id AS id2 FROM case_persons a JOIN case_persons b ON a.person_id = b.person_id AND a.case_id < b.case_id),
-  j AS (SELECT id1, id2, a, b, {km('a', 'b')} AS km, abs(a.registration_date - b.registration_date) AS days, {jaccard('a.sections', 'b.sections')} AS js FROM pairs JOIN f a ON a.case_id = id1 JOIN f b ON b.case_id = id2),
-  s AS (SELECT id1, id2, km,
+# Persons of one name: with equal or missing dates of birth they resolve high, else the name alone is left.
+_PEOPLE = f"""{_PERSON},
+  nm AS (SELECT a.person_id AS x, b.person_id AS y, coalesce(a.date_of_birth = b.date_of_birth, TRUE) AS high FROM np a JOIN np b ON a.normalized = b.normalized AND a.normalized <> '' AND a.person_id < b.person_id),
+  nb2 AS (SELECT x, y, high FROM nm UNION ALL SELECT y, x, high FROM nm),
+  pp AS (SELECT DISTINCT a.case_id AS id1, b.case_id AS id2, a.person_id AS x, b.person_id AS y, TRUE AS high FROM case_persons a JOIN case_persons b ON a.person_id = b.person_id AND a.case_id < b.case_id
+    UNION ALL SELECT a.case_id, b.case_id, x, y, high FROM case_persons a JOIN nb2 ON a.person_id = x JOIN case_persons b ON b.person_id = y WHERE a.case_id < b.case_id),
+  pairs AS (SELECT DISTINCT id1, id2 FROM pp)"""
+_W2 = repr((1 + log(1.5)) ** 2)
+#: From tf (id, term, tf) and pr (id1, id2): the terms that both have are joined, all sums are whole numbers.
+_WEIGHED = f"""sq AS (SELECT id, sum(tf * tf) AS q FROM tf GROUP BY id),
+  su AS (SELECT id1, id2, sum(x.tf * y.tf) AS d, sum(x.tf * x.tf) AS sa, sum(y.tf * y.tf) AS sb FROM pr JOIN tf x ON x.id = id1 JOIN tf y ON y.id = id2 AND y.term = x.term GROUP BY ALL),
+  co AS (SELECT pr.id1, pr.id2, coalesce(round(CAST(d AS DOUBLE) / (sqrt(CAST(sa AS DOUBLE) + CAST(p.q - sa AS DOUBLE) * {_W2}) * sqrt(CAST(sb AS DOUBLE) + CAST(r.q - sb AS DOUBLE) * {_W2})), 4), 0.0) AS cosine
+    FROM pr LEFT JOIN su ON su.id1 = pr.id1 AND su.id2 = pr.id2 LEFT JOIN sq p ON p.id = pr.id1 LEFT JOIN sq r ON r.id = pr.id2)"""
+
+
+def _method_score(own: str) -> str:
+    """The method score from cosine, ta, tb: a fraction of whole numbers, halves up."""
+    both, either = "len(list_intersect(ta, tb))", "len(list_distinct(list_concat(ta, tb)))"
+    top = f"((6 * CAST(round(cosine * 10000) AS BIGINT) * {either} + 40000 * {both}) * CASE {own} WHEN 2 THEN 100 WHEN 1 THEN 95 ELSE 90 END)"
+    return f"least(1.0e0, CASE WHEN {either} > 0 THEN ((2 * {top} + 1000 * {either}) // (2000 * {either})) / 10000e0 END)"
+
+
+_METHODS = f"""pr AS (SELECT id1, id2 FROM pairs JOIN f a ON a.case_id = id1 JOIN f b ON b.case_id = id2 WHERE a.method IS NOT NULL AND b.method IS NOT NULL),
+  used_m AS (SELECT case_id, method, method_source, {_method_words('method')} AS t FROM f WHERE case_id IN (SELECT id1 FROM pr UNION SELECT id2 FROM pr)),
+  tf AS (SELECT id, term, count(*) AS tf FROM (SELECT case_id AS id, unnest({_terms('method')}) AS term FROM used_m) GROUP BY ALL),
+  {_WEIGHED},
+  mx AS (SELECT id1, id2, list_distinct(a.t) AS ta, list_distinct(b.t) AS tb, cosine, (a.method_source = 'DEDICATED_MO')::INT + (b.method_source = 'DEDICATED_MO')::INT AS own FROM co JOIN used_m a ON a.case_id = id1 JOIN used_m b ON b.case_id = id2),
+  my AS (SELECT id1, id2, len(ta) > 0 AND len(tb) > 0 AS ok, {_method_score('own')} AS v FROM mx),
+  ms AS (SELECT id1, id2, CASE WHEN ok THEN v ELSE 0.0e0 END AS c0, CASE WHEN NOT ok THEN 'UNAVAILABLE' WHEN v >= 0.70 THEN 'MATCH' WHEN v >= 0.25 THEN 'PARTIAL' ELSE 'MISMATCH' END AS s0 FROM my)"""
+_POINTS = "(a.latitude BETWEEN -90 AND 90 AND b.latitude BETWEEN -90 AND 90 AND a.longitude BETWEEN -180 AND 180 AND b.longitude BETWEEN -180 AND 180)"
+_COMPARED = f"""{_FEATURES}, {_PEOPLE}, {_METHODS},
+  ov AS (SELECT id1, id2, max(CASE WHEN high THEN 1.0e0 ELSE 0.35e0 END) AS c7 FROM pp GROUP BY ALL),
+  j AS (SELECT id1, id2, a, b, coalesce({_POINTS}, FALSE) AS gps, {km('a', 'b')} AS km, a.has_place AND b.has_place AS spots, {jaccard("list_distinct(string_split(a.place, ' '))", "list_distinct(string_split(b.place, ' '))")} AS pj,
+    lower(trim(a.district)) = lower(trim(b.district)) AS near, abs(a.registration_date - b.registration_date) AS days, {jaccard('a.sections', 'b.sections')} AS js FROM pairs JOIN f a ON a.case_id = id1 JOIN f b ON b.case_id = id2),
+  s AS (SELECT id1, id2, gps, km, spots, pj, a.plates AS pa, b.plates AS pb, a.numbers AS ta, b.numbers AS tb, coalesce(c0, 0e0) AS c0, coalesce(s0, 'UNAVAILABLE') AS s0, c7, CASE WHEN c7 = 1 THEN 'MATCH' ELSE 'PARTIAL' END AS s7,
     CASE WHEN a.crime_category = b.crime_category AND a.crime_type = b.crime_type THEN 1.0e0 WHEN a.crime_category = b.crime_category THEN 0.85e0 ELSE 0.0e0 END AS c1, CASE WHEN a.crime_category = b.crime_category THEN 'MATCH' ELSE 'MISMATCH' END AS s1,
     CASE WHEN len(a.sections) > 0 AND len(b.sections) > 0 THEN round(js, 4) ELSE 0.0e0 END AS c2, CASE WHEN len(a.sections) = 0 OR len(b.sections) = 0 THEN 'UNAVAILABLE' WHEN round(js, 4) >= 0.80 THEN 'MATCH' WHEN js > 0 THEN 'PARTIAL' ELSE 'MISMATCH' END AS s2,
-    round(exp(-km / 10.0), 4) AS c3, CASE WHEN km <= 1.0 THEN 'MATCH' WHEN km <= 15.0 THEN 'PARTIAL' ELSE 'MISMATCH' END AS s3,
+    CASE WHEN gps THEN round(exp(-km / 10.0), 4) WHEN spots THEN CASE WHEN round(pj, 4) >= 0.70 THEN 0.75e0 WHEN round(pj, 4) >= 0.30 THEN 0.50e0 ELSE 0e0 END WHEN near THEN 0.40e0 ELSE 0e0 END AS c3,
+    CASE WHEN gps THEN CASE WHEN km <= 1.0 THEN 'MATCH' WHEN km <= 15.0 THEN 'PARTIAL' ELSE 'MISMATCH' END WHEN spots THEN CASE WHEN round(pj, 4) >= 0.30 THEN 'PARTIAL' ELSE 'MISMATCH' END WHEN near THEN 'PARTIAL' ELSE 'MISMATCH' END AS s3,
     round(CASE WHEN a.time_bucket = b.time_bucket THEN least(1.0, exp(-days / 30.0) * 1.15) ELSE exp(-days / 30.0) END, 4) AS c4, CASE WHEN days <= 7 THEN 'MATCH' WHEN days <= 30 THEN 'PARTIAL' ELSE 'MISMATCH' END AS s4,
     CASE WHEN len(list_intersect(a.plates, b.plates)) > 0 THEN 1.0 ELSE 0.0 END AS c5, CASE WHEN len(a.plates) = 0 OR len(b.plates) = 0 THEN 'UNAVAILABLE' WHEN len(list_intersect(a.plates, b.plates)) > 0 THEN 'MATCH' ELSE 'MISMATCH' END AS s5,
     CASE WHEN len(list_intersect(a.numbers, b.numbers)) > 0 THEN 1.0 ELSE 0.0 END AS c6, CASE WHEN len(a.numbers) = 0 OR len(b.numbers) = 0 THEN 'UNAVAILABLE' WHEN len(list_intersect(a.numbers, b.numbers)) > 0 THEN 'MATCH' ELSE 'MISMATCH' END AS s6
-    FROM j)"""
-_W = (15, 10, 15, 10, 5, 5)
-_WEIGHT = " + ".join(f"CASE WHEN s{i} <> 'UNAVAILABLE' THEN {w} ELSE 0 END" for i, w in enumerate(_W, 1))
-_GAINED = " + ".join(f"CASE WHEN s{i} <> 'UNAVAILABLE' THEN {w} * CAST(round(c{i} * 10000) AS BIGINT) ELSE 0 END" for i, w in enumerate(_W, 1))
-_SHOWN = ", ".join(f"s{i} || ':' || printf('%.4f', c{i}) AS {n}" for i, n in enumerate(("category", "legal", "geography", "time", "vehicles", "phones"), 1))
+    FROM j LEFT JOIN ms USING (id1, id2) JOIN ov USING (id1, id2))"""
+_W = (25, 15, 10, 15, 10, 5, 5, 15)
+_WEIGHT = " + ".join(f"CASE WHEN s{i} <> 'UNAVAILABLE' THEN {w} ELSE 0 END" for i, w in enumerate(_W))
+_GAINED = " + ".join(f"CASE WHEN s{i} <> 'UNAVAILABLE' THEN {w} * CAST(round(c{i} * 10000) AS BIGINT) ELSE 0 END" for i, w in enumerate(_W))
+_SHOWN = ", ".join(f"s{i} || ':' || printf('%.4f', c{i}) AS {n}" for i, n in enumerate(("method", "category", "legal", "geography", "time", "vehicles", "phones", "persons")))
 _q(
     "case_similarity",
     f"""+ {_COMPARED}, r AS (SELECT *, ((2 * ({_GAINED}) + ({_WEIGHT})) // (2 * ({_WEIGHT}))) / 10000e0 AS score FROM s)
   SELECT id1, id2, {_SHOWN}, score, CASE WHEN score >= 0.75 THEN 'HIGH' WHEN score >= 0.50 THEN 'MODERATE' ELSE 'LOW' END AS level FROM r""",
     *_VIEWS,
 )
-_COSINE = f"""n AS (SELECT doc_id, crime_category, description, lead(doc_id) OVER (PARTITION BY crime_category ORDER BY doc_id) AS nxt FROM narratives),
-  pr AS (SELECT doc_id AS id1, nxt AS id2 FROM n WHERE nxt IS NOT NULL),
-  tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(description, '')), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')) AS term FROM narratives) GROUP BY ALL),
-  lng AS (SELECT id1, id2, term, tf AS ta, NULL AS tb FROM pr JOIN tf ON doc_id = id1 UNION ALL SELECT id1, id2, term, NULL, tf FROM pr JOIN tf ON doc_id = id2),
-  tm AS (SELECT id1, id2, term, sum(ta) AS ta, sum(tb) AS tb FROM lng GROUP BY ALL),
-  wt AS (SELECT *, CASE WHEN ta IS NOT NULL AND tb IS NOT NULL THEN 1.0 ELSE {1 + log(1.5)!r} END AS w FROM tm),
-  su AS (SELECT id1, id2, sum(CAST(ta * tb AS DOUBLE) * w * w) AS d, sum(pow(ta * w, 2)) AS na, sum(pow(tb * w, 2)) AS nb FROM wt GROUP BY ALL),
-  co AS (SELECT id1, id2, coalesce(round(d / (sqrt(na) * sqrt(nb)), 4), 0.0) AS cosine FROM pr LEFT JOIN su USING (id1, id2))"""
+_COSINE = f"""{_METHOD}, tk AS (SELECT DISTINCT doc_id AS id, w FROM (SELECT doc_id, unnest(t) AS w FROM m) WHERE length(w) >= 4),
+  rare AS (SELECT w FROM tk GROUP BY w HAVING count(*) BETWEEN 2 AND 3),
+  pr AS (SELECT DISTINCT a.id AS id1, b.id AS id2 FROM tk a JOIN rare USING (w) JOIN tk b USING (w) WHERE CAST(a.id AS VARCHAR) < CAST(b.id AS VARCHAR)),
+  tf AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_terms('description')}) AS term FROM narratives) GROUP BY ALL),
+  {_WEIGHED}"""
 _q("tfidf_cosine", f"+ {_COSINE} SELECT id1, id2, cosine FROM co", "narratives")
 _q(
     "method_similarity",
-    f"""+ {_COSINE}, {_METHOD}, x AS (SELECT id1, id2, list_distinct(a.t) AS ta, list_distinct(b.t) AS tb, cosine FROM co JOIN m a ON a.doc_id = id1 JOIN m b ON b.doc_id = id2),
-  y AS (SELECT id1, id2, len(ta) > 0 AND len(tb) > 0 AS ok, round(least(1.0, greatest(0.0, (0.60 * cosine + 0.40 * {jaccard('ta', 'tb')}) * 0.90)), 4) AS v FROM x)
+    f"""+ {_COSINE}, x AS (SELECT id1, id2, list_distinct(a.t) AS ta, list_distinct(b.t) AS tb, cosine FROM co JOIN m a ON a.doc_id = id1 JOIN m b ON b.doc_id = id2),
+  y AS (SELECT id1, id2, len(ta) > 0 AND len(tb) > 0 AS ok, {_method_score('0')} AS v FROM x)
   SELECT id1, id2, CASE WHEN ok THEN v ELSE 0.0e0 END AS score, CASE WHEN NOT ok THEN 'UNAVAILABLE' WHEN v >= 0.70 THEN 'MATCH' WHEN v >= 0.25 THEN 'PARTIAL' ELSE 'MISMATCH' END AS status FROM y""",
     "narratives",
 )
@@ -234,40 +287,45 @@ _q(
     "case_persons", "case_vehicles",
 )
 _q("shared_phone_buckets", f"+ t AS (SELECT DISTINCT {_NUMBER} AS number, case_id FROM case_phones JOIN phones USING (phone_id) WHERE {_NUMBER_OK}) SELECT number, count(*) AS cases, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS pairs FROM t GROUP BY number", "phones", "case_phones")
-_q("shared_location_signal", f"+ {_COMPARED} SELECT id1, id2, CASE WHEN km <= 1.0 THEN 1.0e0 ELSE round(1 - km / 15.0 * 0.5, 4) END AS score FROM s WHERE km <= 15.0", *_VIEWS)
-
-
-def _confidence(location: bool) -> str:
-    """Person pairs: each family has one signal at most."""
-    b = "CASE WHEN s1 = 'MATCH' THEN 0.25e0 * CAST(c1 AS DOUBLE) END"
-    g = "CASE WHEN s2 IN ('MATCH', 'PARTIAL') THEN 0.15e0 * c2 END"
-    t = "CASE WHEN s4 IN ('MATCH', 'PARTIAL') THEN 0.35e0 * c4 END"
-    o = "CASE WHEN km <= 1.0 THEN 0.5e0 WHEN km <= 15.0 THEN 0.5e0 * round(1 - km / 15.0 * 0.5, 4) END" if location else "CAST(NULL AS DOUBLE)"
-    rest = "coalesce(b, 0) + coalesce(g, 0) + coalesce(t, 0) + coalesce(o, 0)"
-    n = "(1 + (b IS NOT NULL)::INT + (g IS NOT NULL)::INT + (t IS NOT NULL)::INT + (o IS NOT NULL)::INT)"
-    return f"""{_COMPARED}, w AS (SELECT id1, id2, {b} AS b, {g} AS g, {t} AS t, {o} AS o FROM s),
-  cn AS (SELECT *, {n} AS n, 0.70e0 * 1e0 + 0.30e0 * ({rest}) + (CASE WHEN {n} >= 2 THEN 0.15e0 ELSE 0e0 END + CASE WHEN {n} >= 3 THEN 0.10e0 ELSE 0e0 END + CASE WHEN {n} >= 4 THEN ({n} - 3) * 0.05e0 ELSE 0e0 END) AS raw FROM w),
-  cf AS (SELECT *, id1 || ':' || id2 || ':RELATED_TO' AS pair_key, round(least(1.0, raw), 4) AS score FROM cn),
-  cl AS (SELECT *, CASE WHEN score >= 0.85 THEN 'VERY_HIGH' WHEN score >= 0.70 THEN 'HIGH' ELSE 'MODERATE' END AS level,
-    list_filter([CASE WHEN b IS NOT NULL THEN 'BEHAVIORAL' END, CASE WHEN g IS NOT NULL THEN 'LEGAL' END, CASE WHEN o IS NOT NULL THEN 'LOCATION' END, 'PERSON_IDENTITY', CASE WHEN t IS NOT NULL THEN 'TEMPORAL' END], lambda x: x IS NOT NULL) AS families FROM cf)"""
-
-
-_q("pair_confidence", f"+ {_confidence(True)} SELECT id1, id2, pair_key, score, level, array_to_string(families, ',') AS families, CAST(n AS BIGINT) AS signals FROM cl", *_VIEWS)
+_SIGNALS = f"""{_COMPARED}, sg AS (
+  SELECT id1, id2, CASE WHEN high THEN 'SHARED_HIGH_CONFIDENCE_PERSON' ELSE 'POSSIBLE_PERSON_RELATIONSHIP' END AS rel_type, CASE WHEN high THEN 1.0e0 ELSE 0.35e0 END AS score, CASE WHEN high THEN 'HIGH_CONFIDENCE_ENTITY' ELSE 'WEAK_UNVERIFIED' END AS certainty, NOT high AS unverified FROM pp
+  UNION ALL SELECT id1, id2, 'SHARED_PHONE', 1.0e0, 'EXACT_ATTRIBUTE_MATCH', FALSE FROM (SELECT id1, id2, unnest(list_intersect(ta, tb)) AS v FROM s)
+  UNION ALL SELECT id1, id2, 'SHARED_VEHICLE', 1.0e0, 'EXACT_ATTRIBUTE_MATCH', FALSE FROM (SELECT id1, id2, unnest(list_intersect(pa, pb)) AS v FROM s)
+  UNION ALL SELECT id1, id2, 'SHARED_LOCATION', CASE WHEN NOT gps THEN 0.75e0 WHEN km <= 1.0 THEN 1.0e0 ELSE round(1 - km / 15.0 * 0.5, 4) END, 'CORRELATIONAL', FALSE FROM s WHERE CASE WHEN gps THEN km <= 15.0 ELSE spots AND pj >= 0.70 END
+  UNION ALL SELECT id1, id2, 'SIMILAR_MODUS_OPERANDI', c0, 'INFERRED_PATTERN', FALSE FROM s WHERE s0 IN ('MATCH', 'PARTIAL')
+  UNION ALL SELECT id1, id2, 'SIMILAR_CRIME_CATEGORY', c1, 'CONTEXTUAL', FALSE FROM s WHERE s1 = 'MATCH'
+  UNION ALL SELECT id1, id2, 'SIMILAR_LEGAL_SECTIONS', c2, 'CONTEXTUAL', FALSE FROM s WHERE s2 IN ('MATCH', 'PARTIAL')
+  UNION ALL SELECT id1, id2, 'TEMPORAL_PROXIMITY', c4, 'CORRELATIONAL', FALSE FROM s WHERE s4 IN ('MATCH', 'PARTIAL'))"""
+_q("shared_location_signal", f"+ {_SIGNALS} SELECT id1, id2, score, certainty FROM sg WHERE rel_type = 'SHARED_LOCATION'", *_VIEWS)
+for _kind in ("phone", "vehicle"):
+    _q(f"shared_{_kind}_signal", f"+ {_SIGNALS} SELECT id1, id2, count(*) AS signals, max(score) AS score FROM sg WHERE rel_type = 'SHARED_{_kind.upper()}' GROUP BY id1, id2", *_VIEWS)
+_q("all_signals", f"+ {_SIGNALS} SELECT * FROM sg", *_VIEWS)
+# Weights in hundredths, scores in ten-thousandths, the first signal of a family in four quarters, 0.70 and 0.30 in hundredths.
+_LINKED = f"""{_SIGNALS}, fam AS (SELECT *, {_map(FAMILIES, 'rel_type')} AS family, CAST(CASE rel_type {' '.join(f"WHEN '{k}' THEN {round(100 * w)}" for k, w in DEFAULT.link_weights.items())} END AS BIGINT) * CAST(round(score * 10000) AS BIGINT) AS worth FROM sg),
+  placed_s AS (SELECT *, row_number() OVER (PARTITION BY id1, id2, family ORDER BY worth DESC, rel_type) AS k FROM fam),
+  per_f AS (SELECT id1, id2, family, sum(worth * CASE WHEN k = 1 THEN 4 ELSE 1 END)::BIGINT AS worth, count(*) AS signals, bool_or(rel_type = 'SHARED_HIGH_CONFIDENCE_PERSON') AS sure, bool_or(unverified) AS unverified,
+    count(*) FILTER (certainty IN ('HIGH_CONFIDENCE_ENTITY', 'EXACT_ATTRIBUTE_MATCH')) AS high, count(*) FILTER (certainty IN ('POSSIBLE_ENTITY', 'CORRELATIONAL', 'INFERRED_PATTERN', 'CONTEXTUAL')) AS possible FROM placed_s GROUP BY id1, id2, family),
+  per_p AS (SELECT id1, id2, max(worth) AS top, sum(worth)::BIGINT AS every, count(*) AS n, sum(signals)::BIGINT AS signals, bool_or(unverified) AND NOT bool_or(sure) AS cautious, list_sort(list(family)) AS families, sum(high)::BIGINT AS high, sum(possible)::BIGINT AS possible FROM per_f GROUP BY id1, id2),
+  raw_p AS (SELECT *, 70 * top + 30 * (every - top) + CASE WHEN n >= 2 THEN 60000000 ELSE 0 END + CASE WHEN n >= 3 THEN 40000000 ELSE 0 END + CASE WHEN n >= 4 THEN (n - 3) * 20000000 ELSE 0 END - CASE WHEN cautious THEN 40000000 ELSE 0 END AS raw FROM per_p),
+  cf AS (SELECT *, id1 || ':' || id2 || ':RELATED_TO' AS pair_key, signals - high - possible AS weak, ((least(400000000, greatest(0, raw)) + 20000) // 40000) / 10000e0 AS score FROM raw_p),
+  cl AS (SELECT *, CASE WHEN score >= 0.85 THEN 'VERY_HIGH' WHEN score >= 0.70 THEN 'HIGH' WHEN score >= 0.50 THEN 'MODERATE' WHEN score >= 0.25 THEN 'LOW' ELSE 'INSUFFICIENT_DATA' END AS level FROM cf)"""
+_q("pair_confidence", f"+ {_LINKED} SELECT id1, id2, pair_key, score, level, array_to_string(families, ',') AS families, signals, high, possible, weak FROM cl", *_VIEWS)
 
 # Graph
 _GRAPH_VIEWS = ("cases", "persons", "vehicles", "phones", "locations", "evidences", "case_persons", "case_vehicles", "case_phones", "case_sections")
 _SECTIONS = f"cs AS (SELECT DISTINCT case_id, {section('section')} AS section FROM case_sections)"
 _NODES = """nodes AS (SELECT case_id AS node_id, 'Case' AS label, station_id, 'fir_number' AS props FROM cases UNION ALL SELECT person_id, 'Person', NULL, 'name' FROM persons UNION ALL SELECT vehicle_id, 'Vehicle', NULL, 'registration' FROM vehicles
   UNION ALL SELECT phone_id, 'Phone', NULL, 'number' FROM phones UNION ALL SELECT location_id, 'Location', NULL, 'locality' FROM locations UNION ALL SELECT evidence_id, 'Evidence', NULL, 'kind' FROM evidences UNION ALL SELECT DISTINCT section, 'LegalSection', NULL, '' FROM cs)"""
-_EDGES = """edges AS (SELECT *, src || ':' || rel_type || ':' || dst AS edge_id FROM (SELECT DISTINCT case_id AS src, person_id AS dst, 'HAS_PERSON' AS rel_type FROM case_persons UNION ALL SELECT case_id, vehicle_id, 'HAS_VEHICLE' FROM case_vehicles UNION ALL SELECT case_id, phone_id, 'HAS_PHONE' FROM case_phones
-  UNION ALL SELECT case_id, location_id, 'HAS_LOCATION' FROM cases UNION ALL SELECT case_id, evidence_id, 'HAS_EVIDENCE' FROM evidences UNION ALL SELECT case_id, section, 'HAS_LEGAL_SECTION' FROM cs) e WHERE src IN (SELECT node_id FROM nodes) AND dst IN (SELECT node_id FROM nodes))"""
+_EDGES = """edges AS (SELECT *, CASE WHEN rel_type = 'RELATED_TO' THEN src || ':' || dst || ':RELATED_TO' ELSE src || ':' || rel_type || ':' || dst END AS edge_id FROM (SELECT DISTINCT case_id AS src, person_id AS dst, 'HAS_PERSON' AS rel_type FROM case_persons UNION ALL SELECT case_id, vehicle_id, 'HAS_VEHICLE' FROM case_vehicles UNION ALL SELECT case_id, phone_id, 'HAS_PHONE' FROM case_phones
+  UNION ALL SELECT case_id, location_id, 'HAS_LOCATION' FROM cases UNION ALL SELECT case_id, evidence_id, 'HAS_EVIDENCE' FROM evidences UNION ALL SELECT case_id, section, 'HAS_LEGAL_SECTION' FROM cs
+  UNION ALL SELECT DISTINCT a.case_id, b.case_id, 'RELATED_TO' FROM case_persons a JOIN case_persons b ON a.person_id = b.person_id AND a.case_id < b.case_id) e WHERE src IN (SELECT node_id FROM nodes) AND dst IN (SELECT node_id FROM nodes))"""
 _q("graph_nodes", f"+ {_SECTIONS}, {_NODES} SELECT * FROM nodes", *_GRAPH_VIEWS)
 _q("graph_edges", f"+ {_SECTIONS}, {_NODES}, {_EDGES} SELECT edge_id, src, dst, rel_type FROM edges", *_GRAPH_VIEWS)
 _q("graph_counts", f"+ {_SECTIONS}, {_NODES}, {_EDGES} SELECT label AS kind, count(*) AS n FROM nodes GROUP BY label UNION ALL SELECT rel_type, count(*) FROM edges GROUP BY rel_type", *_GRAPH_VIEWS)
 _q(
     "node_degrees",
-    f"""+ {_SECTIONS}, {_NODES}, {_EDGES}, d AS (SELECT id, sum(o) AS o, sum(i) AS i FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY id)
-  SELECT node_id, label, CAST(coalesce(i, 0) AS BIGINT) AS in_degree, CAST(coalesce(o, 0) AS BIGINT) AS out_degree, CAST(coalesce(i + o, 0) AS BIGINT) AS total_degree, CAST(coalesce(i + o, 0) AS DOUBLE) AS weighted_degree FROM nodes LEFT JOIN d ON id = node_id""",
+    f"""+ {_SECTIONS}, {_NODES}, {_EDGES}, d AS (SELECT id, sum(o) AS o, sum(i) AS i, sum(CASE WHEN rel_type = 'RELATED_TO' THEN 85 ELSE 100 END) AS w FROM (SELECT src AS id, 1 AS o, 0 AS i, rel_type FROM edges UNION ALL SELECT dst, 0, 1, rel_type FROM edges) GROUP BY id)
+  SELECT node_id, label, CAST(coalesce(i, 0) AS BIGINT) AS in_degree, CAST(coalesce(o, 0) AS BIGINT) AS out_degree, CAST(coalesce(i + o, 0) AS BIGINT) AS total_degree, CAST(coalesce(w, 0) AS DOUBLE) / 100 AS weighted_degree FROM nodes LEFT JOIN d ON id = node_id""",
     *_GRAPH_VIEWS,
 )
 _PV = ("cases", "persons", "case_persons")
@@ -279,15 +337,20 @@ _PGRAPH = """nodes AS (SELECT case_id AS node_id, 'Case' AS label, station_id FR
   both_ways AS (SELECT src AS near, dst AS far FROM edges UNION SELECT dst, src FROM edges)"""
 _SUMMARY = "summary AS (SELECT component, count(*) AS size, count(*) FILTER (label = 'Case') AS cases, count(DISTINCT CASE WHEN label = 'Case' THEN station_id END) AS stations FROM placed GROUP BY component)"
 _REACH = """reach AS (SELECT id, count(DISTINCT c) AS cases, count(DISTINCT station_id) AS stations FROM (SELECT near AS id, far AS c FROM both_ways JOIN nodes ON node_id = far AND label = 'Case' UNION SELECT node_id, node_id FROM nodes WHERE label = 'Case') JOIN nodes ON node_id = c GROUP BY id)"""
-_q("case_reach", f"+ {_PGRAPH}, {_REACH} SELECT node_id, coalesce(cases, 0) AS cases, coalesce(stations, 0) AS stations FROM nodes LEFT JOIN reach ON id = node_id", *_PV)
-_q("graph_components", f"+ {_PGRAPH}, {_SUMMARY} SELECT 'comp:' || component AS component_id, size, cases, stations, stations > 1 AS cross_station FROM summary", *_PV)
-_COMMUNITIES = f"""{_PGRAPH}, {_SUMMARY}, ie AS (SELECT component, rel_type, src, dst FROM edges JOIN placed ON node_id = src),
+# The whole graph has one component of several nodes here: what can be reached from its smallest node. Nodes without edges are their own.
+_WHOLE = f"""{_SECTIONS}, {_NODES}, {_EDGES}, both_ways AS (SELECT src AS near, dst AS far FROM edges UNION SELECT dst, src FROM edges),
+  seen(id) AS (SELECT min(near) FROM both_ways UNION SELECT far FROM seen JOIN both_ways ON near = id),
+  placed AS (SELECT node_id, label, station_id, CASE WHEN s.id IS NOT NULL THEN (SELECT min(id) FROM seen) ELSE node_id END AS component FROM nodes LEFT JOIN seen s ON s.id = node_id)"""
+_q("case_reach", f"+ {_WHOLE}, {_REACH} SELECT node_id, coalesce(cases, 0) AS cases, coalesce(stations, 0) AS stations FROM nodes LEFT JOIN reach ON id = node_id", *_GRAPH_VIEWS, recursive=True)
+_q("graph_components", f"+ {_WHOLE}, {_SUMMARY} SELECT 'comp:' || component AS component_id, size, cases, stations, stations > 1 AS cross_station FROM summary", *_GRAPH_VIEWS, recursive=True)
+_COMMUNITY = f"""{_SUMMARY}, ie AS (SELECT component, rel_type, src, dst FROM edges JOIN placed ON node_id = src),
   pc AS (SELECT component, count(*) AS pairs FROM (SELECT DISTINCT component, least(src, dst) AS x, greatest(src, dst) AS y FROM ie) GROUP BY component),
   et AS (SELECT component, sum(n) AS edge_count, string_agg(rel_type || ':' || n, ',' ORDER BY rel_type) AS edge_types FROM (SELECT component, rel_type, count(*) AS n FROM ie GROUP BY ALL) GROUP BY component),
   lt AS (SELECT component, string_agg(label || ':' || n, ',' ORDER BY label) AS labels FROM (SELECT component, label, count(*) AS n FROM placed GROUP BY ALL) GROUP BY component),
   cm AS (SELECT 'community:' || component AS community_id, size AS member_count, round(2.0 * coalesce(pairs, 0) / (size * (size - 1)), 4) AS density, CAST(coalesce(edge_count, 0) AS BIGINT) AS edge_count, cases AS case_count, stations AS station_count, stations > 1 AS spans_cross_station, labels, coalesce(edge_types, '') AS edge_types
     FROM summary LEFT JOIN pc USING (component) LEFT JOIN et USING (component) JOIN lt USING (component) WHERE size >= 2)"""
-_q("communities", f"+ {_COMMUNITIES} SELECT * FROM cm", *_PV)
+_COMMUNITIES = f"{_PGRAPH}, {_COMMUNITY}"
+_q("communities", f"+ {_WHOLE}, {_COMMUNITY} SELECT * FROM cm", *_GRAPH_VIEWS, recursive=True)
 # Within a component all nodes touch the person, so a distance is 1 or 2; shortest paths of length 2 are counted by joins.
 _METRICS = f"""{_PGRAPH}, {_SUMMARY}, {_REACH},
   deg AS (SELECT id, count(*) AS d, CAST(round(sum(w), 4) AS DOUBLE) AS wd FROM (SELECT src AS id, w FROM edges UNION ALL SELECT dst, w FROM edges) GROUP BY id),
@@ -308,6 +371,18 @@ _TRAILS = f"""{_TWO}, bl AS (SELECT bw.*, label AS far_label FROM bw JOIN nodes
     UNION ALL SELECT start_id, far, far_label, hops + 1, path_key || CASE WHEN path_key = '' THEN '' ELSE '->' END || '(' || end_label || ':' || end_id || ')-[' || rel_type || ']->(' || far_label || ':' || far || ')', list_append(ns, far), list_append(es, edge_id)
     FROM tr JOIN bl ON near = end_id WHERE hops < 3 AND NOT list_contains(es, edge_id))"""
 _q("traverse_depth3", f"+ {_TRAILS} SELECT DISTINCT start_id, end_id, hops, path_key FROM tr WHERE hops > 0", *_GRAPH_VIEWS, recursive=True)
+_NAMED = """named AS (SELECT case_id AS id, 'Case' AS label, station_id, fir_number AS shown FROM cases UNION ALL SELECT person_id, 'Person', NULL, name FROM persons UNION ALL SELECT vehicle_id, 'Vehicle', NULL, registration_number FROM vehicles)"""
+_q(
+    "path_properties",
+    f"""+ {_SECTIONS}, {_NODES}, {_EDGES}, {_NAMED}, bw AS (SELECT src AS near, dst AS far, edge_id, rel_type, CASE WHEN rel_type = 'RELATED_TO' THEN 0.85 ELSE 1.0 END AS w FROM edges WHERE rel_type IN ('HAS_PERSON', 'HAS_VEHICLE', 'RELATED_TO')
+    UNION ALL SELECT dst, src, edge_id, rel_type, CASE WHEN rel_type = 'RELATED_TO' THEN 0.85 ELSE 1.0 END FROM edges WHERE rel_type IN ('HAS_PERSON', 'HAS_VEHICLE', 'RELATED_TO')),
+  st AS (SELECT b.*, x.label AS la, y.label AS lb, '(' || x.label || ':' || near || ')-[' || rel_type || ']->(' || y.label || ':' || far || ')' AS piece, concat_ws('/', x.label, near, x.station_id, x.shown) AS na, concat_ws('/', y.label, far, y.station_id, y.shown) AS nb,
+    edge_id || '/' || CASE WHEN w = 1 THEN '1.0' ELSE '0.85' END AS e FROM bw b JOIN named x ON x.id = near JOIN named y ON y.id = far),
+  h1 AS (SELECT * FROM st WHERE near = 'C0000000001'),
+  h2 AS (SELECT a.piece || '->' || b.piece AS path_key, a.na || ',' || a.nb || ',' || b.nb AS nodes, a.e || ',' || b.e AS edges FROM h1 a JOIN st b ON a.far = b.near AND a.edge_id <> b.edge_id)
+  SELECT 'C0000000001' AS start_id, piece AS path_key, na || ',' || nb AS nodes, e AS edges FROM h1 UNION ALL SELECT 'C0000000001', path_key, nodes, edges FROM h2""",
+    *_GRAPH_VIEWS,
+)
 _HOOD = "hd AS (SELECT 'C0000000001' AS node_id, 0 AS distance UNION SELECT far, distance + 1 FROM hd JOIN bw ON near = node_id WHERE distance < 2), hood AS (SELECT node_id, min(distance) AS distance FROM hd GROUP BY node_id)"
 _q("neighbourhood_depth2", f"+ {_TWO}, {_HOOD} SELECT * FROM hood", *_GRAPH_VIEWS, recursive=True)
 _q("induced_edges", f"+ {_TWO}, {_HOOD} SELECT edge_id FROM used WHERE src IN (SELECT node_id FROM hood) AND dst IN (SELECT node_id FROM hood)", *_GRAPH_VIEWS, recursive=True)
@@ -355,7 +430,7 @@ _PATTERNS = {
         ("cases", "evidences"),
     ),
     "person": (_entity("Person", "RECURRING_ENTITY", "SELECT case_id, person_id AS entity, name FROM case_persons JOIN persons USING (person_id)").replace("USING (case_id) GROUP", "USING (case_id) GROUP"), ("cases", "persons", "case_persons")),
-    "location": (_entity("Location", "RECURRING_LOCATION", "SELECT case_id, location_id AS entity, locality AS name FROM cases JOIN locations USING (location_id)"), ("cases", "locations")),
+    "location": (_entity("Location", "RECURRING_LOCATION", "SELECT case_id, location_id AS entity, coalesce(l.address, l.district) AS name FROM cases JOIN locations l USING (location_id)"), ("cases", "locations")),
     "vehicle": (_entity("Vehicle", "RECURRING_VEHICLE_PHONE", "SELECT case_id, vehicle_id AS entity, registration_number AS name FROM case_vehicles JOIN vehicles USING (vehicle_id)"), ("cases", "vehicles", "case_vehicles")),
     "phone": (_entity("Phone", "RECURRING_VEHICLE_PHONE", "SELECT case_id, phone_id AS entity, number AS name FROM case_phones JOIN phones USING (phone_id)"), ("cases", "phones", "case_phones")),
     "temporal": (
@@ -436,15 +511,16 @@ def _union(*names: str) -> str:
 _q("explain_patterns", f"+ {_DAYS}, pt AS ({_union('modus_operandi', 'person', 'vehicle')}), {_OF_PATTERNS} SELECT {_TOLD} FROM ex WHERE {_TELL}", *_EVERY)
 _OF_LINKS = f"""lx AS (SELECT 'exp:relationship:' || {content_id('exp:relationship', '[pair_key]')} AS explanation_id, pair_key AS subject_id, 'CasePair' AS subject_type, 'Explanation for Relationship Link (' || level || ')' AS title,
     'Relationship link between Case ' || id1 || ' and Case ' || id2 || ' evaluated with ' || level || ' confidence (score: ' || CAST(score AS DOUBLE) || ').' AS observation,
-    'Step 5B Confidence Assessment: ' || level || ' confidence based on 1 high-confidence/exact signal(s)' || CASE WHEN n > 1 THEN ', ' || (n - 1) || ' possible/pattern signal(s)' ELSE '' END || ' across ' || len(families) || ' evidence categories. Relationship Confidence: ' || level
+    'Step 5B Confidence Assessment: ' || level || ' confidence based on ' || array_to_string(list_filter([CASE WHEN high > 0 THEN high || ' high-confidence/exact signal(s)' END, CASE WHEN possible > 0 THEN possible || ' possible/pattern signal(s)' END,
+      CASE WHEN weak > 0 THEN weak || ' weak signal(s)' END], lambda x: x IS NOT NULL), ', ') || ' across ' || len(families) || ' evidence categories. Relationship Confidence: ' || level
       || ' (Score: ' || printf('%.2f', CAST(score AS DOUBLE)) || '). Contributing Evidence Categories (' || len(families) || '): ' || array_to_string(families, ', ') || '.' AS explanation,
-    id1 || ',' || id2 AS case_ids, '' AS entity_ids, array_to_string(list_transform(families, lambda x: 'Contributing Signal Family: ' || x), ',') AS signals, CAST(score AS DOUBLE) AS weight, CAST(2 AS BIGINT) AS limitations FROM cl)"""
-_q("explain_links", f"+ {_confidence(False)}, {_OF_LINKS} SELECT {_TOLD} FROM lx", *_VIEWS)
+    id1 || ',' || id2 AS case_ids, '' AS entity_ids, array_to_string(list_transform(families, lambda x: 'Contributing Signal Family: ' || x), ',') AS signals, CAST(score AS DOUBLE) AS weight, CAST(2 + cautious::INT AS BIGINT) AS limitations FROM cl)"""
+_q("explain_links", f"+ {_LINKED}, {_OF_LINKS} SELECT {_TOLD} FROM lx", *_VIEWS)
 _OF_COMMUNITIES = f"""cx AS (SELECT 'exp:community:' || {content_id('exp:community', '[community_id]')} AS explanation_id, community_id AS subject_id, 'Community' AS subject_type, 'Explanation for Graph Community (' || community_id || ')' AS title,
     'Graph structural community ''' || community_id || ''' identified with ' || member_count || ' member nodes and density ' || density || '.' AS observation,
     'Community cluster derived from graph structural modularity. Spans multiple police stations: ' || CASE WHEN spans_cross_station THEN 'True' ELSE 'False' END || '. Total station count: ' || station_count || '.' AS explanation,
     '' AS case_ids, '' AS entity_ids, 'Community Structural Density: ' || density AS signals, density AS weight, CAST(2 AS BIGINT) AS limitations FROM cm)"""
-_q("explain_communities", f"+ {_COMMUNITIES}, {_OF_COMMUNITIES} SELECT {_TOLD} FROM cx", *_PV)
+_q("explain_communities", f"+ {_WHOLE}, {_COMMUNITY}, {_OF_COMMUNITIES} SELECT {_TOLD} FROM cx", *_GRAPH_VIEWS, recursive=True)
 _OF_CONNECTORS = f"""nx AS (SELECT 'exp:connector:' || {content_id('exp:connector', '[node_id]')} AS explanation_id, node_id AS subject_id, label AS subject_type, 'Explanation for Network Connector Node (' || label || ':' || node_id || ')' AS title,
     'Network node ''' || node_id || ''' (' || label || ') identified as high-centrality connector node connecting ' || cases || ' cases.' AS observation,
     'High structural centrality detected with total degree ' || total_degree || ' and betweenness centrality ' || printf('%.4f', betweenness) || '. Role summary: ' || role || '.' AS explanation,

@@ -103,9 +103,10 @@ def table_counts(spark, sf):
 
 @query
 def case_children(spark, sf):
-    cases, cp, ev = _v(spark, sf, "cases", "case_persons", "evidences")
-    out = lookups.with_children(cases, persons=cp, evidences=ev.select("case_id", "evidence_type"))
-    return out.select("case_id", F.array_join(F.transform("persons", lambda p: F.concat_ws("/", p["person_id"], p["role"])), ",").alias("persons"), F.array_join(F.transform("evidences", lambda e: e["evidence_type"]), ",").alias("evidences"))
+    cases, cp, ev, events, sections = _v(spark, sf, "cases", "case_persons", "evidences", "investigation_events", "case_sections")
+    out = lookups.with_children(cases, persons=cp, evidences=ev.select("case_id", "evidence_type"), events=events.select("case_id", "event_id"), sections=sections)
+    more = [F.array_join(F.transform(c, lambda e: e[f]), ",").alias(c) for c, f in (("events", "event_id"), ("sections", "section"))]  # noqa: B023
+    return out.select("case_id", *more, F.array_join(F.transform("persons", lambda p: F.concat_ws("/", p["person_id"], p["role"])), ",").alias("persons"), F.array_join(F.transform("evidences", lambda e: e["evidence_type"]), ",").alias("evidences"))
 
 
 # Normalization -------------------------------------------------------------
@@ -192,6 +193,12 @@ def block_person_buckets(spark, sf):
     return blocking.buckets(blocking.person_keys(_v(spark, sf, "persons")))
 
 
+@query
+def block_persons_skewed(spark, sf):
+    """Blocking where one name holds a third of all persons: a row for each id instead of each pair."""
+    return blocking.classes(blocking.person_keys(_v(spark, sf, "persons_skewed")))
+
+
 @query
 def block_phones(spark, sf):
     return _pairs(blocking.block_phones(_v(spark, sf, "phones")))
@@ -245,33 +252,58 @@ def resolve_locations(spark, sf):
 
 
 def _features(spark, sf) -> DataFrame:
-    cases, cp, vehicles, cv, phones, ct, sections, places = _v(spark, sf, "cases", "case_persons", "vehicles", "case_vehicles", "phones", "case_phones", "case_sections", "locations")
+    cases, cp, vehicles, cv, phones, ct, sections, places, ev, texts = _v(spark, sf, "cases", "case_persons", "vehicles", "case_vehicles", "phones", "case_phones", "case_sections", "locations", "evidences", "case_texts")
     plates = cv.join(vehicles.select("vehicle_id", "registration_number"), "vehicle_id")
     numbers = ct.join(phones, "phone_id")
-    return features.extract(cases, cp, plates, numbers, sections, places)
+    return features.extract(cases.join(texts, "case_id", "left"), cp, plates, numbers, sections, places, ev)
 
 
 @query
 def case_features(spark, sf):
     f = _features(spark, sf)
-    return f.select("case_id", "fir_number", "time_bucket", "weekday", "place", F.round("latitude", 4).alias("latitude"), _line("persons").alias("persons"), _line("plates").alias("plates"), _line("numbers").alias("numbers"), _line("sections").alias("sections"))
+    return f.select(
+        "case_id", "fir_number", "time_bucket", "weekday", "place", "has_place", F.round("latitude", 4).alias("latitude"), F.md5(F.coalesce("method", F.lit(""))).alias("method"), "method_source",
+        _line("persons").alias("persons"), _line("plates").alias("plates"), _line("numbers").alias("numbers"), _line("sections").alias("sections"), _line("evidence").alias("evidence"),
+    )
+
 
+def _people_pairs(spark, sf) -> DataFrame:
+    """id1, id2 (cases), x, y (persons), decision, same_name, same_sound: case pairs of one person, or of two persons of the same name."""
+    cp, people = _v(spark, sf, "case_persons", "persons")
+    people = people.select("person_id", "name", "date_of_birth")
+    named = blocking.pairs(blocking.keys(people, "person_id", {"EXACT_NAME": N.person(F.col("name"))["normalized"]}))
+    judged = resolve.resolve_persons(named, people).select(F.col("id1").alias("x"), F.col("id2").alias("y"), "decision", "same_name", "same_sound")
+    both = judged.unionByName(judged.withColumns({"x": F.col("y"), "y": F.col("x")}))
+    a, b = cp.select(F.col("case_id").alias("id1"), F.col("person_id").alias("x")), cp.select(F.col("case_id").alias("id2"), F.col("person_id").alias("y"))
+    other = a.join(both, "x").join(b, "y").where("id1 < id2")
+    own = links.shared(cp, "person_id").select("id1", "id2", F.col("value").alias("x"), F.col("value").alias("y"), F.lit("HIGH_CONFIDENCE_MATCH").alias("decision"), F.lit(True).alias("same_name"), F.lit(True).alias("same_sound"))
+    return cut(graph.union(own, other.select(*own.columns)), "query-people")
 
-def _person_pairs(spark, sf) -> DataFrame:
-    """Case pairs that share a person."""
-    return links.shared(_v(spark, sf, "case_persons"), "person_id").select("id1", "id2").distinct()
 
+def _methods(pairs: DataFrame, f: DataFrame) -> DataFrame:
+    """The method signal of the pairs of which both cases have a method text."""
+    texts = f.where("method is not null").select("case_id", F.col("method").alias("description"), F.col("method_source").alias("source"))
+    ids = texts.select("case_id")
+    told = pairs.join(ids.withColumnRenamed("case_id", "id1"), "id1", "left_semi").join(ids.withColumnRenamed("case_id", "id2"), "id2", "left_semi")
+    return similarity.method_similarity(told, texts, source="source")
 
-def _compared(spark, sf) -> DataFrame:
-    f = cut(_features(spark, sf), "query-features")
-    return similarity.compare(_person_pairs(spark, sf), f)
+
+def _compared(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(pairs, features, people, methods) of the candidate pairs of cases."""
+    f, people = cut(_features(spark, sf), "query-features"), _people_pairs(spark, sf)
+    pairs = cut(people.select("id1", "id2").distinct(), "query-pairs")
+    return pairs, f, people, cut(_methods(pairs, f), "query-methods")
 
 
 @query
 def case_similarity(spark, sf):
+    """All eight signals of candidate pairs."""
+    pairs, f, people, methods = _compared(spark, sf)
+    judged = people.select(F.least("x", "y").alias("id1"), F.greatest("x", "y").alias("id2"), "decision", "same_name", "same_sound").where("id1 <> id2").distinct()
+    persons = similarity.person_overlap(pairs, f, judged)
     pick = lambda i: F.concat_ws(":", F.col("signals")[i]["status"], F.format_number(F.col("signals")[i]["score"], 4))
-    names = ("category", "legal", "geography", "time", "vehicles", "phones")
-    return _compared(spark, sf).select("id1", "id2", *[pick(i).alias(n) for i, n in enumerate(names)], "score", "level")
+    names = ("method", "category", "legal", "geography", "time", "vehicles", "phones", "persons")
+    return similarity.compare(pairs, f, persons, methods).select("id1", "id2", *[pick(i).alias(n) for i, n in enumerate(names)], "score", "level")
 
 
 @query
@@ -286,22 +318,23 @@ def person_overlap(spark, sf):
     return similarity.person_overlap(pairs, f, resolve.resolve_persons(wanted, people))
 
 
-def _neighbours(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Each narrative with the next one of its category."""
+def _rare_word_pairs(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Pairs of narratives that share a method keyword which at most three of them have."""
     texts = _v(spark, sf, "narratives").withColumn("case_id", F.col("doc_id"))
-    nxt = F.lead("doc_id").over(Window.partitionBy("crime_category").orderBy("doc_id"))
-    return texts.select(F.col("doc_id").alias("id1"), nxt.alias("id2")).where("id2 is not null"), texts
+    entries = blocking.method_keys(texts, "doc_id").where("signal = 'MO_KEYWORD_TOKEN'")
+    found = blocking.pairs(entries, 2, 3).select(F.col("id1").cast("long").alias("id1"), F.col("id2").cast("long").alias("id2"))
+    return cut(found, "query-texts"), texts
 
 
 @query
 def tfidf_cosine(spark, sf):
-    pairs, texts = _neighbours(spark, sf)
+    pairs, texts = _rare_word_pairs(spark, sf)
     return similarity.cosine(pairs, texts)
 
 
 @query
 def method_similarity(spark, sf):
-    pairs, texts = _neighbours(spark, sf)
+    pairs, texts = _rare_word_pairs(spark, sf)
     return similarity.method_similarity(pairs, texts)
 
 
@@ -328,25 +361,46 @@ def shared_phone_buckets(spark, sf):
     return numbers.groupBy("number").agg(n.alias("cases"), (n * (n - 1) / 2).cast("long").alias("pairs"))
 
 
+def _paired(spark, sf) -> DataFrame:
+    f, people = cut(_features(spark, sf), "query-features"), _people_pairs(spark, sf)
+    return similarity.paired(people.select("id1", "id2").distinct(), f)
+
+
 @query
 def shared_location_signal(spark, sf):
-    f = cut(_features(spark, sf), "query-features")
-    return links.location_signals(similarity.paired(_person_pairs(spark, sf), f)).select("id1", "id2", "score")
+    return links.location_signals(_paired(spark, sf)).select("id1", "id2", "score", "certainty")
+
+
+@query
+def shared_phone_signal(spark, sf):
+    return links.phone_signals(_paired(spark, sf)).groupBy("id1", "id2").agg(F.count("*").alias("signals"), F.max("score").alias("score"))
+
+
+@query
+def shared_vehicle_signal(spark, sf):
+    return links.vehicle_signals(_paired(spark, sf)).groupBy("id1", "id2").agg(F.count("*").alias("signals"), F.max("score").alias("score"))
+
+
+def _all_signals(spark, sf) -> DataFrame:
+    return links.analyze_pairs(*_compared(spark, sf))
+
+
+@query
+def all_signals(spark, sf):
+    """Every relationship signal of candidate pairs, of all nine types."""
+    return _all_signals(spark, sf).select("id1", "id2", "rel_type", "score", "certainty", "unverified")
 
 
 @query
 def pair_confidence(spark, sf):
-    f = cut(_features(spark, sf), "query-features")
-    pairs = cut(_person_pairs(spark, sf), "query-pairs")
-    people = links.person_signals(pairs.select("id1", "id2", F.lit("HIGH_CONFIDENCE_MATCH").alias("decision"), F.lit(True).alias("same_name"), F.lit(True).alias("same_sound")))
-    rows = graph.union(people, links.trait_signals(similarity.compare(pairs, f)), links.location_signals(similarity.paired(pairs, f)))
-    return links.confidence(rows).select("id1", "id2", "pair_key", "score", "level", _line("families").alias("families"), "signals")
+    return links.confidence(_all_signals(spark, sf)).select("id1", "id2", "pair_key", "score", "level", _line("families").alias("families"), "signals", "high", "possible", "weak")
 
 
 # Graph ---------------------------------------------------------------------------
 
 
-def _graph(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _links_of(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the whole graph, whose edges may still lack an end."""
     cases, persons, vehicles, phones, places, ev = _v(spark, sf, "cases", "persons", "vehicles", "phones", "locations", "evidences")
     cp, cv, ct, cs = _v(spark, sf, "case_persons", "case_vehicles", "case_phones", "case_sections")
     sections = cs.select("case_id", N.section_code(F.col("section")).alias("section"))
@@ -354,15 +408,34 @@ def _graph(spark, sf) -> tuple[DataFrame, DataFrame]:
         graph.node_rows(cases, "case_id", "Case", "station_id", fir_number="fir_number"), graph.node_rows(persons, "person_id", "Person", name="name", date_of_birth="date_of_birth"), graph.node_rows(vehicles, "vehicle_id", "Vehicle", registration="registration_number"),
         graph.node_rows(phones, "phone_id", "Phone", number="number"), graph.node_rows(places, "location_id", "Location", locality="locality"), graph.node_rows(ev, "evidence_id", "Evidence", kind="evidence_type"), graph.node_rows(sections, "section", "LegalSection"),
     )
+    near = links.shared(cp, "person_id").withColumn("confidence", F.lit(0.85))
     edges = graph.union(
-        graph.edge_rows(cp, "case_id", "person_id", "HAS_PERSON", nodes), graph.edge_rows(cv, "case_id", "vehicle_id", "HAS_VEHICLE", nodes), graph.edge_rows(ct, "case_id", "phone_id", "HAS_PHONE", nodes),
-        graph.edge_rows(cases, "case_id", "location_id", "HAS_LOCATION", nodes), graph.edge_rows(ev, "case_id", "evidence_id", "HAS_EVIDENCE", nodes), graph.edge_rows(sections, "case_id", "section", "HAS_LEGAL_SECTION", nodes),
+        graph.edge_rows(cp, "case_id", "person_id", "HAS_PERSON"), graph.edge_rows(cv, "case_id", "vehicle_id", "HAS_VEHICLE"), graph.edge_rows(ct, "case_id", "phone_id", "HAS_PHONE"),
+        graph.edge_rows(cases, "case_id", "location_id", "HAS_LOCATION"), graph.edge_rows(ev, "case_id", "evidence_id", "HAS_EVIDENCE"), graph.edge_rows(sections, "case_id", "section", "HAS_LEGAL_SECTION"),
+        graph.related_rows(near),
     )
     return nodes, edges
 
 
+def _graph(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The whole graph: all seven labels and edge types, with RELATED_TO between all cases of one person. Nodes are written once."""
+    nodes, edges = _links_of(spark, sf)
+    nodes = cut(nodes, "query-nodes")
+    return nodes, graph.known_ends(edges, nodes)
+
+
+def _placed(spark, sf) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = _graph(spark, sf)
+    edges = cut(edges, "query-edges")
+    return cut(graph.with_components(nodes, edges), "query-placed"), edges
+
+
 def _person_graph(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Cases and persons, with HAS_PERSON and the RELATED_TO edges of shared persons."""
+    """Cases and persons, with HAS_PERSON, and RELATED_TO between cases of one person registered in one year.
+
+    Centralities of all nodes are for graphs of small components, as this is; see
+    `target_metrics` for a part of the whole graph.
+    """
     cases, persons, cp = _v(spark, sf, "cases", "persons", "case_persons")
     nodes = cut(graph.union(graph.node_rows(cases, "case_id", "Case", "station_id"), graph.node_rows(persons, "person_id", "Person")), "query-nodes")
     near = links.shared(cases.select("case_id", F.concat_ws("|", "person_id", F.date_format("registration_date", "yyyy")).alias("k")), "k").withColumn("confidence", F.lit(0.85))
@@ -393,19 +466,18 @@ def node_degrees(spark, sf):
 
 @query
 def case_reach(spark, sf):
-    return graph.case_reach(*_person_graph(spark, sf))
+    nodes, edges = _graph(spark, sf)
+    return graph.case_reach(nodes, edges)
 
 
 @query
 def graph_components(spark, sf):
-    nodes, edges = _person_graph(spark, sf)
-    return graph.component_summary(graph.with_components(nodes, edges))
+    return graph.component_summary(_placed(spark, sf)[0])
 
 
 @query
 def communities(spark, sf):
-    nodes, edges = _person_graph(spark, sf)
-    c = graph.communities(cut(graph.with_components(nodes, edges), "query-placed"), edges)
+    c = graph.communities(*_placed(spark, sf))
     line = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
     return c.withColumns({"labels": line("labels"), "edge_types": line("edge_types")})
 
@@ -421,29 +493,51 @@ def _start(spark) -> DataFrame:
 
 @query
 def traverse_depth3(spark, sf):
-    nodes, edges = _graph(spark, sf)
+    nodes, edges = _links_of(spark, sf)
     return graph.traverse(edges, nodes, _start(spark), 3, ["HAS_PERSON", "HAS_VEHICLE"]).select("start_id", "end_id", "hops", "path_key")
 
 
 @query
 def neighbourhood_depth2(spark, sf):
-    nodes, edges = _graph(spark, sf)
+    _, edges = _links_of(spark, sf)
     return graph.neighbourhood(edges.where("rel_type in ('HAS_PERSON', 'HAS_VEHICLE')"), _start(spark), 2)
 
 
 @query
 def induced_edges(spark, sf):
-    nodes, edges = _graph(spark, sf)
-    edges = cut(edges.where("rel_type in ('HAS_PERSON', 'HAS_VEHICLE')"), "query-edges")
+    _, edges = _links_of(spark, sf)
+    edges = edges.where("rel_type in ('HAS_PERSON', 'HAS_VEHICLE')")
     return graph.induced(edges, graph.neighbourhood(edges, _start(spark), 2)).select("edge_id")
 
 
 @query
 def multi_hop_paths(spark, sf):
-    nodes, edges = _graph(spark, sf)
+    nodes, edges = _links_of(spark, sf)
     return graph.first_paths(graph.traverse(edges, nodes, _start(spark), 3, ["HAS_PERSON", "HAS_VEHICLE"]))
 
 
+@query
+def path_properties(spark, sf):
+    """Nodes and edges of the trails of one or two hops, with their properties."""
+    nodes, edges = _links_of(spark, sf)
+    found = cut(graph.traverse(edges, nodes, _start(spark), 2, ["HAS_PERSON", "HAS_VEHICLE", "RELATED_TO"]), "query-trails")
+    near = cut(nodes.join(found.select(F.explode("path_nodes").alias("node_id")).distinct(), "node_id", "left_semi"), "query-near")
+    d = graph.path_details(found, near)
+    label = lambda n: F.concat_ws("/", n["label"], n["node_id"], n["station_id"], F.array_join(F.array_sort(F.map_values(n["props"])), "/"))
+    edge = lambda e: F.concat_ws("/", e["edge_id"], e["weight"].cast("string"))
+    return d.select("start_id", "path_key", F.array_join(F.transform("nodes", label), ",").alias("nodes"), F.array_join(F.transform("edges", edge), ",").alias("edges"))
+
+
+@query
+def target_metrics(spark, sf):
+    """Network metrics of the whole graph within two hops of one case."""
+    nodes, edges = _links_of(spark, sf)
+    used = cut(edges.where("rel_type in ('HAS_PERSON', 'HAS_VEHICLE', 'RELATED_TO')"), "query-edges")
+    ids = cut(graph.neighbourhood(used, _start(spark), 2).select("node_id"), "query-ids")
+    near = cut(nodes.join(ids, "node_id", "left_semi"), "query-near")
+    return graph.metrics(near, cut(graph.induced(used, ids), "query-induced"))
+
+
 # Patterns ----------------------------------------------------------------------------
 
 
@@ -456,7 +550,7 @@ def _patterns(spark, sf) -> dict[str, DataFrame]:
     return {
         "modus_operandi": patterns.modus_operandi(cases, ev),
         "person": patterns.recurring(cases, cp.join(persons.select("person_id", "name"), "person_id"), "person_id", "Person", "name"),
-        "location": patterns.recurring(cases, cases.select("case_id", "location_id").join(places.select("location_id", "locality"), "location_id"), "location_id", "Location", "locality"),
+        "location": patterns.recurring(cases, cases.select("case_id", "location_id").join(places.select("location_id", F.coalesce("address", "district").alias("label")), "location_id"), "location_id", "Location", "label"),
         "vehicle": patterns.recurring(cases, cv.join(vehicles.select("vehicle_id", "registration_number"), "vehicle_id"), "vehicle_id", "Vehicle", "registration_number"),
         "phone": patterns.recurring(cases, ct.join(phones, "phone_id"), "phone_id", "Phone", "number"),
         "temporal": patterns.temporal(cases),
@@ -508,16 +602,12 @@ def explain_patterns(spark, sf):
 
 @query
 def explain_links(spark, sf):
-    f = cut(_features(spark, sf), "query-features")
-    pairs = cut(_person_pairs(spark, sf), "query-pairs")
-    people = links.person_signals(pairs.select("id1", "id2", F.lit("HIGH_CONFIDENCE_MATCH").alias("decision"), F.lit(True).alias("same_name"), F.lit(True).alias("same_sound")))
-    rows = people.unionByName(links.trait_signals(similarity.compare(pairs, f)))
-    return _told(explain.union(explain.of_links(links.confidence(rows))))
+    return _told(explain.union(explain.of_links(links.confidence(_all_signals(spark, sf)))))
 
 
 @query
 def explain_communities(spark, sf):
-    return _told(explain.union(explain.of_communities(_graph_results(spark, sf)[0])))
+    return _told(explain.union(explain.of_communities(graph.communities(*_placed(spark, sf)))))
 
 
 @query

@@ -41,16 +41,18 @@ ROLES = ("ACCUSED", "SUSPECT", "VICTIM", "WITNESS", "COMPLAINANT", "OTHER")
 VEHICLE_ROLES = ("SUSPECT_VEHICLE", "STOLEN_VEHICLE", "RECOVERED_VEHICLE", "VICTIM_VEHICLE", "OTHER")
 EVIDENCE_TYPES = ("CCTV", "MOBILE", "DOCUMENT", "VEHICLE", "WEAPON", "DIGITAL", "PHYSICAL", "OTHER")
 
-_FIRST = "".join(f"{n:<8}" for n in "rahul amit sunita priya deepak manoj rekha suresh anita vikram kavita arjun meena rohit lata sanjay gita nikhil usha tarun".split())
-_PARTS = "".join(f"{n:<3}" for n in "ka ro mi sha ten da pra lu bi gar no ve su jit pa ran tho lal min das".split())
+_FIRST = "rahul amit sunita priya deepak manoj rekha suresh anita vikram kavita arjun meena rohit lata sanjay gita nikhil usha tarun".split()
+_PARTS = "ka ro mi sha ten da pra lu bi gar no ve su jit pa ran tho lal min das".split()
+_SERIES = "ab ca fx zk".split()
 
 
 def _id(prefix: str, column: str) -> str:
     return f"'{prefix}' || lpad(CAST({column} AS STRING), 10, '0')"
 
 
-def _part(number: str, size: int, cells: str) -> str:
-    return f"rtrim(substr('{cells}', CAST(1 + {size} * (({number}) % 20) AS INT), {size}))"
+def _part(number: str, words: list[str]) -> str:
+    """The word at a place, counted from 0 and around."""
+    return f"(CASE ({number}) % {len(words)} " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(words)) + " END)"
 
 
 def _div(a: str, b: int) -> str:
@@ -59,12 +61,12 @@ def _div(a: str, b: int) -> str:
 
 #: Three neighbouring customers share a surname, two of them the whole name, so that buckets of names stay small at any size.
 _NAME = (
-    f"(CASE WHEN c_custkey % 11 = 0 THEN 'Shri ' ELSE '' END) || {_part(_div('c_custkey', 3) + ' * 2 + ' + _div('c_custkey % 3', 2), 8, _FIRST)} || ' ' || "
-    f"{_part(_div('c_custkey', 3), 3, _PARTS)} || {_part(_div('c_custkey', 60), 3, _PARTS)} || {_part(_div('c_custkey', 1200), 3, _PARTS)} || {_part(_div('c_custkey', 24000), 3, _PARTS)}"
+    f"(CASE WHEN c_custkey % 11 = 0 THEN 'Shri ' ELSE '' END) || {_part(_div('c_custkey', 3) + ' * 2 + ' + _div('c_custkey % 3', 2), _FIRST)} || ' ' || "
+    f"{_part(_div('c_custkey', 3), _PARTS)} || {_part(_div('c_custkey', 60), _PARTS)} || {_part(_div('c_custkey', 1200), _PARTS)} || {_part(_div('c_custkey', 24000), _PARTS)}"
     " || (CASE WHEN c_custkey % 13 = 0 THEN ' alias Raju' ELSE '' END)"
 )
 _DOB = f"CAST(1900 + ({_div('c_custkey', 2)} * 7) % 115 AS STRING) || '-' || lpad(CAST(1 + {_div('c_custkey', 2)} % 12 AS STRING), 2, '0') || '-' || lpad(CAST(1 + {_div('c_custkey', 2)} % 28 AS STRING), 2, '0')"
-_PLATE = f"'OD' || lpad(CAST({_div('p_partkey', 40)} % 90 AS STRING), 2, '0') || (CASE WHEN p_partkey % 5 = 0 THEN '-' ELSE '' END) || {_part('p_partkey % 4', 3, 'ab ca fx zk '.ljust(60))} || lpad(CAST(({_div('p_partkey', 2)} * 17) % 10000 AS STRING), 4, '0')"
+_PLATE = f"'OD' || lpad(CAST({_div('p_partkey', 40)} % 90 AS STRING), 2, '0') || (CASE WHEN p_partkey % 5 = 0 THEN '-' ELSE '' END) || {_part('p_partkey', _SERIES)} || lpad(CAST(({_div('p_partkey', 2)} * 17) % 10000 AS STRING), 4, '0')"
 _NUMBER = f"(CASE s_suppkey % 3 WHEN 0 THEN '+91 ' WHEN 1 THEN '0' ELSE '' END) || CAST(9000000000 + {_div('s_suppkey', 2)} * 7919 AS STRING)"
 
 SQL = {
@@ -78,10 +80,17 @@ SQL = {
     "case_vehicles": f"SELECT DISTINCT {_id('C', 'l_orderkey')} AS case_id, {_id('V', 'l_partkey')} AS vehicle_id FROM {{lineitem}}",
     "phones": f"SELECT {_id('T', 's_suppkey')} AS phone_id, {_NUMBER} AS number FROM {{supplier}}",
     "case_phones": f"SELECT DISTINCT {_id('C', 'l_orderkey')} AS case_id, {_id('T', 'l_suppkey')} AS phone_id FROM {{lineitem}}",
-    "locations": f"SELECT {_id('L', 'n_nationkey')} AS location_id, 'Sq ' || CAST(n_nationkey AS STRING) || ', ' || n_name AS locality, r_name AS district, r_name AS state, CAST(20.0 + n_nationkey / 100.0 AS DOUBLE) AS latitude, CAST(85.0 + n_nationkey / 100.0 AS DOUBLE) AS longitude FROM {{nation}} JOIN {{region}} ON n_regionkey = r_regionkey",
+    # One location in five has no coordinates, and one no coordinates and no text either.
+    "locations": f"""SELECT {_id('L', 'n_nationkey')} AS location_id, CASE WHEN n_nationkey % 5 <> 1 THEN 'Sq ' || CAST(n_nationkey AS STRING) || ', ' || n_name END AS locality,
+      CASE WHEN n_nationkey % 5 <> 1 THEN 'Plot ' || CAST(n_nationkey AS STRING) || ' rd' END AS address, r_name AS district, r_name AS state,
+      CASE WHEN n_nationkey % 5 > 1 THEN CAST(20.0 + n_nationkey / 100.0 AS DOUBLE) END AS latitude, CASE WHEN n_nationkey % 5 > 1 THEN CAST(85.0 + n_nationkey / 100.0 AS DOUBLE) END AS longitude
+      FROM {{nation}} JOIN {{region}} ON n_regionkey = r_regionkey""",
     "evidences": f"SELECT DISTINCT {_id('C', 'l_orderkey')} AS case_id, (CASE l_returnflag WHEN 'A' THEN 'CCTV' WHEN 'N' THEN 'MOBILE' ELSE 'DOCUMENT' END) AS evidence_type, {_id('C', 'l_orderkey')} || '-' || l_returnflag AS evidence_id FROM {{lineitem}}",
     "case_sections": f"SELECT DISTINCT {_id('C', 'l_orderkey')} AS case_id, (CASE WHEN l_linestatus = 'O' THEN 'BNS ' ELSE 'ipc_' END) || CAST(100 + l_linenumber AS STRING) AS section FROM {{lineitem}}",
     "investigation_events": f"SELECT {_id('E', 'event_id')} AS event_id, {_id('C', 'user_id')} AS case_id, event_type, ts AS event_date, value FROM {{events}}",
+    "case_texts": f"SELECT {_id('C', 'doc_id')} AS case_id, CASE WHEN doc_id % 3 = 0 THEN text END AS method, text AS description FROM {{documents}}",
+    # As persons, but one name and year of birth holds a third of all.
+    "persons_skewed": f"SELECT {_id('P', 'c_custkey')} AS person_id, CASE WHEN c_custkey % 3 = 0 THEN 'Rahul Das' ELSE {_NAME} END AS name, CASE WHEN c_custkey % 3 = 0 THEN '1980-01-01' ELSE {_DOB} END AS date_of_birth FROM {{customer}}",
     "narratives": "SELECT doc_id, text AS description, lang, source AS crime_category FROM {documents}",
 }
 

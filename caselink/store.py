@@ -22,8 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application: others share the one above it."""
+    return f"{shared_dir(spark)}/caselink/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/caselink/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -35,9 +40,9 @@ def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 
 def drop_shared(spark: SparkSession) -> None:
-    """Removes all that `cut` has written in this session's shared folder."""
+    """Removes all that `cut` has written in this application; what others keep in the shared folder stays."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/caselink")
+    path = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

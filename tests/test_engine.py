@@ -98,12 +98,24 @@ def test_analysis_of_a_scope(spark):
     names = [r["original"] for r in a.aliases.where("kind = 'Person'").collect()]
     said = " ".join(r["statement"] for r in a.report.collect())
     assert names and not any(n in said for n in names)
+    assert a.refused.columns == ["explanation_id", "subject_type", "refusal", "length"]
     with pytest.raises(ValueError):
         Scope(max_cases=101)
     with pytest.raises(ValueError):
         Scope(depth=6)
 
 
+def test_every_scope_is_masked(spark):
+    """Without a bound on cases, no raw id, name or plate is left in any text of the report or the explanations."""
+    a = scope(spark, stations=["PS_02"], start="1994-01-01", end="1995-12-31")
+    assert a.cases.count() > 5
+    raw = [r["original"] for r in a.aliases.collect()]
+    ids = {r["case_id"] for r in a.cases.collect()} | {r["node_id"] for r in a.nodes.where("label <> 'Case'").collect()}
+    assert ids <= set(raw)
+    said = " ".join(r["statement"] for r in a.report.collect()) + " ".join(str(tuple(r)) for r in a.masked.select("subject_id", "title", "observation", "explanation", "case_ids", "entity_ids", "signals").collect())
+    assert said and not [v for v in raw if v in said and not v.startswith(("community:", "comp:"))]
+
+
 def test_lookups(spark):
     cases = spark.createDataFrame([("c1", "F1", "S1"), ("c2", "F2", "S2"), ("c3", "F3", None)], "case_id string, fir_number string, station_id string")
     targets = spark.createDataFrame([("F3", 1), ("c1", 2), ("F1", 3), ("zz", 4)], "target string, position int")

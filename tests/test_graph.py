@@ -156,3 +156,29 @@ def test_structural_patterns_and_explanations(spark):
     assert "betweenness centrality 0.0000" in rows["P"]["explanation"]
     assert {r["subject_type"]: r["n"] for r in explain.histogram(told).collect()} == {"Community": 1, "Case": 2, "Person": 1, "Vehicle": 1}
     assert told.where(F.size("limitations") != 2).count() == 0
+
+
+def test_path_details(spark):
+    nodes, edges = path_net(spark)
+    nodes = nodes.withColumn("props", F.create_map(F.lit("name"), F.col("node_id"), F.lit("address"), F.lit("secret")))
+    found = graph.traverse(edges, nodes, spark.createDataFrame([("A",)], "start_id string"), 2)
+    for metadata, weight in ((True, 0.92), (False, None)):
+        got = {r["path_key"]: r for r in graph.path_details(found, nodes, metadata).collect()}
+        assert len(got) == found.count()
+        r = got["(Case:A)-[RELATED_TO]->(Case:B)"]
+        assert [(n["node_id"], n["label"], n["props"]) for n in r["nodes"]] == [("A", "Case", {"name": "A"}), ("B", "Case", {"name": "B"})]
+        assert [(e["edge_id"], e["weight"]) for e in r["edges"]] == [("A:RELATED_TO:B", weight)]
+
+
+def test_orders(spark):
+    c = spark.createDataFrame([("x", 2, 0.5), ("a", 2, 1.0), ("b", 2, 1.0), ("z", 5, 0.1)], "community_id string, member_count long, density double")
+    assert [r[0] for r in graph.communities_in_order(c).collect()] == ["z", "a", "b", "x"]
+    assert [r["node_id"] for r in graph.metrics_in_order(graph.metrics(*net(spark))).collect()] == ["A", "B", "C", "P", "V"]
+
+
+def test_nodes_of_one_id_agree_between_runs(spark):
+    rows = spark.createDataFrame([("A", "S2", "y"), ("A", "S1", "x"), ("A", None, "z")], "case_id string, station_id string, fir string").repartition(3)
+    assert [(r["station_id"], r["props"]) for r in graph.node_rows(rows, "case_id", "Case", "station_id", fir="fir").collect()] == [("S2", {"fir": "y"})]
+    e = graph.union(graph.edge_rows(spark.createDataFrame([("A", "P"), ("A", "Q"), ("Z", "P")], "c string, p string"), "c", "p", "HAS_PERSON"))
+    known = graph.known_ends(e, spark.createDataFrame([("A",), ("P",)], "node_id string"))
+    assert [r["edge_id"] for r in known.collect()] == ["A:HAS_PERSON:P"]

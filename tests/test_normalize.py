@@ -83,6 +83,21 @@ def test_numbers(spark):
     assert abs(r["j"] - 1 / 3) < 1e-12 and r["j0"] == 0 and r["m"] == {"name": "x"}
 
 
+def test_fold_is_nfkd_and_ascii(spark):
+    """Ligatures, fractions, units and letters beyond the basic plane, against the definition."""
+    texts = ["\ufb01le \U0001d401\U0001d428\U0001d41b", "½ ㎞ №5 ﬀ ĳ", "Éœ ß İ", "…™", "ଓଡ଼ିଶା x", "\U0001f600 ok", "plain", "ﷺ"]
+    got = one(spark, N.fold, *texts)
+    assert got == [unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in texts] and got[0] == "file Bob"
+    assert one(spark, lambda c: N.person(c)["normalized"], texts[0]) == ["file bob"]
+
+
+def test_time_and_date_inputs(spark):
+    got = one(spark, N.clock, "9:05", " 23:59:58 ", "25:00", "noon", None)
+    assert [(r["iso"], r["hour"], r["tokens"]) for r in got] == [("09:05:00", 9, ["09:00"]), ("23:59:58", 23, ["23:00"]), ("25:00", None, None), ("noon", None, None), (None, None, None)]
+    assert one(spark, N.day, "2024-03-05", None) == ["2024-03-05", None]
+    assert one(spark, lambda c: N.shown(c.cast("double")), "0.0002", "0.5", "1", "0", "0.1234") == ["0.0002", "0.5", "1.0", "0.0", "0.1234"]
+
+
 def test_pair_keys(spark):
     a, b = "6f9619ff-8b86-d011-b42d-00c04fc964ff", "0e984725-c51c-4bf4-9960-e1c80e27aba0"
     df = spark.createDataFrame([(a, b)], "a string, b string")

@@ -59,12 +59,12 @@ def test_missing_candidates_are_dropped(spark):
 
 
 FEATURES = (
-    "case_id string, crime_type string, crime_category string, district string, registration_date date, time_bucket string, place string, latitude double, longitude double, persons array<string>, plates array<string>, numbers array<string>, sections array<string>"
+    "case_id string, crime_type string, crime_category string, district string, registration_date date, time_bucket string, place string, has_place boolean, latitude double, longitude double, persons array<string>, plates array<string>, numbers array<string>, sections array<string>"
 )
 
 
 def case(case_id, **kw):
-    base = {"crime_type": "HOUSE", "crime_category": "THEFT", "district": "Khurda", "registration_date": dt.date(2024, 1, 10), "time_bucket": "NIGHT", "place": "", "latitude": None, "longitude": None, "persons": [], "plates": [], "numbers": [], "sections": []}
+    base = {"crime_type": "HOUSE", "crime_category": "THEFT", "district": "Khurda", "registration_date": dt.date(2024, 1, 10), "time_bucket": "NIGHT", "place": "", "has_place": False, "latitude": None, "longitude": None, "persons": [], "plates": [], "numbers": [], "sections": []}
     base |= kw
     return (case_id, *base.values())
 
@@ -81,8 +81,16 @@ def test_signals(spark):
     assert s["VEHICLE_OVERLAP"] == (0.0, "UNAVAILABLE")
     s, _ = compared(spark, {"latitude": 20.27, "longitude": 85.84}, {"latitude": 20.2704, "longitude": 85.8402})
     assert s["GEOGRAPHIC"][1] == "MATCH" and s["GEOGRAPHIC"][0] > 0.99
-    s, _ = compared(spark, {"latitude": 999.0, "longitude": -500.0, "place": "master canteen square"}, {"place": "master canteen square"})
+    s, _ = compared(spark, {"latitude": 999.0, "longitude": -500.0, "place": "master canteen square", "has_place": True}, {"place": "master canteen square", "has_place": True})
     assert s["GEOGRAPHIC"] == (0.75, "PARTIAL")
+    s, _ = compared(spark, {"place": "khurda"}, {"place": "khurda"})  # a district alone is no place
+    assert s["GEOGRAPHIC"] == (0.40, "PARTIAL")
+    s, _ = compared(spark, {"place": "khurda square x", "has_place": True}, {"place": "puri square y", "has_place": True, "district": "Puri"})
+    assert s["GEOGRAPHIC"] == (0.0, "MISMATCH")
+    s, _ = compared(spark, {}, {"district": "Puri"})
+    assert s["GEOGRAPHIC"] == (0.0, "MISMATCH")
+    s, _ = compared(spark, {"district": None}, {})
+    assert s["GEOGRAPHIC"] == (0.0, "UNAVAILABLE")
     s, _ = compared(spark, {"numbers": ["1"], "plates": ["A"]}, {"numbers": ["1", "2"], "plates": ["B"]})
     assert s["PHONE_OVERLAP"] == (1.0, "MATCH") and s["VEHICLE_OVERLAP"] == (0.0, "MISMATCH")
     s, _ = compared(spark, {"registration_date": None}, {})
@@ -142,11 +150,11 @@ def test_confidence(spark):
     assert abs(s[0] - 0.34375) < 1e-4 and s[1] == "LOW"
     many = [("SIMILAR_CRIME_CATEGORY", 1.0, ctx, False), ("SIMILAR_LEGAL_SECTIONS", 1.0, ctx, False), ("TEMPORAL_PROXIMITY", 1.0, ctx, False), ("SIMILAR_MODUS_OPERANDI", 1.0, ctx, False)]
     assert scored(spark, *many)[0] == 0.45
-    assert scored(spark, ("POSSIBLE_PERSON_RELATIONSHIP", 0.35, weak, True))[0] == round(0.7 * 0.45 * 0.35 - 0.10, 4)
+    assert scored(spark, ("POSSIBLE_PERSON_RELATIONSHIP", 0.35, weak, True))[0] == 0.0103  # 0.01025: halves round up
     full = [("SHARED_HIGH_CONFIDENCE_PERSON", 1.0, "HIGH_CONFIDENCE_ENTITY", False), ("SHARED_PHONE", 1.0, exact, False), ("SHARED_VEHICLE", 1.0, exact, False), ("SHARED_LOCATION", 1.0, exact, False)]
     assert scored(spark, *full)[:2] == (1.0, "VERY_HIGH")
     two = [("SHARED_PHONE", 1.0, exact, False), ("SHARED_PHONE", 1.0, exact, False)]
-    assert scored(spark, *two)[0] == round(0.7 * (0.9 + 0.9 * 0.25), 4)
+    assert scored(spark, *two)[0] == 0.7875
 
 
 def test_chain_invents_no_link(spark):
@@ -164,3 +172,52 @@ def test_person_overlap_prefers_name_only_less(spark):
     resolved = spark.createDataFrame([("p", "q", "NO_MATCH", True, True)], "id1 string, id2 string, decision string, same_name boolean, same_sound boolean")
     got = {r["id2"]: (r["score"], r["status"]) for r in similarity.person_overlap(pairs, f, resolved).collect()}
     assert got == {"b": (0.35, "PARTIAL"), "c": (1.0, "MATCH")}
+
+
+def test_all_signals_of_a_pair(spark):
+    """Every signal type at once, by hand; locations are correlational, and a case has no signal with itself."""
+    near = {"latitude": 20.27, "longitude": 85.84, "sections": ["BNS_303"], "numbers": ["+911", "+912"], "plates": ["A", "B"]}
+    f = spark.createDataFrame([case("a", **near), case("b", **near)], FEATURES)
+    people = spark.createDataFrame([("a", "b", "HIGH_CONFIDENCE_MATCH", True, True), ("a", "b", "POSSIBLE_MATCH", False, True), ("a", "b", "NO_MATCH", False, True), ("a", "b", "NO_MATCH", False, False)], "id1 string, id2 string, decision string, same_name boolean, same_sound boolean")
+    methods = spark.createDataFrame([("a", "b", 0.3, "PARTIAL")], "id1 string, id2 string, score double, status string")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "a")], "id1 string, id2 string")
+    rows = links.analyze_pairs(pairs, f, people, methods)
+    got = sorted((r["rel_type"], r["score"], r["certainty"], r["unverified"]) for r in rows.collect())
+    assert got == sorted([
+        ("SHARED_HIGH_CONFIDENCE_PERSON", 1.0, "HIGH_CONFIDENCE_ENTITY", False), ("POSSIBLE_PERSON_RELATIONSHIP", 0.70, "POSSIBLE_ENTITY", False), ("POSSIBLE_PERSON_RELATIONSHIP", 0.40, "WEAK_UNVERIFIED", True),
+        *[("SHARED_PHONE", 1.0, "EXACT_ATTRIBUTE_MATCH", False)] * 2, *[("SHARED_VEHICLE", 1.0, "EXACT_ATTRIBUTE_MATCH", False)] * 2, ("SHARED_LOCATION", 1.0, "CORRELATIONAL", False),
+        ("SIMILAR_MODUS_OPERANDI", 0.3, "INFERRED_PATTERN", False), ("SIMILAR_LEGAL_SECTIONS", 1.0, "CONTEXTUAL", False), ("TEMPORAL_PROXIMITY", 1.0, "CORRELATIONAL", False), ("SIMILAR_CRIME_CATEGORY", 1.0, "CONTEXTUAL", False),
+    ])
+    (r,) = links.confidence(rows).collect()
+    worth = {"person": 1 + 0.25 * (0.45 * 0.7 + 0.45 * 0.4), "contact": 0.9 * 1.25, "vehicle": 0.85 * 1.25, "place": 0.5, "habit": 0.25 + 0.25 * 0.6 * 0.3, "legal": 0.15, "time": 0.35}
+    top = max(worth.values())
+    assert r["score"] == min(1.0, round(0.7 * top + 0.3 * (sum(worth.values()) - top) + 0.25 + 4 * 0.05, 4)) and r["level"] == "VERY_HIGH" and r["signals"] == 12
+    texts = [({"place": "square 1 puri", "has_place": True}, {"place": "square 1 puri", "has_place": True}, [0.75]), ({"place": "puri"}, {"place": "puri"}, [])]
+    for x, y, want in texts:
+        both = similarity.paired(pairs.where("id2 = 'b'"), spark.createDataFrame([case("a", **x), case("b", **y)], FEATURES))
+        assert [r["score"] for r in links.location_signals(both).collect()] == want
+
+
+def test_rows_of_a_hot_bucket(spark):
+    """One row for each id of a bucket says what all pairs of it say."""
+    rows = [(f"p{i:02d}", "Rahul Das" if i % 2 else f"Name{i} Un{i}ik", "1980-01-01") for i in range(20)]
+    entries = blocking.person_keys(spark.createDataFrame(rows, "person_id string, name string, date_of_birth string"))
+    per: dict = {}
+    for r in blocking.classes(entries).collect():
+        per.setdefault((r["signal"], r["key"]), []).append((r["id"], r["first_id"], r["ids"]))
+    made = {(a[0], b[0]) for g in per.values() for a in g for b in g if a[0] < b[0]}
+    assert made == {(r["id1"], r["id2"]) for r in blocking.pairs(entries).collect()}
+    assert all(f == min(i for i, _, _ in g) and n == len(g) for g in per.values() for _, f, n in g)
+
+
+def test_features_of_place_method_and_evidence(spark):
+    cases = spark.createDataFrame([("c1", "F1", "L1", "cut the lock", "told"), ("c2", "F2", "L2", " ", "told"), ("c3", "F3", None, None, None)], "case_id string, fir_number string, location_id string, method string, description string")
+    for c in ("station_id", "crime_type", "crime_category"):
+        cases = cases.withColumn(c, F.lit(None).cast("string"))
+    cases = cases.withColumn("district", F.lit("Puri")).withColumn("registration_date", F.lit(None).cast("date")).withColumn("incident_hour", F.lit(None).cast("int"))
+    places = spark.createDataFrame([("L1", "Master Sq", "Plot 7", None, None), ("L2", " ", None, 1.0, 2.0)], "location_id string, locality string, address string, latitude double, longitude double")
+    empty = lambda s: spark.createDataFrame([], s)
+    seen = spark.createDataFrame([("c1", "CCTV"), ("c1", "CCTV"), ("c1", "WEAPON")], "case_id string, evidence_type string")
+    f = features.extract(cases, empty("case_id string, person_id string"), empty("case_id string, registration_number string"), empty("case_id string, number string"), empty("case_id string, section string"), places, seen)
+    got = {r["case_id"]: (r["place"], r["has_place"], r["method"], r["method_source"], r["evidence"]) for r in f.collect()}
+    assert got == {"c1": ("master square plot 7 puri", True, "cut the lock", "DEDICATED_MO", ["CCTV", "WEAPON"]), "c2": ("puri", False, "told", "DESCRIPTION_DERIVED", []), "c3": ("puri", False, None, "UNAVAILABLE", [])}

@@ -52,8 +52,34 @@ def test_masked_rows(spark):
     rows = spark.createDataFrame([("x", "Ann Lee saw Ann", ["Ann", "none"])], "explanation_id string, title string, case_ids array<string>")
     r = privacy.masked_rows(rows, ["title", "case_ids"], aliases, "explanation_id").first()
     assert r["title"] == "Person-B saw Person-A" and r["case_ids"] == ["Person-A", "none"]
-    v = spark.createDataFrame([("p1", "Person", None), ("c1", "Case", "Case-A"), ("free", "Note", None)], "v string, k string, a string")
-    assert [r[0] for r in v.select(privacy.mask_subject(F.col("v"), F.col("k"), F.col("a"))).collect()] == ["Person-?", "Case-A", "free"]
+
+
+def test_subjects_get_aliases_by_type(spark):
+    known = spark.createDataFrame([("c1", "Case-A", "Case", 1), ("Ann", "Person-A", "Person", 1)], "original string, alias string, kind string, number long")
+    uuid = "6f9619ff-8b86-d011-b42d-00c04fc964ff"
+    v = spark.createDataFrame([("p1", "Person"), ("p2", "PERSON entity"), ("c1", "Case"), ("c1:c2:RELATED_TO", "CasePair"), (uuid, "Node"), ("free", "Note"), ("9", "Vehicle"), (" ", "Phone"), ("Ann", "Email")], "subject_id string, subject_type string")
+    got = {r["original"]: r["alias"] for r in privacy.with_subjects(v, known).collect()}
+    assert got == {"c1": "Case-A", "Ann": "Person-A", "p1": "Person-B", "p2": "Person-C", "c1:c2:RELATED_TO": "Case-B", uuid: "Entity-A", "9": "Vehicle-A"}
+    table = privacy.with_subjects(v, known)
+    back = privacy.backmap(texts(spark, "Person-C and Entity-A"), table).first()["text"]
+    assert back == f"p2 and {uuid}"
+
+
+def test_masks_every_depth_of_a_row(spark):
+    """Strings in arrays, maps and structs, nulls among them; rows are joined by value, and only by what they hold."""
+    schema = "k long, s string, a array<string>, m map<string,array<string>>, t struct<x:string,n:int,y:struct<z:string>>"
+    rows = [(1, "Ann Lee", ["Ann", None], {"Bo": ["Ann Lee", None]}, ("Bo", 3, ("password=abc",))), (2, None, None, None, None), (None, "Bo", [], {}, (None, None, None))]
+    aliases = spark.createDataFrame([("Ann", "Person-A"), ("Ann Lee", "Person-B"), ("Bo", "Person-C"), ("--", "Person-D"), ("absent", "Person-E")], "original string, alias string")
+    got = {r["k"]: r for r in privacy.masked_rows(spark.createDataFrame(rows, schema), ["s", "a", "m", "t"], aliases, "k").collect()}
+    r = got[1]
+    assert (r["s"], r["a"], r["m"], tuple(r["t"][:2]), r["t"]["y"]["z"]) == ("Person-B", ["Person-A", None], {"Person-C": ["Person-B", None]}, ("Person-C", 3), "[REDACTED_SECRET]")
+    assert got[2][1:] == (None, None, None, None) and got[None]["s"] == "Person-C" and got[None]["a"] == []
+
+
+def test_known_values_are_masked_before_patterns(spark):
+    known = spark.createDataFrame([("ann@x.org", "Person-A", "Person", 1), ("bo@y.net", "Email-A", "Email", 1)], "original string, alias string, kind string, number long")
+    got, aliases = masked(spark, "ann@x.org wrote to bo@y.net and cy@z.com", kinds=("Email",), known=known)
+    assert got == ["Person-A wrote to Email-A and Email-B"] and aliases["cy@z.com"] == "Email-B"
 
 
 def test_report(spark):
@@ -65,6 +91,8 @@ def test_report(spark):
     e = spark.createDataFrame([("e1", "Case", "c", "seen twice", ["c"], []), ("e2", "Case", "d", "led to an arrest", ["d"], [])], "explanation_id string, subject_type string, subject_id string, observation string, case_ids array<string>, entity_ids array<string>")
     kept = report.statements(e, explain.FORBIDDEN)
     assert [r["statement"] for r in kept.collect()] == ["Structured Explanation (Case:c): seen twice"]
+    left = report.refused(e.unionByName(e.limit(1).withColumn("observation", F.repeat(F.lit("x"), report.MOST_INPUT))), explain.FORBIDDEN)
+    assert sorted((r["explanation_id"], r["refusal"]) for r in left.collect()) == [("e1", "TOO_LONG"), ("e2", "FORBIDDEN_TERM")]
     head = report.summary(kept).first()
     assert head["sentences"] == 1 and head["by_subject"] == "Case:1" and head["report_id"].startswith("reasoning_fb:")
     assert report.summary(kept.where("false")).first()["sentences"] == 0
