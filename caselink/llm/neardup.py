@@ -17,8 +17,11 @@ keys (of a key's nodes the one with the most company), which joins dense classes
 without their pairs. Then the nodes of each key that are still in different
 classes are joined by signature distance. A key of many nodes is cut into blocks
 of bounded size, nodes of one large class into blocks of their own, and blocks of
-the same class are never compared. Pairs are confirmed in cells of two blocks of
-nodes, so that a full set travels once for all its pairs of a cell.
+the same class are never compared. A cell is two blocks of a key. Its pairs are
+never written: a first pass over signatures names the nodes of each cell that
+have a near partner there, their full sets are brought to the cell, and a second
+pass confirms the pairs and returns a spanning forest of their links. So what is
+written grows with the nodes of the keys, not with their pairs.
 
 Defined cases: a document with fewer than five words is one shingle; without
 words or text it has none and is linked with nothing. Documents with a null id
@@ -48,8 +51,8 @@ ERRORS = 2 * CHUNKS - 1
 FAR = 24
 #: Ranges of the second sketch, and the chance that it drops a pair at the threshold.
 BINS, MISS = 128, 1e-6
-#: Nodes of a block of a hot key; sets and shingles of a block of a cell, on average at most.
-BLOCK, CELL_SETS, CELL_SHINGLES = 512, 256, 1 << 20
+#: Nodes of a block of a hot key, on average at most, and of a part of a key in a join.
+BLOCK = 512
 
 _IS_WORD, _LOWERED = kernel.class_table(kernel.BLANKS)
 _FACTORS = kernel.seeds(SYMBOLS, 3) | np.uint64(1)
@@ -165,13 +168,22 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return keys.join(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key").select("key", "set_id", "size")
 
 
+def _part(block: int = BLOCK) -> Column:
+    """The part of its key that a node is in: a key of many nodes has several, so no join meets all of them in one task."""
+    return F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / block).cast("long")).alias("part")
+
+
+def _all_parts(block: int = BLOCK) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / block).cast("long") - 1)).alias("part")
+
+
 def star_pairs(shared: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
     """(a, b): each node b with the leads a of its keys, if near. A lead has the largest company over all its keys; ties go to the smaller id."""
     company = shared.groupBy("set_id").agg(F.sum("size").alias("company"))
     # bitwise_not turns the order of ids without overflow
     top = F.max(F.struct("company", F.bitwise_not("set_id").alias("turned")))
-    leads = shared.join(company, "set_id").groupBy("key").agg(F.bitwise_not(top["turned"]).alias("a"))
-    stars = shared.join(leads, "key").where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
+    leads = shared.join(company, "set_id").groupBy("key").agg(F.bitwise_not(top["turned"]).alias("a"), F.first("size").alias("size")).select("key", "a", _all_parts())
+    stars = shared.select("key", "set_id", _part()).join(leads, ["key", "part"]).where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
     return _near_pairs(stars, nodes, similar)
 
 
@@ -181,30 +193,49 @@ def _near_pairs(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
     return both.where(near("x", "y", similar)).select("a", "b")
 
 
-def open_pairs(shared: DataFrame, nodes: DataFrame, found: DataFrame, similar: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): pairs that share a key, are near, and are not yet in one class of `found` (id, component)."""
-    placed = shared.select("key", "set_id").join(found.withColumnRenamed("id", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("component", "set_id").alias("of"))
-    several = placed.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("key")
-    rows = cut(placed.join(several, "key").join(nodes.select("set_id", "n", "signature", "sketch"), "set_id"), "dup-open")
+def open_rows(shared: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """key, size, set_id, of, n, signature, sketch: the nodes of keys whose nodes are not yet of one class of `found` (id, component)."""
+    placed = shared.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").select("key", "size", "set_id", F.coalesce("component", "set_id").alias("of"))
+    several = placed.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.first("size").alias("size")).where("lo <> hi").select("key", _all_parts())
+    return placed.select("*", _part()).join(several, ["key", "part"]).drop("part").join(nodes.select("set_id", "n", "signature", "sketch"), "set_id")
+
+
+def cells(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of open_rows in all their cells (key, p, q): a block p of a key and a block q; `right` tells the rows of q where they differ."""
     # Nodes of one large class of a key have blocks of their own, the rest are mixed.
-    sizes = rows.groupBy("key", "of").agg(F.count("*").alias("m")).withColumn("big", F.col("m") >= block)
-    small = sizes.where("not big").groupBy("key").agg(F.sum("m").alias("small"))
-    count = F.when(F.col("big"), F.ceil(F.col("m") / block)).otherwise(F.ceil(F.col("small") / block)).cast("long")
-    own = F.when(F.col("big"), F.col("of")).otherwise(0).cast("long")
-    blk = F.xxhash64("big", own, F.pmod(F.xxhash64("set_id"), count))
-    pure = F.when(F.col("big"), F.col("of"))
-    dealt = rows.join(sizes, ["key", "of"]).join(small, "key", "left").select("key", "set_id", "of", "n", "signature", "sketch", blk.alias("blk"), pure.alias("pure"))
+    large = rows.groupBy("key", "of").agg(F.count("*").alias("m"), F.first("size").alias("size")).where(F.col("m") >= block)
+    apart = large.groupBy("key").agg(F.sum("m").alias("apart"))
+    per = rows.groupBy("key").agg(F.count("*").alias("every"), F.first("size").alias("size")).join(apart, "key", "left")
+    per = per.select("key", (F.col("every") - F.coalesce("apart", F.lit(0))).alias("small"), _all_parts(block))
+    big = F.col("m").isNotNull()
+    count = F.when(big, F.ceil(F.col("m") / block)).otherwise(F.ceil(F.col("small") / block)).cast("long")
+    blk = F.xxhash64(big, F.when(big, F.col("of")).otherwise(0).cast("long"), F.pmod(F.xxhash64("set_id"), count))
+    dealt = (
+        rows.select("*", _part(block)).join(large.select("key", "of", "m", _all_parts(block)), ["key", "of", "part"], "left").join(per, ["key", "part"])
+        .select("key", "set_id", "of", "n", "signature", "sketch", blk.alias("blk"), F.when(big, F.col("of")).alias("pure"))
+    )
     blocks = dealt.select("key", "blk", "pure").distinct()
-    cells = (
+    made = (
         blocks.select("key", F.col("blk").alias("p"), F.col("pure").alias("one")).join(blocks.select("key", F.col("blk").alias("q"), F.col("pure").alias("other")), "key")
         .where((F.col("p") <= F.col("q")) & ~F.coalesce(F.col("one") == F.col("other"), F.lit(False))).select("key", "p", "q")
     )
     dealt = dealt.drop("pure")
-    x = dealt.withColumnRenamed("blk", "p").join(cells, ["key", "p"]).withColumn("right", F.lit(False))
-    y = dealt.withColumnRenamed("blk", "q").join(cells.where("p <> q"), ["key", "q"]).withColumn("right", F.lit(True))
     cols = ["key", "p", "q", "right", "set_id", "of", "n", "signature", "sketch"]
-    dealt = x.select(*cols).unionByName(y.select(*cols)).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "right")
-    return dealt.mapInArrow(_compare(similar), "a long, b long")
+    x = dealt.withColumnRenamed("blk", "p").join(made, ["key", "p"]).withColumn("right", F.lit(False))
+    y = dealt.withColumnRenamed("blk", "q").join(made.where("p <> q"), ["key", "q"]).withColumn("right", F.lit(True))
+    return x.select(*cols).unionByName(y.select(*cols))
+
+
+def _by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "right", "set_id")
+
+
+def near_rows(rows: DataFrame, similar: int) -> DataFrame:
+    """The rows of `cells` that have a near partner in their cell: at most as many as there are."""
+    return _by_cell(rows).mapInArrow(_with_partners(similar), CELL)
+
+
+CELL = "key long, p long, q long, right boolean, set_id long, of long, n long, signature array<long>, sketch binary"
 
 
 def first_keys(differ: np.ndarray) -> np.ndarray:
@@ -277,32 +308,79 @@ def close_pairs(cell: np.ndarray, right: np.ndarray, left_out: np.ndarray, of: n
     return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
 
 
-def _compare(similar: int):
-    def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Tables that end with a cell; a cell is bounded, so what is held back is too."""
-        held: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]) if held is not None else table
-            ids = np.stack([table.column(c).to_numpy() for c in ("key", "p", "q")])
-            last = np.flatnonzero((ids != ids[:, -1:]).any(0))
-            at = int(last[-1]) + 1 if len(last) else 0
-            held = table.slice(at)
-            if at:
-                yield table.slice(0, at)
-        if held is not None:
-            yield held
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables that end with a cell; a cell is bounded, so what is held back is too."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        ids = np.stack([table.column(c).to_numpy() for c in ("key", "p", "q")])
+        last = np.flatnonzero((ids != ids[:, -1:]).any(0))
+        at = int(last[-1]) + 1 if len(last) else 0
+        held = table.slice(at)
+        if at:
+            yield table.slice(0, at)
+    if held is not None:
+        yield held
+
+
+def pairs_of(table: pa.Table, similar: int) -> tuple[np.ndarray, np.ndarray]:
+    """close_pairs of the rows of a table of whole cells."""
+    key, p, q, of, n = (table.column(c).to_numpy() for c in ("key", "p", "q", "of", "n"))
+    symbols = table.column("signature").combine_chunks().flatten().to_numpy().view(np.uint16).reshape(-1, SYMBOLS)
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+    cell = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))))
+    return close_pairs(cell, table.column("right").to_numpy(), key.view(np.uint64) >> np.uint64(48), of, n, symbols, sketch, similar)
+
+
+def _with_partners(similar: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_cells(batches):
+            some = np.zeros(table.num_rows, bool)
+            for side in pairs_of(table, similar):
+                some[side] = True
+            yield from table.filter(pa.array(some)).combine_chunks().to_batches()
+
+    return run
+
 
+def spanning(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Of links between rows, those that join parts which no earlier one has joined."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    out = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = top(x), top(y)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((x, y))
+    return out
+
+
+def _confirm_cells(similar: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_cells(b for b in batches if b.num_rows):
-            key, p, q, ids, of, n = (table.column(c).to_numpy() for c in ("key", "p", "q", "set_id", "of", "n"))
-            right = table.column("right").to_numpy()
-            symbols = table.column("signature").combine_chunks().flatten().to_numpy().view(np.uint16).reshape(-1, SYMBOLS)
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-            cell = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))))
-            i, j = close_pairs(cell, right, key.view(np.uint64) >> np.uint64(48), of, n, symbols, sketch, similar)
-            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for table in whole_cells(batches):
+            i, j = pairs_of(table, similar)
+            ids, hashes = table.column("set_id").to_numpy(), table.column("hashes").combine_chunks()
+            sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in hashes]
+            size = np.array([len(x) for x in sets], np.int64)
+            order = np.lexsort((j, i))
+            i, j = i[order], j[order]
+            starts = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.empty(0, np.int64)
+            linked = np.zeros(len(i), bool)
+            for a, b in zip(starts.tolist(), np.append(starts[1:], len(i)).tolist(), strict=True):
+                lead = sets[i[a]]
+                both = shares(lead, [sets[x] for x in j[a:b].tolist()])
+                linked[a:b] = 100 * both >= similar * (len(lead) + size[j[a:b]] - both)
+            kept = spanning(ids[i[linked]], ids[j[linked]])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), pa.array([y for _, y in kept], pa.int64())], ["a", "b"])
 
     return run
 
@@ -335,23 +413,23 @@ def shares(lead: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((lead[place] == values).astype(np.int64), begin)
 
 
-def _confirm(similar: int):
+def _confirm_stars(similar: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, sets = None, {}
+        lead, own = np.empty(0, np.uint64), None
         for batch in batches:
-            p, q, a, b = (batch.column(c).to_numpy() for c in ("p", "q", "a", "b"))
-            is_pair = batch.column("pair").to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (q[1:] != q[:-1]) | (is_pair[1:] != is_pair[:-1]) | (is_pair[1:] & (a[1:] != a[:-1])))))
+            a, chunk, b = (batch.column(c).to_numpy() for c in ("a", "chunk", "b"))
+            leads, hashes = batch.column("leads").to_numpy(zero_copy_only=False), batch.column("hashes")
+            starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (chunk[1:] != chunk[:-1]))))
             linked = []
             for i, j in zip(starts.tolist(), np.append(starts[1:], len(a)).tolist(), strict=True):
-                if (p[i], q[i]) != cell:
-                    cell, sets = (p[i], q[i]), {}
-                if not is_pair[i]:
-                    hashes = batch.column("hashes").slice(i, j - i)
-                    sets |= {k: np.frombuffer(hashes[n].as_buffer(), np.uint64) for n, k in enumerate(a[i:j].tolist())}
+                sets = [np.frombuffer(hashes[x].as_buffer(), np.uint64) for x in range(i, j)]
+                if leads[i]:
+                    lead, own, i, sets = sets[0], (a[i], chunk[i]), i + 1, sets[1:]
+                if i == j:
                     continue
-                lead, others = sets[int(a[i])], [sets[k] for k in b[i:j].tolist()]
-                both, size = shares(lead, others), np.array([len(x) for x in others])
+                if own != (a[i], chunk[i]):
+                    raise ValueError("partners without their lead")
+                both, size = shares(lead, sets), np.array([len(x) for x in sets])
                 linked.append(i + np.flatnonzero(100 * both >= similar * (len(lead) + size - both)))
             at = np.concatenate(linked) if linked else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at])], ["a", "b"])
@@ -359,19 +437,26 @@ def _confirm(similar: int):
     return run
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, similar: int, text: str) -> DataFrame:
-    """The links among pairs (a, b), on full sets. Nodes are dealt to blocks; a cell holds the pairs of two blocks and their sets, each once."""
-    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(nodes.select("set_id", "n", "h1", "h2"), "set_id")
-    total = wanted.agg(F.count("*").alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
-    blocks = max(1, -(-total["sets"] // CELL_SETS), -(-total["shingles"] // CELL_SHINGLES))
-    sets = cut(full_sets(docs, wanted.drop("n"), k, text).dropDuplicates(["set_id"]), "dup-sets", "lz4")
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    celled = pairs.select(block("a").alias("p"), block("b").alias("q"), "a", "b")
-    sides = celled.select("p", "q", F.col("a").alias("set_id")).unionByName(celled.select("p", "q", F.col("b").alias("set_id"))).distinct()
-    held = sides.join(sets, "set_id").select("p", "q", F.lit(False).alias("pair"), F.col("set_id").alias("a"), F.lit(0).cast("long").alias("b"), "hashes")
-    rows = held.unionByName(celled.select("p", "q", F.lit(True).alias("pair"), "a", "b", F.lit(None).cast("binary").alias("hashes")))
-    dealt = rows.repartition("p", "q").sortWithinPartitions("p", "q", "pair", "a")
-    return dealt.mapInArrow(_confirm(similar), "a long, b long")
+def set_table(docs: DataFrame, nodes: DataFrame, ids: DataFrame, k: int, text: str) -> DataFrame:
+    """set_id, hashes of the nodes in ids (set_id), written once."""
+    wanted = ids.distinct().join(nodes.select("set_id", "h1", "h2"), "set_id")
+    return cut(full_sets(docs, wanted, k, text).dropDuplicates(["set_id"]), "dup-sets", "lz4")
+
+
+def star_links(stars: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """The links among stars (a, b), on full sets. A lead of many partners is confirmed in chunks of about BLOCK."""
+    per = stars.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("chunks"))
+    celled = stars.join(per, "a").select("a", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), "b")
+    partners = celled.join(sets, F.col("b") == F.col("set_id")).select("a", "chunk", F.lit(False).alias("leads"), "b", "hashes")
+    leads = celled.select("a", "chunk").distinct().join(sets, F.col("a") == F.col("set_id")).select("a", "chunk", F.lit(True).alias("leads"), F.col("a").alias("b"), "hashes")
+    rows = leads.unionByName(partners).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.desc("leads"))
+    return rows.mapInArrow(_confirm_stars(similar), "a long, b long")
+
+
+def cell_links(rows: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """A spanning forest of the links in each cell of near_rows, on full sets."""
+    held = _by_cell(rows.join(sets, "set_id").select(*[c.split()[0] for c in CELL.split(", ")], "hashes"))
+    return held.mapInArrow(_confirm_cells(similar), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR, text: str = "text") -> DataFrame:
@@ -380,11 +465,12 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR, tex
     nodes = cut(distinct_sets(signed), "dup-nodes")
     shared = cut(buckets(nodes), "dup-buckets")
     stars = cut(star_pairs(shared, nodes, similar), "dup-stars")
-    links = cut(confirmed(docs, nodes, stars, k, similar, text), "dup-star-links")
+    ids = stars.select(F.col("a").alias("set_id")).union(stars.select("b"))
+    links = cut(star_links(stars, set_table(docs, nodes, ids, k, text), similar), "dup-star-links")
     found = components(links, "dup-classes")
-    rest = cut(open_pairs(shared, nodes, found, similar), "dup-rest")
+    rest = cut(near_rows(cells(cut(open_rows(shared, nodes, found), "dup-open")), similar), "dup-near")
     if not rest.isEmpty():
-        more = cut(confirmed(docs, nodes, rest, k, similar, text), "dup-rest-links")
+        more = cut(cell_links(rest, set_table(docs, nodes, rest.select("set_id"), k, text), similar), "dup-cell-links")
         found = components(links.unionByName(more), "dup-links")
     classes = (
         nodes.select("h1", "h2", "set_id", "docs").join(found, F.col("set_id") == F.col("id"), "left")

@@ -51,8 +51,10 @@ def test_equals_brute_force(spark, seed):
 
 
 def test_large_group_is_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup.open_pairs, "__defaults__", (16,))
-    monkeypatch.setattr(neardup, "CELL_SETS", 8)
+    monkeypatch.setattr(neardup.cells, "__defaults__", (16,))
+    monkeypatch.setattr(neardup._part, "__defaults__", (16,))
+    monkeypatch.setattr(neardup._all_parts, "__defaults__", (16,))
+    monkeypatch.setattr(neardup, "BLOCK", 8)
     monkeypatch.setattr(neardup, "MATRIX", 64)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(150)]
@@ -105,8 +107,9 @@ def test_shared_passages_do_not_make_groups(spark):
     shared = neardup.buckets(nodes)
     stars = neardup.star_pairs(shared, nodes, 75).count()
     none = spark.createDataFrame([], "id long, component long")
-    pairs = neardup.open_pairs(shared, nodes, none, 75).count()
-    assert stars + pairs < 0.01 * 1500 * 1499 / 2
+    dealt = neardup.cells(neardup.open_rows(shared, nodes, none))
+    near = neardup.near_rows(dealt, 75).count()
+    assert stars < 0.01 * 1500 * 1499 / 2 and near < 0.1 * dealt.count()
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
     assert got == {i: i - 1 if i % 50 == 49 else i for i, _ in rows}
 
@@ -157,6 +160,27 @@ def test_sketch_keeps_pairs_at_the_threshold():
         assert kept <= few if few else missed == 0
 
 
+def test_spanning_links_join_the_same_parts():
+    rng = random.Random(4)
+    for _ in range(50):
+        links = [(rng.randrange(12), rng.randrange(12)) for _ in range(rng.randrange(0, 25))]
+        kept = neardup.spanning(np.array([a for a, _ in links], np.int64), np.array([b for _, b in links], np.int64))
+        part = lambda pairs: {frozenset(_reach(x, pairs)) for x in range(12)}
+        assert part(kept) == part(links) and len(kept) == 12 - len(part(links))
+
+
+def _reach(x, pairs):
+    seen, todo = {x}, [x]
+    while todo:
+        v = todo.pop()
+        for a, b in pairs:
+            for w in ((b,) if a == v else ()) + ((a,) if b == v else ()):
+                if w not in seen:
+                    seen.add(w)
+                    todo.append(w)
+    return seen
+
+
 def test_words_that_a_polynomial_hash_confuses(spark):
     """A Thue-Morse word and its complement are different texts."""
     word = "a"
