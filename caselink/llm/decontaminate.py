@@ -118,7 +118,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, tex
     """docs without the rows in which a benchmark window occurs: the id and a digest of the text name a row."""
     (of,) = free_names(docs, "__digest")
     bad = cut(occurrences(cut_words(docs, text), items, size).select(F.col("h").alias(of)), "dec-bad")
-    return docs.join(bad.hint("shuffle_hash"), row_key(F.col(text)) == F.col(of), "left_anti")
+    # No hint: the written table's size is known, so Spark broadcasts it below its own bound and shuffles beyond.
+    return docs.join(bad, row_key(F.col(text)) == F.col(of), "left_anti")
 
 
 SQL = r"""
