@@ -209,10 +209,11 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fit_scorer(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200, rate: float = 0.5, shrink: float = 1e-4) -> np.ndarray:
-    """Logistic regression by Adam on scaled features; returns weights on raw features and the bias last."""
-    scale = 1 / np.sqrt((x * x).mean(0) + 1e-8)
+    """Logistic regression by Adam on scaled features; x is scaled in place. Returns weights on raw features and the bias last."""
+    scale = 1 / np.sqrt(np.einsum("ij,ij->j", x, x) / len(x) + 1e-8)
     scale = np.minimum(scale, 1e3)
-    z = (x * scale / np.sqrt(x.shape[1])).astype(np.float32)
+    x *= (scale / np.sqrt(x.shape[1])).astype(np.float32)
+    z = x
     w, b = np.zeros(x.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
@@ -276,9 +277,13 @@ def _sample_vectors(docs: DataFrame, text: str, least: int, patterns: np.ndarray
 
 def _fit_task(table: pa.Table) -> pa.Table:
     """The weights, from the bounded sample in one task: rows of fixed size."""
-    table = table.sort_by("h")
-    y = table.column("posterior").to_numpy()
-    x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(len(y), -1)
+    order = np.argsort(table.column("h").to_numpy(), kind="stable")
+    y = table.column("posterior").to_numpy()[order]
+    rows = table.column("x").combine_chunks()
+    x = np.empty((len(y), TRIGRAMS + EVENTS * 2), np.float32)
+    for i, k in enumerate(order.tolist()):
+        x[i] = np.frombuffer(rows[k].as_buffer(), np.float32)
+    del table, rows
     w = fit_scorer(x, y, (np.abs(y - 0.5) + 0.05) * np.where(y < 0.5, 4, 1))
     return pa.table({"weights": pa.array([w.tolist()], pa.list_(pa.float64()))})
 
