@@ -243,6 +243,16 @@ class Shard:
             symbols = out
         return symbols.astype(np.uint32)
 
+    def every_id(self) -> np.ndarray:
+        """The ids of all documents. Each rule is expanded once, then every symbol is a run of what has been expanded."""
+        rules = self.expand(self.rules.reshape(-1))
+        known = np.concatenate((np.arange(self.base, dtype=np.uint32), rules))
+        size = np.concatenate((np.ones(self.base, np.int64), self.lengths))
+        begin, size = (np.cumsum(size) - size)[self.symbols], size[self.symbols]
+        at = np.repeat(begin - (np.cumsum(size) - size), size)
+        at += np.arange(len(at))
+        return known[at]
+
     def document(self, i: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids start to stop of document i; only the symbols that cover them are expanded."""
         run = self.symbols[self.firsts[i] : self.firsts[i + 1]]
@@ -373,7 +383,7 @@ def read(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard.load(batch.column("data")[i].as_py())
-                ids = shard.expand(shard.symbols).astype("<u4")
+                ids = shard.every_id().astype("<u4")
                 ends = np.cumsum(shard.counts)
                 if len(ids) != (ends[-1] if len(ends) else 0):
                     raise ValueError("a shard does not expand to its id counts")

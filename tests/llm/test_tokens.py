@@ -102,3 +102,18 @@ def test_whole_table(spark, messy, nothing):
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert tokens.read(tokens.write(nothing, PATH)).count() == 0
+
+
+def test_every_id_expands_as_symbols_do():
+    draw = np.random.default_rng(5)
+    cases = [
+        np.zeros(4096, np.uint32),
+        np.tile(np.arange(16, dtype=np.uint32), 5000),
+        draw.zipf(1.3, 50_000).clip(0, 499).astype(np.uint32),
+        np.array([7], np.uint32),
+    ]
+    for ids in cases:
+        cuts = np.unique(np.concatenate((draw.integers(1, len(ids) + 1, 9), [len(ids)])))
+        shard = tokens.Shard.load(tokens.repair(list(range(len(cuts))), ids, np.diff(cuts, prepend=0), 500).dump())
+        assert np.array_equal(shard.every_id(), ids)
+        assert np.array_equal(shard.expand(shard.symbols), ids)
