@@ -47,19 +47,57 @@ def test_synthetic_tables(spark):
     assert links.quick_links(t["case_persons"], t["case_vehicles"], t["case_phones"]).count() > 0
 
 
+def test_synthetic_histories(spark):
+    t = synthetic.tables(spark, cases=60)
+    h = synthetic.histories(t)
+    per = h["investigation_events"].groupBy("case_id").count().collect()
+    assert len(per) == 60 and {r["count"] for r in per} == {1, 2, 3, 4}
+    early = h["investigation_events"].join(t["cases"], "case_id").where("event_date <= registration_date").count()
+    assert early == 0 and h["case_sections"].where("section is null").count() == 0 and h["case_sections"].count() == 60
+
+
+def test_planted_clusters_are_found(spark):
+    t = synthetic.planted(synthetic.tables(spark, cases=40), clusters=4)
+    truth = {}
+    for r in t["truth"].collect():
+        truth.setdefault(r["cluster_id"], set()).add(r["case_id"])
+    assert sorted(map(len, truth.values())) == [3, 3, 3, 3]
+    found = {(r["id1"], r["id2"]) for r in links.quick_links(t["case_persons"], t["case_vehicles"], t["case_phones"]).collect()}
+    for members in truth.values():
+        assert {(a, b) for a in members for b in members if a < b} <= found
+    own = {c: k for k, members in truth.items() for c in members}
+    assert all(own.get(a) == own.get(b) for a, b in found if a in own or b in own)
+    stations = t["truth"].join(t["cases"], "case_id").groupBy("cluster_id").agg(F.count_distinct("station_id").alias("n")).collect()
+    assert {r["n"] for r in stations} == {3}
+    p = t["persons"]
+    kin = t["people"].join(p, "person_id").join(p.select(F.col("person_id").alias("suspect_id"), F.col("name").alias("its"), F.col("date_of_birth").alias("born")), "suspect_id")
+    same = {(r["kind"], r["name"] == r["its"], r["date_of_birth"] == r["born"]) for r in kin.collect()}
+    assert same == {("VARIANT", False, True), ("DECOY", True, False)}
+    assert t["people"].join(t["case_persons"], "person_id").count() == 0
+
+
+def test_jdbc_reads_ranges_of_a_key(spark):
+    url = "jdbc:derby:memory:cases;create=true"
+    rows = spark.createDataFrame([(i, i * i) for i in range(1, 41)], "k int, v int")
+    rows.write.jdbc(url, "numbers", mode="overwrite", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    got = tables.read_jdbc(spark, url, "numbers", "k", 1, 40, parts=4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_nested_records(spark):
     schema = "id string, fir_number string, legal_sections array<string>, persons array<struct<id:string,name:string>>, phones array<struct<id:string,normalized_number:string>>, location_id string"
     rows = [("c1", "F1", ["BNS 303", "66D"], [("p1", "Ann")], [("t1", "9861105000")], None), ("c2", "F2", None, None, None, None)]
     parts = features.split_records(spark.createDataFrame(rows, schema))
-    assert {k: v.count() for k, v in parts.items()} == {"cases": 2, "sections": 2, "persons": 1, "vehicles": 0, "phones": 1}
+    assert {k: v.count() for k, v in parts.items()} == {"cases": 2, "sections": 2, "persons": 1, "vehicles": 0, "phones": 1, "evidences": 0, "locations": 0}
     with pytest.raises(Exception, match="FIR"):
         features.split_records(spark.createDataFrame([("c", None, None, None, None, None)], schema))["persons"].sparkSession and features.split_records(spark.createDataFrame([("c", None, None, None, None, None)], schema))["cases"].collect()
 
 
 def test_eight_signals(spark):
     f = spark.createDataFrame(
-        [("a", "X", "T", None, None, None, "", None, None, [], [], [], []), ("b", "X", "T", None, None, None, "", None, None, [], [], [], [])],
-        "case_id string, crime_type string, crime_category string, district string, registration_date date, time_bucket string, place string, latitude double, longitude double, persons array<string>, plates array<string>, numbers array<string>, sections array<string>",
+        [("a", "X", "T", None, None, None, "", False, None, None, [], [], [], []), ("b", "X", "T", None, None, None, "", False, None, None, [], [], [], [])],
+        "case_id string, crime_type string, crime_category string, district string, registration_date date, time_bucket string, place string, has_place boolean, latitude double, longitude double, persons array<string>, plates array<string>, numbers array<string>, sections array<string>",
     )
     pairs = spark.createDataFrame([("a", "b")], "id1 string, id2 string")
     extra = spark.createDataFrame([("a", "b", 0.8, "MATCH")], "id1 string, id2 string, score double, status string")
