@@ -221,3 +221,19 @@ def test_features_of_place_method_and_evidence(spark):
     f = features.extract(cases, empty("case_id string, person_id string"), empty("case_id string, registration_number string"), empty("case_id string, number string"), empty("case_id string, section string"), places, seen)
     got = {r["case_id"]: (r["place"], r["has_place"], r["method"], r["method_source"], r["evidence"]) for r in f.collect()}
     assert got == {"c1": ("master square plot 7 puri", True, "cut the lock", "DEDICATED_MO", ["CCTV", "WEAPON"]), "c2": ("puri", False, "told", "DESCRIPTION_DERIVED", []), "c3": ("puri", False, None, "UNAVAILABLE", [])}
+
+
+def test_pairs_once_are_all_pairs(spark):
+    """Ids of several keys of a signal as well: the pairs and signals of the plain join, each once."""
+    rows = [(s, f"k{(i * m) % n}", f"i{i}") for i in range(60) for s, m, n in (("X", 1, 7), ("X", 3, 11), ("Y", 1, 5), ("Z", 2, 23))]
+    entries = spark.createDataFrame(rows, "signal string, key string, id string").distinct()
+    told = lambda df: sorted((r["id1"], r["id2"], tuple(r["signals"])) for r in df.collect())
+    assert told(blocking.pairs_once(entries, ["X", "Y", "Z"])) == told(blocking.pairs(entries))
+
+
+def test_blocking_shuffles_no_pairs(spark):
+    """The last exchanges of the plan are those of the join: nothing is gathered by pair."""
+    p = people(spark, ("p1", "Rahul Kumar", "1990-01-01"), ("p2", "Raul Kumar", "1990-05-05"))
+    for made in (blocking.block_persons(p),):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan[: plan.index("Join")], plan
