@@ -234,6 +234,7 @@ def test_pairs_once_are_all_pairs(spark):
 def test_blocking_shuffles_no_pairs(spark):
     """The last exchanges of the plan are those of the join: nothing is gathered by pair."""
     p = people(spark, ("p1", "Rahul Kumar", "1990-01-01"), ("p2", "Raul Kumar", "1990-05-05"))
-    for made in (blocking.block_persons(p),):
+    v = spark.createDataFrame([("v1", "OD02AB1234"), ("v2", "OD02AB1235")], "vehicle_id string, registration_number string")
+    for made in (blocking.block_persons(p), blocking.block_vehicles(v)):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "Aggregate" not in plan[: plan.index("Join")], plan
