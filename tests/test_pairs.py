@@ -238,3 +238,21 @@ def test_blocking_shuffles_no_pairs(spark):
     for made in (blocking.block_persons(p), blocking.block_vehicles(v)):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "Aggregate" not in plan[: plan.index("Join")], plan
+
+
+def test_quick_links_shuffle_no_pairs(spark):
+    """Cases that share several persons, vehicles and phones: each pair once, with no exchange after the join."""
+    pick = lambda n, *ks: spark.createDataFrame([(f"c{i}", f"x{(i * k) % n}") for i in range(40) for k in ks], "case_id string, v string")
+    p, v, t = pick(17, 1, 3), pick(13, 1, 5), pick(5, 1, 2)
+    made = links.quick_links(p.withColumnRenamed("v", "person_id"), v.withColumnRenamed("v", "vehicle_id"), t.withColumnRenamed("v", "phone_id"))
+    held = [{c: {r["v"] for r in df.collect() if r["case_id"] == c} for c in (f"c{i}" for i in range(40))} for df in (p, v, t)]
+    want = {}
+    for a in held[0]:
+        for b in held[0]:
+            same = [bool(h[a] & h[b]) for h in held]
+            if a < b and any(same):
+                want[a, b] = (0.95 if same[0] and same[1] else 0.85 if same[0] else 0.70, "PERSON_IDENTITY" if same[0] else "VEHICLE" if same[1] else "CONTACT")
+    got = made.collect()
+    assert len(got) == len(want) and {(r["id1"], r["id2"]): (r["confidence"], r["family"]) for r in got} == want
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Join")], plan
