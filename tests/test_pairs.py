@@ -240,6 +240,16 @@ def test_blocking_shuffles_no_pairs(spark):
         assert "Aggregate" not in plan[: plan.index("Join")], plan
 
 
+def test_blocked_resolution_shuffles_no_pairs(spark):
+    """The same rows as blocking and then resolving, and nothing is exchanged after the join."""
+    p = people(spark, ("p1", "Rahul Kumar", "1990-01-01", "9861105000", "Plot 1"), ("p2", "Raul Kumar", "1990-05-05", None, "Plot 1"), ("p3", "Shri Rahul Kumar", None), ("p4", "Sunita Das", "1990-02-02"), ("p4", "Sunita Das", "1985-02-02"))
+    made = resolve.resolve_blocked(p)
+    told = lambda df: sorted(map(str, df.collect()))
+    assert told(made) == told(resolve.resolve_persons(blocking.block_persons(p), p))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Join") > plan.index("ArrowEvalPython") and "Exchange" not in plan[: plan.index("Join")], plan
+
+
 def test_quick_links_shuffle_no_pairs(spark):
     """Cases that share several persons, vehicles and phones: each pair once, with no exchange after the join."""
     pick = lambda n, *ks: spark.createDataFrame([(f"c{i}", f"x{(i * k) % n}") for i in range(40) for k in ks], "case_id string, v string")
