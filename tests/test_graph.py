@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselink.operators import explain, graph, patterns
+from caselink.plans.queries import QUERIES
 from caselink.store import components, ranked
 
 NODE = "node_id string, label string, station_id string, props map<string,string>"
@@ -182,3 +183,11 @@ def test_nodes_of_one_id_agree_between_runs(spark):
     e = graph.union(graph.edge_rows(spark.createDataFrame([("A", "P"), ("A", "Q"), ("Z", "P")], "c string, p string"), "c", "p", "HAS_PERSON"))
     known = graph.known_ends(e, spark.createDataFrame([("A",), ("P",)], "node_id string"))
     assert [r["edge_id"] for r in known.collect()] == ["A:HAS_PERSON:P"]
+
+
+def test_structural_patterns_place_nodes_once(spark, monkeypatch):
+    """Communities and metrics of one graph share its components."""
+    made, plain = [], graph.with_components
+    monkeypatch.setattr(graph, "with_components", lambda *a: made.append(1) or plain(*a))
+    QUERIES["pattern_structural"](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
