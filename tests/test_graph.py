@@ -87,6 +87,21 @@ def test_long_chain_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_few_pairs_are_joined_in_one_job(spark, monkeypatch, kind):
+    """Small tables take two writes, whatever the length of their chains; both ways give the same classes."""
+    from caselink import store
+
+    written = []
+    monkeypatch.setattr(store, "cut", lambda df, name, *more, real=store.cut: written.append(name) or real(df, name, *more))
+    pairs = [(i + 1, i) for i in range(60)] + [(100, 102), (102, 101), (7, 7), (5, 6)]
+    df = spark.createDataFrame(pairs, "a long, b long").select(*[F.col(c).cast(kind).alias(c) for c in "ab"])
+    few = {tuple(r) for r in store.components(df, "test").collect()}
+    assert written == ["test-links", "test-labels"]
+    assert few == {tuple(r) for r in store.components(df, "test", few=0).collect()} and len(written) > 4
+    assert len(few) == 64
+
+
 def path_net(spark):
     labels = {"A": "Case", "B": "Case", "C": "Case", "D": "Case", "P": "Person", "Ph": "Phone", "Loc": "Location", "Sec": "LegalSection"}
     nodes = spark.createDataFrame([(n, l, None, {}) for n, l in labels.items()], NODE)
