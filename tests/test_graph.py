@@ -206,3 +206,27 @@ def test_structural_patterns_place_nodes_once(spark, monkeypatch):
     monkeypatch.setattr(graph, "with_components", lambda *a: made.append(1) or plain(*a))
     QUERIES["pattern_structural"](spark, "/root/testdata/sf0.001")
     assert len(made) == 1
+
+
+def no_pairs(*_):
+    raise AssertionError("pairs of cases are made")
+
+
+def test_case_reach_makes_no_pairs(spark, monkeypatch):
+    from caselink.operators import links
+
+    monkeypatch.setattr(links, "shared", no_pairs)
+    assert QUERIES["case_reach"](spark, "/root/testdata/sf0.001").where("cases > 1").count() > 0
+
+
+def test_reach_by_group_equals_pairs(spark):
+    """Cases of several persons, of an unknown one, without a station or without persons, and links of no case."""
+    from caselink.operators import links
+
+    rng = random.Random(5)
+    cp = spark.createDataFrame([(f"C{rng.randrange(14)}", f"P{rng.randrange(9)}") for _ in range(26)] + [("C99", "P1"), (None, "P1"), ("C1", None)], "case_id string, value string")
+    cases = spark.createDataFrame([(f"C{i}", "Case", None if i % 5 == 0 else f"S{i % 3}", {}) for i in range(16)], NODE)
+    pairs = links.shared(cp, "value").withColumn("confidence", F.lit(0.85))
+    want = graph.case_reach(cases, graph.related_rows(pairs, cases)).collect()
+    got = graph.reach_by_group(cases.select("node_id", "station_id"), cp).collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in want} and len(got) == len(want)
