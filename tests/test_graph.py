@@ -230,3 +230,22 @@ def test_reach_by_group_equals_pairs(spark):
     want = graph.case_reach(cases, graph.related_rows(pairs, cases)).collect()
     got = graph.reach_by_group(cases.select("node_id", "station_id"), cp).collect()
     assert {tuple(r) for r in got} == {tuple(r) for r in want} and len(got) == len(want)
+
+
+@pytest.mark.parametrize("name", ["graph_components"])
+def test_whole_graph_makes_no_pairs(spark, monkeypatch, name):
+    from caselink.operators import links
+
+    monkeypatch.setattr(links, "shared", no_pairs)
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_components_in_turn_equal_all_at_once(spark):
+    from caselink.store import components_in_turn
+
+    rng = random.Random(3)
+    ids = spark.createDataFrame([(f"n{i:02}",) for i in range(40)], "id string")
+    parts = [spark.createDataFrame([(f"n{rng.randrange(40):02}", f"n{rng.randrange(44):02}") for _ in range(9)], "a string, b string") for _ in range(2)]
+    known = parts[0].union(parts[1]).where("b < 'n40'")
+    want = {f"n{i:02}": f"n{i:02}" for i in range(40)} | {r["id"]: r["component"] for r in components(known, "test").collect()}
+    assert {r["id"]: r["component"] for r in components_in_turn(ids, parts, "test").collect()} == want
