@@ -232,7 +232,7 @@ def test_reach_by_group_equals_pairs(spark):
     assert {tuple(r) for r in got} == {tuple(r) for r in want} and len(got) == len(want)
 
 
-@pytest.mark.parametrize("name", ["graph_components", "communities"])
+@pytest.mark.parametrize("name", ["graph_components", "communities", "explain_communities"])
 def test_whole_graph_makes_no_pairs(spark, monkeypatch, name):
     from caselink.operators import links
 
