@@ -266,3 +266,20 @@ def test_quick_links_shuffle_no_pairs(spark):
     assert len(got) == len(want) and {(r["id1"], r["id2"]): (r["confidence"], r["family"]) for r in got} == want
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("Join")], plan
+
+
+def test_person_overlap_met_equals_that_of_rows(spark):
+    """Pairs met in their bucket score as pairs of rows do, for cases of none, one, several, equal and unknown persons."""
+    import itertools
+
+    people = [("p1", "Rahul Das", "1980-01-01", "Plot 1, X rd"), ("p2", "Rahul Das", "1980-01-01", "Plot 1, X rd"), ("p3", "Rahul Das", "1999-02-02", None), ("p4", "Raahul Dass", "1980-01-01", "Plot 1, X rd"), ("p5", "Meena Roy", None, "Plot 9"), ("p6", "", "1980-01-01", "")]
+    persons = spark.createDataFrame(people, "person_id string, name string, date_of_birth string, address string")
+    has = {"c0": [], **{f"c{i}": [f"p{i}"] for i in range(1, 7)}, "c7": ["p1", "p5"], "c8": ["p9"], "c9": ["p3", "p9"], "d1": ["p1"]}
+    cp = spark.createDataFrame([(c, p) for c, ps in has.items() for p in ps], "case_id string, person_id string")
+    keyed = spark.createDataFrame([(c, "k") for c in has] + [("c1", "j"), ("c2", "j")], "case_id string, value string")
+    pairs = spark.createDataFrame([(a, b) for a, b in itertools.combinations(sorted(has), 2)], "id1 string, id2 string")
+    named = spark.createDataFrame(list(itertools.combinations([p[0] for p in people], 2)), "id1 string, id2 string")
+    f = cp.groupBy("case_id").agg(F.collect_set("person_id").alias("persons"))
+    want = sorted(tuple(r) for r in similarity.person_overlap(pairs, f, resolve.resolve_persons(named, persons)).collect())
+    found = similarity.person_overlap_met(keyed, cp, persons)
+    assert sorted(tuple(r) for r in found.collect()) == want and len({r[2] for r in want}) > 2
