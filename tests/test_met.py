@@ -46,7 +46,7 @@ def test_met_pairs_are_judged_as_rows_of_pairs(spark):
 
 
 def test_no_pair_is_shuffled(spark):
-    for name in ("case_similarity",):
+    for name in ("case_similarity", "pair_confidence"):
         plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
         meets = next(i for i, line in enumerate(plan) if "Join" in line and "key" in line)
         assert not [line for line in plan[:meets] if "Exchange" in line], name
