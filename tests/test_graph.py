@@ -249,3 +249,53 @@ def test_components_in_turn_equal_all_at_once(spark):
     known = parts[0].union(parts[1]).where("b < 'n40'")
     want = {f"n{i:02}": f"n{i:02}" for i in range(40)} | {r["id"]: r["component"] for r in components(known, "test").collect()}
     assert {r["id"]: r["component"] for r in components_in_turn(ids, parts, "test").collect()} == want
+
+
+def _of_persons(spark, cp):
+    """Cases of P1 to P4, one without a person, one without a value; C99 and P9 are not known; links of a person that is not known, and one that is there twice."""
+    cases = [(f"C{i:02}", f"S{i % 3}" if i % 4 else None, f"P{i % 4 + 1}", f"P{i % 4 + 1}|{i % 3}" if i != 5 else None) for i in range(14)] + [("C20", "S1", None, None)]
+    links = [(c, p) for c, _, p, _ in cases if p] + [("C99", "P1"), ("C99", "P2"), ("C00", "P1"), (None, "P1"), ("C01", None), ("C98", "P9"), *cp]
+    make = spark.createDataFrame
+    return make(cases, "case_id string, station_id string, person_id string, value string"), make([(f"P{i}",) for i in (1, 2, 3, 5, 5)], "person_id string"), make(links, "case_id string, person_id string")
+
+
+@pytest.mark.parametrize("most", [256, 4])
+def test_metrics_of_groups_equal_metrics(spark, most):
+    from caselink.operators import links
+
+    cases, persons, cp = _of_persons(spark, [])
+    nodes = graph.union(graph.node_rows(cases, "case_id", "Case", "station_id"), graph.node_rows(persons, "person_id", "Person"))
+    near = links.shared(cases, "value").withColumn("confidence", F.lit(0.85))
+    edges = graph.union(graph.edge_rows(cp, "case_id", "person_id", "HAS_PERSON", nodes), graph.related_rows(near, nodes))
+    want = graph.metrics(nodes, edges)
+    got = graph.metrics_of_groups(cases, persons, cp, 0.85, most)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.count() == 19
+
+
+@pytest.mark.parametrize("most", [256, 4])
+def test_persons_that_do_not_tell_components(spark, most):
+    for more in (("C00", "P3"), ("C20", "P1"), ("C20", "P9")):
+        assert graph.metrics_of_groups(*_of_persons(spark, [more]), 0.85, most) is None
+    cases, persons, cp = _of_persons(spark, [])
+    assert graph.metrics_of_groups(cases.union(cases.limit(1)), persons, cp, 0.85, most) is None
+
+
+def test_dense_centrality_equals_brute_force():
+    rng = random.Random(4)
+    import numpy as np
+
+    a = np.zeros((6, 9, 9))
+    for k in range(6):
+        for _ in range(5 + 2 * k):
+            x, y = rng.sample(range(9), 2)
+            a[k, x, y] = a[k, y, x] = 1
+    far, gain = graph._brandes_dense(a)
+    for k in range(6):
+        f, g = graph._brandes(list(range(9)), {v: list(np.flatnonzero(a[k, v])) for v in range(9)}, list(range(9)))
+        assert far[k].tolist() == [f[v] for v in range(9)] and gain[k].tolist() == pytest.approx([g[v] for v in range(9)])
+
+
+def test_network_metrics_make_no_pairs_of_cases(spark, monkeypatch):
+    monkeypatch.setattr(graph, "related_rows", no_pairs)
+    monkeypatch.setattr(graph, "with_components", no_pairs)
+    assert QUERIES["network_metrics"](spark, "/root/testdata/sf0.001").where("total_degree > 0").count() > 0
