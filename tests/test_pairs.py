@@ -283,3 +283,18 @@ def test_person_overlap_met_equals_that_of_rows(spark):
     want = sorted(tuple(r) for r in similarity.person_overlap(pairs, f, resolve.resolve_persons(named, persons)).collect())
     found = similarity.person_overlap_met(keyed, cp, persons)
     assert sorted(tuple(r) for r in found.collect()) == want and len({r[2] for r in want}) > 2
+
+
+def test_met_method_texts_equal_rows_of_pairs(spark):
+    """Words of two or three texts, of none, accents, marks, repeats and an empty text; homes in one turn and in many."""
+    texts = [(1, "broke the lock with pliers pliers"), (2, "Pliers, lock! entered naïve café"), (10, "pliers café lock don’t dont"), (3, "café naïve naïve window"), (4, None), (5, "window window 日本x fence"), (6, "fence fence fence lock")]
+    rows = spark.createDataFrame([(i, t, str(i)) for i, t in texts], "id long, text string, case_id string")
+    old = rows.select(F.col("id").alias("case_id"), F.col("text").alias("description"))
+    entries = blocking.method_keys(old.withColumn("crime_category", F.lit("x"))).where("signal = 'MO_KEYWORD_TOKEN'")
+    pairs = blocking.pairs(entries, 2, 3).select(F.col("id1").cast("long").alias("id1"), F.col("id2").cast("long").alias("id2"))
+    want = sorted(map(tuple, similarity.method_similarity(pairs, old).collect()))
+    for at_once in (1 << 30, 60):
+        packed = similarity.packed(rows)
+        met = blocking.rare_pairs(similarity.keywords_of(packed))
+        assert sorted(map(tuple, met.collect())) == sorted(map(tuple, pairs.collect()))
+        assert sorted(map(tuple, similarity.method_similarity_met(met, packed, at_once).collect())) == want and len(want) > 5
