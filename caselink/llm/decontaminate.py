@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, free_names
+from .shared import cut, free_names, shuffled
 
 WINDOW = 10
 #: Tables made from the windows are broadcast while their words take at most so many bytes; larger ones are joined by shuffle.
@@ -75,7 +75,7 @@ def occurrences(rows: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFr
     """h, hits of each document of `rows` (from cut_words) in which a window occurs; hits are structs (start, n, items)."""
     cuts = cut(windows(items, size), "dec-windows")
     bytes_ = cuts.agg(F.sum(F.octet_length(F.array_join("words", " ")) + 16 * F.size("items"))).first()[0] or 0
-    held = F.broadcast if bytes_ <= BROADCAST_BYTES else lambda x: x
+    held = F.broadcast if bytes_ <= BROADCAST_BYTES else shuffled
     vocabulary = cuts.select(F.explode("words").alias("token")).distinct()
     counts = cut(
         rows.select(F.explode("t").alias("token")).join(held(vocabulary), "token").groupBy("token").agg(F.count("*").alias("n")),

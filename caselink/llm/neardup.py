@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .shared import components, cut, free_names, ranked
+from .shared import components, cut, free_names, ranked, shuffled
 
 WORDS, SIMILAR = 5, 75
 CHUNKS, PER = 10, 4
@@ -165,7 +165,7 @@ def near(a: str, b: str, similar: int) -> Column:
 def buckets(nodes: DataFrame) -> DataFrame:
     """key, set_id, size of every key that at least two nodes have."""
     keys = nodes.select("set_id", F.explode(chunk_keys(F.col("signature"))).alias("key"))
-    return keys.join(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key").select("key", "set_id", "size")
+    return keys.join(shuffled(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")), "key").select("key", "set_id", "size")
 
 
 def _part(block: int = BLOCK) -> Column:
@@ -182,22 +182,22 @@ def star_pairs(shared: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
     company = shared.groupBy("set_id").agg(F.sum("size").alias("company"))
     # bitwise_not turns the order of ids without overflow
     top = F.max(F.struct("company", F.bitwise_not("set_id").alias("turned")))
-    leads = shared.join(company, "set_id").groupBy("key").agg(F.bitwise_not(top["turned"]).alias("a"), F.first("size").alias("size")).select("key", "a", _all_parts())
-    stars = shared.select("key", "set_id", _part()).join(leads, ["key", "part"]).where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
+    leads = shared.join(shuffled(company), "set_id").groupBy("key").agg(F.bitwise_not(top["turned"]).alias("a"), F.first("size").alias("size")).select("key", "a", _all_parts())
+    stars = shared.select("key", "set_id", _part()).join(shuffled(leads), ["key", "part"]).where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
     return _near_pairs(stars, nodes, similar)
 
 
 def _near_pairs(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
     x, y = nodes.select("set_id", "n", "signature").alias("x"), nodes.select("set_id", "n", "signature").alias("y")
-    both = pairs.join(x, F.col("a") == F.col("x.set_id")).join(y, F.col("b") == F.col("y.set_id"))
+    both = pairs.join(shuffled(x), F.col("a") == F.col("x.set_id")).join(shuffled(y), F.col("b") == F.col("y.set_id"))
     return both.where(near("x", "y", similar)).select("a", "b")
 
 
 def open_rows(shared: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     """key, size, set_id, of, n, signature, sketch: the nodes of keys whose nodes are not yet of one class of `found` (id, component)."""
-    placed = shared.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").select("key", "size", "set_id", F.coalesce("component", "set_id").alias("of"))
+    placed = shared.join(shuffled(found.withColumnRenamed("id", "set_id")), "set_id", "left").select("key", "size", "set_id", F.coalesce("component", "set_id").alias("of"))
     several = placed.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.first("size").alias("size")).where("lo <> hi").select("key", _all_parts())
-    return placed.select("*", _part()).join(several, ["key", "part"]).drop("part").join(nodes.select("set_id", "n", "signature", "sketch"), "set_id")
+    return placed.select("*", _part()).join(shuffled(several), ["key", "part"]).drop("part").join(shuffled(nodes.select("set_id", "n", "signature", "sketch")), "set_id")
 
 
 def cells(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -205,24 +205,24 @@ def cells(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     # Nodes of one large class of a key have blocks of their own, the rest are mixed.
     large = rows.groupBy("key", "of").agg(F.count("*").alias("m"), F.first("size").alias("size")).where(F.col("m") >= block)
     apart = large.groupBy("key").agg(F.sum("m").alias("apart"))
-    per = rows.groupBy("key").agg(F.count("*").alias("every"), F.first("size").alias("size")).join(apart, "key", "left")
+    per = rows.groupBy("key").agg(F.count("*").alias("every"), F.first("size").alias("size")).join(shuffled(apart), "key", "left")
     per = per.select("key", (F.col("every") - F.coalesce("apart", F.lit(0))).alias("small"), _all_parts(block))
     big = F.col("m").isNotNull()
     count = F.when(big, F.ceil(F.col("m") / block)).otherwise(F.ceil(F.col("small") / block)).cast("long")
     blk = F.xxhash64(big, F.when(big, F.col("of")).otherwise(0).cast("long"), F.pmod(F.xxhash64("set_id"), count))
     dealt = (
-        rows.select("*", _part(block)).join(large.select("key", "of", "m", _all_parts(block)), ["key", "of", "part"], "left").join(per, ["key", "part"])
+        rows.select("*", _part(block)).join(shuffled(large.select("key", "of", "m", _all_parts(block))), ["key", "of", "part"], "left").join(shuffled(per), ["key", "part"])
         .select("key", "set_id", "of", "n", "signature", "sketch", blk.alias("blk"), F.when(big, F.col("of")).alias("pure"))
     )
     blocks = dealt.select("key", "blk", "pure").distinct()
     made = (
-        blocks.select("key", F.col("blk").alias("p"), F.col("pure").alias("one")).join(blocks.select("key", F.col("blk").alias("q"), F.col("pure").alias("other")), "key")
+        blocks.select("key", F.col("blk").alias("p"), F.col("pure").alias("one")).join(shuffled(blocks.select("key", F.col("blk").alias("q"), F.col("pure").alias("other"))), "key")
         .where((F.col("p") <= F.col("q")) & ~F.coalesce(F.col("one") == F.col("other"), F.lit(False))).select("key", "p", "q")
     )
     dealt = dealt.drop("pure")
     cols = ["key", "p", "q", "right", "set_id", "of", "n", "signature", "sketch"]
-    x = dealt.withColumnRenamed("blk", "p").join(made, ["key", "p"]).withColumn("right", F.lit(False))
-    y = dealt.withColumnRenamed("blk", "q").join(made.where("p <> q"), ["key", "q"]).withColumn("right", F.lit(True))
+    x = dealt.withColumnRenamed("blk", "p").join(shuffled(made), ["key", "p"]).withColumn("right", F.lit(False))
+    y = dealt.withColumnRenamed("blk", "q").join(shuffled(made.where("p <> q")), ["key", "q"]).withColumn("right", F.lit(True))
     return x.select(*cols).unionByName(y.select(*cols))
 
 
@@ -439,23 +439,23 @@ def _confirm_stars(similar: int):
 
 def set_table(docs: DataFrame, nodes: DataFrame, ids: DataFrame, k: int, text: str) -> DataFrame:
     """set_id, hashes of the nodes in ids (set_id), written once."""
-    wanted = ids.distinct().join(nodes.select("set_id", "h1", "h2"), "set_id")
+    wanted = ids.distinct().join(shuffled(nodes.select("set_id", "h1", "h2")), "set_id")
     return cut(full_sets(docs, wanted, k, text).dropDuplicates(["set_id"]), "dup-sets", "lz4")
 
 
 def star_links(stars: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """The links among stars (a, b), on full sets. A lead of many partners is confirmed in chunks of about BLOCK."""
     per = stars.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("chunks"))
-    celled = stars.join(per, "a").select("a", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), "b")
-    partners = celled.join(sets, F.col("b") == F.col("set_id")).select("a", "chunk", F.lit(False).alias("leads"), "b", "hashes")
-    leads = celled.select("a", "chunk").distinct().join(sets, F.col("a") == F.col("set_id")).select("a", "chunk", F.lit(True).alias("leads"), F.col("a").alias("b"), "hashes")
+    celled = stars.join(shuffled(per), "a").select("a", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), "b")
+    partners = celled.join(shuffled(sets), F.col("b") == F.col("set_id")).select("a", "chunk", F.lit(False).alias("leads"), "b", "hashes")
+    leads = celled.select("a", "chunk").distinct().join(shuffled(sets), F.col("a") == F.col("set_id")).select("a", "chunk", F.lit(True).alias("leads"), F.col("a").alias("b"), "hashes")
     rows = leads.unionByName(partners).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.desc("leads"))
     return rows.mapInArrow(_confirm_stars(similar), "a long, b long")
 
 
 def cell_links(rows: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """A spanning forest of the links in each cell of near_rows, on full sets."""
-    held = _by_cell(rows.join(sets, "set_id").select(*[c.split()[0] for c in CELL.split(", ")], "hashes"))
+    held = _by_cell(rows.join(shuffled(sets), "set_id").select(*[c.split()[0] for c in CELL.split(", ")], "hashes"))
     return held.mapInArrow(_confirm_cells(similar), "a long, b long")
 
 
@@ -473,13 +473,13 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similar: int = SIMILAR, tex
         more = cut(cell_links(rest, set_table(docs, nodes, rest.select("set_id"), k, text), similar), "dup-cell-links")
         found = components(links.unionByName(more), "dup-links")
     classes = (
-        nodes.select("h1", "h2", "set_id", "docs").join(found, F.col("set_id") == F.col("id"), "left")
+        nodes.select("h1", "h2", "set_id", "docs").join(shuffled(found), F.col("set_id") == F.col("id"), "left")
         .select("h1", "h2", "docs", "set_id", F.coalesce("component", "set_id").alias("component"))
         .where("docs > 1 or component <> set_id").select("h1", "h2", "component")
     )
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return (
-        signed.where("n_shingles > 0").select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
+        signed.where("n_shingles > 0").select("doc_id", "n_shingles", "h1", "h2").join(shuffled(classes), ["h1", "h2"], "left")
         .select("doc_id", "n_shingles", own.alias("component_id"))
         .unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

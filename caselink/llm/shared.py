@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..store import components, cut, drop_shared, new_path, ranked, shared_dir
+from ..store import components, cut, drop_shared, new_path, ranked, shared_dir, shuffled
 
-__all__ = ["components", "cut", "drop_shared", "free_names", "load", "new_path", "ranked", "shared_dir"]
+__all__ = ["components", "cut", "drop_shared", "free_names", "load", "new_path", "ranked", "shared_dir", "shuffled"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -245,3 +245,13 @@ def test_kernel_words():
     assert [(int(r), bytes(data[a:b])) for a, b, r in zip(starts, ends, rows)] == [(0, b"Ab"), (0, b"ab"), (3, b"x\x00y"), (3, b"\x1cz"), (4, "É".encode()), (4, "é".encode()), (4, b"A")]
     h = kernel.word_hashes(data, starts, ends, low)
     assert h[0] == h[1] and h[4] != h[5]
+
+
+def test_tables_behind_an_explode_are_not_broadcast(spark):
+    # Spark's estimate of the keys of a written table is of less than one key for each signature, which has 40.
+    words = "river stone meadow lantern harbor copper willow signal garden timber".split()
+    docs = spark.createDataFrame([(i, " ".join(words[j % 10] + str(j % (5 + i % 3)) for j in range(30)), "en", "a", 1) for i in range(8)], DOCS)
+    nodes = neardup.cut(neardup.distinct_sets(neardup.sign(docs, neardup.WORDS, "text")), "test-nodes")
+    for made in (neardup.buckets(nodes), neardup._near_pairs(neardup.cut(spark.range(1).selectExpr("id a", "id b"), "test-pairs"), nodes, neardup.SIMILAR)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
