@@ -299,3 +299,28 @@ def test_network_metrics_make_no_pairs_of_cases(spark, monkeypatch):
     monkeypatch.setattr(graph, "related_rows", no_pairs)
     monkeypatch.setattr(graph, "with_components", no_pairs)
     assert QUERIES["network_metrics"](spark, "/root/testdata/sf0.001").where("total_degree > 0").count() > 0
+
+
+@pytest.mark.parametrize("most", [256, 4])
+def test_structure_of_groups_equals_whole_graph(spark, most):
+    from caselink.operators import links
+
+    cases, persons, cp = _of_persons(spark, [])
+    nodes = graph.union(graph.node_rows(cases, "case_id", "Case", "station_id"), graph.node_rows(persons, "person_id", "Person"))
+    near = links.shared(cases, "value").withColumn("confidence", F.lit(0.85))
+    edges = graph.union(graph.edge_rows(cp, "case_id", "person_id", "HAS_PERSON", nodes), graph.related_rows(near, nodes))
+    want = graph.communities(graph.with_components(nodes, edges), edges), graph.metrics(nodes, edges)
+    got = graph.structure_of_groups(cases, persons, cp, 0.85, most)
+    for a, b in zip(got, want, strict=True):
+        assert sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.collect())) and b.count()
+    dense = "density >= 0.2 or spans_cross_station"  # may be looked at before nodes without an edge are left out
+    assert got[0].where(dense).count() == want[0].where(dense).count()
+
+
+@pytest.mark.parametrize("name", ["pattern_structural"])
+def test_structure_of_persons_makes_no_pairs_of_cases(spark, monkeypatch, name):
+    # Edges of the whole graph were written, and components found by rounds over them.
+    import caselink.plans.queries as queries
+
+    monkeypatch.setattr(queries, "_person_graph", no_pairs)
+    assert not QUERIES[name](spark, "/root/testdata/sf0.001").isEmpty()
