@@ -317,7 +317,7 @@ def test_structure_of_groups_equals_whole_graph(spark, most):
     assert got[0].where(dense).count() == want[0].where(dense).count()
 
 
-@pytest.mark.parametrize("name", ["pattern_structural"])
+@pytest.mark.parametrize("name", ["pattern_structural", "explain_connectors"])
 def test_structure_of_persons_makes_no_pairs_of_cases(spark, monkeypatch, name):
     # Edges of the whole graph were written, and components found by rounds over them.
     import caselink.plans.queries as queries
